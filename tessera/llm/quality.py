@@ -26,8 +26,9 @@ from tessera.llm.common import windows, word_hashes
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics the forest splits on; shares, so that length alone is no anomaly.
-FEATURES = ["chars_per_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "punct_share", "digit_share"]
+FEATURES = ["chars_per_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "punct_share", "digit_share", "bare_share"]
 PUNCTUATION = "!?;:.,"
+BARE = [f" {c} ".encode() for c in SYMBOLS]
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -63,7 +64,7 @@ def statistics(text: str | None) -> tuple:
     upper, digits = int(kinds[65:91].sum()), int(kinds[48:58].sum())
     letters = upper + int(kinds[97:123].sum())
     c = max(chars, 1)
-    return (n, chars, symbols, dup, repeat, chars / max(n, 1), symbols / c, dup / max(len(lines), 1), repeat / max(n, 1), upper / max(letters, 1), sum(int(kinds[ord(p)]) for p in PUNCTUATION) / c, digits / c)
+    return (n, chars, symbols, dup, repeat, chars / max(n, 1), symbols / c, dup / max(len(lines), 1), repeat / max(n, 1), upper / max(letters, 1), sum(int(kinds[ord(p)]) for p in PUNCTUATION) / c, digits / c, sum(map(data.count, BARE)) / max(n, 1))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,39 +86,43 @@ def mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, ...]:
-    """One isolation tree as arrays: feature (-1 in a leaf), cut, left, right, path length at a leaf."""
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, ...]:
+    """One isolation tree as arrays: feature (-1 in a leaf), cut, left, right, path length at a leaf.
+
+    Cuts are drawn over a node's box, which starts as [low, high]; so a cut can part good rows from empty
+    space where junk lies, even in features that do not vary among good rows.
+    """
     feature, cut, left, right, length = [], [], [], [], []
 
-    def node(x: np.ndarray, depth: int) -> int:
+    def node(x: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
         me = len(feature)
         for a in (feature, cut, left, right, length):
             a.append(0)
-        low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(0), np.zeros(0))
-        open_ = np.flatnonzero(high > low)
-        if depth >= limit or len(x) <= 1 or not len(open_):
+        wide = np.flatnonzero(high > low)
+        if depth >= limit or len(x) <= 1 or not len(wide):
             feature[me], length[me] = -1, depth + mean_path(len(x))
             return me
-        f = int(rng.choice(open_))
+        f = int(rng.choice(wide))
         feature[me], cut[me] = f, rng.uniform(low[f], high[f])
-        went = x[:, f] < cut[me]
-        left[me] = node(x[went], depth + 1)
-        right[me] = node(x[~went], depth + 1)
+        went, top, bottom = x[:, f] < cut[me], high.copy(), low.copy()
+        top[f] = bottom[f] = cut[me]
+        left[me] = node(x[went], low, top, depth + 1)
+        right[me] = node(x[~went], bottom, high, depth + 1)
         return me
 
-    node(rows, 0)
+    node(rows, low, high, 0)
     return tuple(map(np.array, (feature, cut, left, right, length)))
 
 
 class Forest:
     """Isolation forest; `score` is 2 ** (-mean path length / expected path length), in (0, 1)."""
 
-    def __init__(self, sample: np.ndarray, trees: int, per_tree: int, seed: int):
+    def __init__(self, sample: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, per_tree: int, seed: int):
         rng = np.random.default_rng(seed)
         per_tree = min(per_tree, len(sample))
         self.norm = max(mean_path(per_tree), 1.0)
         limit = math.ceil(math.log2(max(per_tree, 2)))
-        self.trees = [grow(sample[rng.choice(len(sample), per_tree, replace=False)], rng, limit) for _ in range(trees)]
+        self.trees = [grow(sample[rng.choice(len(sample), per_tree, replace=False)], low, high, rng, limit) for _ in range(trees)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -132,11 +137,13 @@ class Forest:
 
 
 def fit_forest(stats: DataFrame, labels: DataFrame, trees: int = 100, per_tree: int = 256, seed: int = 7) -> Forest | None:
-    """Fit on at most trees * per_tree good labelled rows that pass the base rules."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    rows = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    sample = rows.select(*FEATURES).orderBy(F.md5(rows["doc_id"].cast("string")), *FEATURES).limit(trees * per_tree).toPandas()
-    return Forest(sample[FEATURES].to_numpy(float), trees, per_tree, seed) if len(sample) else None
+    """Fit on at most trees * per_tree good labelled rows that pass the base rules; the box is that of all labelled rows."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    rows = stats.where(~F.col("base_failed")).join(marks, "doc_id")
+    sample = rows.where("good").select(*FEATURES).orderBy(F.md5(rows["doc_id"].cast("string")), *FEATURES).limit(trees * per_tree).toPandas()
+    box = rows.agg(*[f(c).alias(f"{c}_{n}") for n, f in (("low", F.min), ("high", F.max)) for c in FEATURES]).first()
+    low, high = (np.array([box[f"{c}_{n}"] for c in FEATURES], dtype=float) for n in ("low", "high"))
+    return Forest(sample[FEATURES].to_numpy(float), low, high, trees, per_tree, seed) if len(sample) else None
 
 
 def score(stats: DataFrame, forest: Forest | None) -> DataFrame:
