@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality
+from tessera.llm import bpe, langid, quality
 from tessera.llm.common import materialise, table
 
 
@@ -21,9 +21,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels, stats)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()), vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs, model, F.col("doc_id").cast("bigint").alias("doc_id"), langid.held_out().alias("held_out"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op9_bpe": op9_bpe}
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 SQL: dict[str, str] = {}
