@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, quality
+from tessera.llm import bpe, langid, licenses, mixing, quality, sharding
 from tessera.llm.common import materialise, table
 
 
@@ -31,5 +31,28 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
-SQL: dict[str, str] = {}
+#: Bytes a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_mixing": op3_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_bpe": op9_bpe,
+}
+SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_mixing": mixing.sql(), "op7_sharding": sharding.sql(SHARD_BYTES)}
