@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, licenses, mixing, quality, sharding
+from tessera.llm import bpe, jaccard, langid, licenses, mixing, quality, sharding
 from tessera.llm.common import materialise, table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classify(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     stats = materialise(quality.measure(docs), "quality")
@@ -50,6 +54,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
