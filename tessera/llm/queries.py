@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, langid, licenses, mixing, quality, sharding
+from tessera.llm import bpe, jaccard, langid, licenses, mixing, packing, quality, sharding, topk, urls
 from tessera.llm.common import materialise, table
 
 
@@ -51,13 +51,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
+    "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_mixing": mixing.sql(), "op7_sharding": sharding.sql(SHARD_BYTES)}
+SQL: dict[str, str] = {"op1_topk": topk.sql(), "op2_license_scan": licenses.sql(), "op3_mixing": mixing.sql(), "op7_sharding": sharding.sql(SHARD_BYTES)}
