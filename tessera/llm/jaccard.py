@@ -79,8 +79,8 @@ def sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col
 
 
 def share(percent: int) -> float:
-    """Share of all shingles that is counted: twice what a prefix takes."""
-    return min(1.0, 2 * (1 - percent / 100))
+    """Share of all shingles that is counted: half as much again as a prefix takes."""
+    return min(1.0, 1.5 * (1 - percent / 100))
 
 
 def postings(base: DataFrame, percent: int) -> DataFrame:
@@ -305,3 +305,13 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataF
     lowest = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     lookup = materialise(classes.select("cid", "rep").join(linked.join(lowest, "comp").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")), "lookup")
     return base.select("doc_id", "n", "cid").join(lookup, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """One row of each group of docs that links join: that of the least doc_id; all columns stay. Rows without shingles
+    all stay, and so do rows with a null id whose group has no other; of rows with one id and text one stays."""
+    found = materialise(classify(docs, k, percent, **options), "components")
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    ids = materialise(ids, "kept")
+    out = docs.join(ids.select("_kept"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if ids.where("_n > 1").limit(1).count() else out

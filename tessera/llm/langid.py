@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -234,3 +235,17 @@ def predict(docs: DataFrame, model: Model, *keep: Column | str, text_col: str =
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id's text leaves 1 by 3; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows of no language or of a score under least; a null language becomes the predicted one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        langs, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        return pd.Series([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], dtype=object)
+
+    names = docs.columns
+    out = docs.withColumn("_found", language(docs[text_col])).where(F.col("_found").isNotNull())
+    return out.withColumn(lang_col, F.coalesce(lang_col, "_found")).select(*names)

@@ -2,7 +2,9 @@
 
 Token counts are summed up into cells of source, language and topic. Cell weights are raked in turn to
 the target shares of each margin; a document is then sampled with its cell's probability, the raked weight
-over the cell's tokens, scaled so that the largest is 1. The uniform number that decides is the md5 of the id.
+over the cell's tokens times a factor, at most 1. The factor is the largest of a geometric grid at which no more
+than the share `keep` of all tokens is expected; cells held at 1 give all they have. The uniform number that
+decides is the md5 of the id.
 
 Targets are tempered shares: a value's target is its token share to the power `alpha`, normalised. The cell table
 is an aggregate (map-side combined, so a hot source is no hot task); margins join it by key, broadcast by
@@ -22,6 +24,8 @@ from tessera.llm.common import materialise, unit_hash
 DIMS = ("source", "lang", "topic")
 # Topics by what a text holds, first match wins; then by length.
 TOPIC_MARKS = [("licensed", "Licensed under"), ("licensed", "Released under"), ("table", " | "), ("symbols", "###"), ("contact", "@"), ("shout", "!! ")]
+#: Steps of the factor's grid, each a quarter of a doubling.
+GRID = 160
 TOPIC_LENGTHS = [("short", 500), ("medium", 3000)]
 
 
@@ -44,7 +48,7 @@ def traits(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")).alias(c) for c in ("source", "lang")], topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int) -> DataFrame:
+def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float) -> DataFrame:
     """Cells with their probability: source, lang, topic, prob."""
     cells = materialise(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("t")).where("t > 0"), "cells").withColumn("w", F.col("t"))
     total = F.broadcast(cells.agg(F.sum("t").alias("total")))  # one row
@@ -59,18 +63,29 @@ def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int) -> DataFrame:
             cells = cells.join(margin, d).select(*DIMS, "t", (F.col("w") * F.col("target") / F.col("have")).alias("w"))
         cells = materialise(cells, f"sweep{sweep}")
     top = F.broadcast(cells.agg(F.max(F.col("w") / F.col("t")).alias("top")))  # one row
-    return cells.crossJoin(top).select(*DIMS, (F.col("w") / F.col("t") / F.col("top")).alias("prob"))
+    rated = cells.crossJoin(top).select(*DIMS, "t", (F.col("w") / F.col("t") / F.col("top")).alias("r"))
+    grid = rated.select("t", "r", F.explode(F.sequence(F.lit(0), F.lit(GRID))).alias("k"))
+    expected = grid.groupBy("k").agg(F.sum(F.col("t") * F.least(F.lit(1.0), F.col("r") * F.pow(F.lit(2.0), F.col("k") / 4))).alias("e"), F.sum("t").alias("t"))
+    factor = F.broadcast(expected.where((F.col("e") <= F.lit(keep) * F.col("t")) | (F.col("k") == 0)).agg(F.max("k").alias("k")))  # one row
+    return rated.crossJoin(factor).select(*DIMS, F.least(F.lit(1.0), F.col("r") * F.pow(F.lit(2.0), F.col("k") / 4)).alias("prob"))
 
 
-def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6) -> DataFrame:
+def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
     """Per row of docs: doc_id, source, lang, topic, n_tokens, prob and sampled."""
     rows = traits(docs)
-    prob = rake(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps)
+    prob = rake(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep)
     out = rows.join(prob, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (unit_hash("doc_id") < F.col("prob")).alias("sampled"))
 
 
-def sql(alphas: dict[str, float] | None = None, sweeps: int = 6) -> str:
+def sample(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+    """The rows of docs that `mix` samples, with all their columns."""
+    prob = rake(traits(docs), alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("prob").alias("_prob"))
+    keys = {"_source": F.coalesce(docs["source"].cast("string"), F.lit("<null>")), "_lang": F.coalesce(docs["lang"].cast("string"), F.lit("<null>")), "_topic": topic(docs["text"])}
+    return docs.withColumns(keys).join(prob, list(keys), "left").where(unit_hash("doc_id") < F.coalesce("_prob", F.lit(0.0))).select(*docs.columns)
+
+
+def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> str:
     """The same over the view `documents`, for DuckDB."""
     alphas = alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}
     cases = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPIC_MARKS) + " " + " ".join(f"WHEN length(text) < {m} THEN '{n}'" for n, m in TOPIC_LENGTHS)
@@ -87,5 +102,7 @@ def sql(alphas: dict[str, float] | None = None, sweeps: int = 6) -> str:
         for x in DIMS:
             ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, t, w * target / have AS w FROM c{i} c JOIN (SELECT {x}, sum(w) AS have FROM c{i} GROUP BY {x}) m USING ({x}) JOIN g_{x} USING ({x}))")
             i += 1
-    ctes.append(f"q AS MATERIALIZED (SELECT source, lang, topic, w / t / (SELECT max(w / t) FROM c{i}) AS prob FROM c{i})")
+    ctes.append(f"r AS MATERIALIZED (SELECT source, lang, topic, t, w / t / (SELECT max(w / t) FROM c{i}) AS r FROM c{i})")
+    ctes.append(f"k AS MATERIALIZED (SELECT max(k) AS k FROM (SELECT k, sum(t * least(1.0::DOUBLE, r * pow(2.0, k / 4))) AS e, sum(t) AS t FROM r, (SELECT unnest(range(0, {GRID + 1})) AS k) GROUP BY k) WHERE e <= {keep} * t OR k = 0)")
+    ctes.append("q AS MATERIALIZED (SELECT source, lang, topic, least(1.0::DOUBLE, r * pow(2.0, k / 4)) AS prob FROM r, k)")
     return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(prob, 0.0), 6) AS prob, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(prob, 0.0) AS sampled FROM d LEFT JOIN q USING (source, lang, topic)"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import windows, word_hashes
+from tessera.llm.common import materialise, windows, word_hashes
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -178,3 +178,21 @@ def judge(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None, ma
     cut = threshold(scored, labels, max_loss)
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("anomaly"), F.lit(0.0)) < cut)
     return scored.select("doc_id", *COUNTS, "base_failed", "anomaly", F.lit(cut).alias("cut"), verdict.alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, max_loss: float = 0.005, text_col: str = "text", **forest) -> DataFrame:
+    """docs without the rows that the base rules or the forest reject; all columns stay, no row is shuffled."""
+    stats = materialise(measure(docs, text_col=text_col), "quality")
+    model = fit_forest(stats, labels, **forest)
+    cut = threshold(score(stats, model), labels, max_loss)
+    shared = docs.sparkSession.sparkContext.broadcast((model, cut))
+
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        forest_, cut_ = shared.value
+        rows = np.array([statistics(t) for t in texts], dtype=float).reshape(len(texts), len(COUNTS) + len(FEATURES))
+        base = (rows[:, 0] < MIN_WORDS) | (100 * rows[:, 4] > MAX_REPEAT_PERCENT * rows[:, 0])
+        odd = forest_.score(rows[:, len(COUNTS) :]) >= cut_ if forest_ is not None else np.zeros(len(rows), dtype=bool)
+        return pd.Series(~base & ~odd)
+
+    return docs.where(passes(docs[text_col]))
