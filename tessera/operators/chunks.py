@@ -13,7 +13,7 @@ from tessera.functions import text as T
 
 #: Line ends as the splitter knows them: LF, CR, VT, FF, the separators 1C to 1E, NEL, LS and PS.
 LINE_END = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x85  ])"
-HEADING = r"^\s*#{1,6}\s"
+HEADING = r"^\s*#{1,6}\s+\S"
 
 
 def lines(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # An English rule pack: order, subject, predicate, pattern, group of the object.
@@ -15,7 +15,11 @@ ENGLISH_PACK = [
 
 def rule_claims(sources: DataFrame, pack: list[tuple[int, str, str, str, int]] = ENGLISH_PACK, confidence: float = 0.9) -> DataFrame:
     """source_id, ord, subject, predicate, object, confidence, quote, start: every match of every rule, empty objects dropped."""
-    found = F.flatten(F.array(*[F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("q"), F.regexp_extract_all("text", F.lit(p), F.lit(g)).alias("o")), lambda x, i, n=n, s=s, r=r: F.struct(F.lit(n).alias("rule"), i.alias("match"), F.lit(s).alias("subject"), F.lit(r).alias("predicate"), x["q"].alias("quote"), F.trim(x["o"]).alias("object"))) for n, s, r, p, g in pack]))
+    def matches(rule: int, subject: str, predicate: str, pattern: str, group: int) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("q"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("o"))
+        return F.transform(pairs, lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("match"), F.lit(subject).alias("subject"), F.lit(predicate).alias("predicate"), x["q"].alias("quote"), F.trim(x["o"]).alias("object")))
+
+    found = F.flatten(F.array(*[matches(*rule) for rule in pack]))
     rows = sources.select(F.col("id").alias("source_id"), "text", F.explode(found).alias("m")).where("m.object <> ''")
     return rows.select("source_id", (F.col("m.rule") * 100000 + F.col("m.match")).alias("ord"), "m.subject", "m.predicate", "m.object", F.lit(confidence).alias("confidence"), "m.quote", (F.instr(F.col("text"), F.col("m.quote")) - 1).alias("start"))
 
