@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import base, knowledge
+from tessera.plans import base, govern, knowledge
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = base.QUERIES | knowledge.QUERIES, base.SQL | knowledge.SQL
+QUERIES, SQL = base.QUERIES | knowledge.QUERIES | govern.QUERIES, base.SQL | knowledge.SQL | govern.SQL
 
 
 def rows(df: pd.DataFrame) -> list:
