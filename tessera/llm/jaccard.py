@@ -3,16 +3,19 @@
 Documents are sets of word-shingle hashes. Documents with one and the same set form a class, found by the set's
 digest. Two classes link when 100 * |A and B| >= percent * |A or B|. Links need T shared shingles,
 T = ceil(percent * n / 100) for a set of n; so, in any global order of shingles, the first n - T + 1 of both sets
-share one (the prefix). The order here is: the shingles of least hashes first (a fixed share of all), among
-these the rarest first. Only this share is counted and shuffled; a shingle that one class alone has cannot
-make a link and goes at once, and with it nearly all documents that have no near copy.
+share one (the prefix). The order is first: the shingles of least hashes (a fixed share of all), among
+these the rarest. Only this share is counted and shuffled; a shingle that one class alone has cannot make a link,
+and a class with as many of these as its prefix takes has no link at all and goes. All shingles of the classes left
+are then counted among themselves, and their prefixes taken again, the rarest first; so documents that
+share a passage but not the rest go too.
 
 Classes that share prefix shingles form blocks. Within a block each class is a query against an inverted index
 of the block: the short lists are merged by a heap, the long ones are probed by binary search (DivideSkip),
 and those that reach the needed overlap link. Where all classes met so far are one component, a query that links
 to its leader needs no search, since the outcome cannot change; so a group of near copies costs in
 proportion to its size. A block over `block` classes is dealt into random parts; what stays apart after
-`deals` deals is compared part by part, so no link is lost and no task holds more than two parts.
+`deals` deals is cut into bands of size (only neighbouring bands can link) and these are compared part by part, so
+no link is lost and no task holds more than two parts.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Fewer words than `k` make one shingle; null and
 empty texts have none and link with nothing. Rows with a null id take part like others, and their component is
@@ -51,8 +54,9 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(windows(word_hashes((text or b"").lower().split()), k))
 
 
-def sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cid (class; null without shingles), n, u (shingles in the counted share), shingles (sorted, 8 bytes each)."""
+def sets(docs: DataFrame, k: int, percent: int, whole: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, cid (class; null without shingles), n, u (shingles in the counted share), shingles (sorted, 8 bytes each):
+    the whole set, or as much of it as `postings` counts."""
     top = np.uint64(int(share(percent) * 2**64) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +71,10 @@ def sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col
                 own = shingle_set(text, k)
                 data = own.tobytes()
                 cid = int.from_bytes(xxhash.xxh3_128_digest(data)[:8], "little", signed=True) if len(own) else None
-                rows.append((doc, cid, len(own), int(np.searchsorted(own, top, side="right")), data))
-                size += len(data)
+                u = int(np.searchsorted(own, top, side="right"))
+                kept = data if whole else data[: 8 * max(u, len(own) - needed(len(own), percent) + 1)]
+                rows.append((doc, cid, len(own), u, kept))
+                size += len(kept)
                 if size > 32_000_000:
                     yield batch_of(rows)
                     rows, size = [], 0
@@ -83,8 +89,8 @@ def share(percent: int) -> float:
     return min(1.0, 1.5 * (1 - percent / 100))
 
 
-def postings(base: DataFrame, percent: int) -> DataFrame:
-    """token, cid: of each class the counted shingles, at least as many as its prefix. Copies within a task go."""
+def postings(base: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """token, cid: of each class the counted shingles, at least as many as its prefix, or all. Copies within a task go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -94,7 +100,7 @@ def postings(base: DataFrame, percent: int) -> DataFrame:
                 if cid in seen:
                     continue
                 seen.add(cid)
-                take = max(u, n - needed(n, percent) + 1)
+                take = n if every else max(u, n - needed(n, percent) + 1)
                 tokens.append(np.frombuffer(data, dtype=np.int64, count=take))
                 cids.append(np.full(take, cid))
                 if (size := size + take) > CHUNK:
@@ -141,18 +147,26 @@ def shared_tokens(posts: DataFrame) -> DataFrame:
     return posts.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(run, "token bigint, cid bigint, df bigint")
 
 
-def prefixes(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """cid, token: the prefix shingles that two classes or more have, of classes that may link at all."""
+def prefixes(posts: DataFrame, classes: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """cid, token: the prefix shingles that two classes or more have, of classes that may link at all.
+
+    Of the shingles posted for a class, those that it has alone come first, then the others, the rarest first."""
     own = shared_tokens(posts).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     need = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    open_ = own.join(classes, "cid").withColumn("need", need).withColumn("left", F.col("need") - F.greatest("u", "need") + F.size("shared"))
+    posted = F.col("n") if every else F.greatest("u", "need")
+    open_ = own.join(classes, "cid").withColumn("need", need).withColumn("left", F.col("need") - posted + F.size("shared"))
     return open_.where("left > 0").select("cid", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))["token"]).alias("token"))
 
 
+def sent(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, broadcast where its counted rows allow."""
+    return F.broadcast(table) if rows <= BROADCAST_IDS else table
+
+
 def merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
     """Distinct entries of sorted lists with their counts, ascending: a heap while they are short, else one sort of the runs."""
     if sum(map(len, lists)) > 4096:
-        yield from zip(*(x.tolist() for x in np.unique(np.concatenate([np.array(x) for x in lists]), return_counts=True)))
+        yield from zip(*(x.tolist() for x in np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in lists]), return_counts=True)))
         return
     last, count = -1, 0
     for d in heapq.merge(*lists):
@@ -262,28 +276,27 @@ def block_of(prefix: DataFrame) -> DataFrame:
     return materialise(comp.join(comp.groupBy("block").agg(F.count("*").alias("size")), "block"), "blocks")
 
 
-def links(base: DataFrame, classes: DataFrame, percent: int, block: int = 2000, deals: int = 3) -> DataFrame:
-    """Links between classes, as a, b: enough of them that their components are those of all links."""
-    prefix = materialise(prefixes(postings(base, percent), classes, percent), "prefix")
-    found = base.sparkSession.createDataFrame([], "a bigint, b bigint")
-    deal = 0
+def links(docs: DataFrame, base: DataFrame, classes: DataFrame, k: int, percent: int, block: int = 2000, deals: int = 2) -> DataFrame:
+    """Links between classes, as a, b: enough of them that their components are those of all links.
+
+    Whole sets are made again, from the texts, for one document of each class that may link."""
+    able = prefixes(postings(base, percent), classes, percent).select("cid").distinct().join(classes.select("cid", "rep"), "cid")
+    able = materialise(able, "able")
+    some = able.count()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    mine = texts.join(sent(able.select("rep").distinct(), some), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    left = materialise(sets(mine, k, percent, whole=True).join(sent(able.select("cid"), some), "cid", "left_semi"), "left")
+    prefix = materialise(prefixes(postings(left, percent, every=True), classes, percent, every=True), "prefix")
+    found, deal = base.sparkSession.createDataFrame([], "a bigint, b bigint"), 0
     while True:
-        blocks = block_of(prefix)
+        blocks = block_of(prefix).join(classes.select("cid", "n"), "cid")
         shape = blocks.agg(F.count("*"), F.max("size")).first()
         if not shape[0]:
             return found
-        last = deal >= deals
-        few = shape[0] <= BROADCAST_IDS
-        parts = F.ceil(F.col("size") / (block / 2 if last else block)).cast("int")
-        mine = F.pmod(F.xxhash64("cid", F.lit(deal)), parts).cast("int")
-        dealt = blocks.join(classes.select("cid", "rep"), "cid").select("cid", "rep", "block", parts.alias("parts"), mine.alias("mine"))
-        if last:  # every pair of parts meets once
-            dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            key = [F.least("mine", "other"), F.greatest("mine", "other")]
-        else:
-            key = [F.col("mine")]
-        dealt = dealt.select("cid", "rep", F.concat_ws(":", "block", *key).alias("part"))
-        rows = base.where(F.col("cid").isNotNull()).select("cid", F.col("doc_id").alias("rep"), "shingles").join(F.broadcast(dealt) if few else dealt, ["cid", "rep"])
+        last = deal >= deals and shape[1] > block
+        dealt = tiles(blocks, percent, block // 2) if last else blocks.withColumn("part", F.concat_ws(":", "block", F.pmod(F.xxhash64("cid", F.lit(deal)), F.ceil(F.col("size") / block))))
+        dealt = materialise(dealt.select("cid", "part"), "dealt")
+        rows = left.select("cid", "shingles").join(sent(dealt, dealt.count()), "cid")
         found = found.unionByName(materialise(link_blocks(rows, percent), "links"))
         if last or shape[1] <= block:
             return found
@@ -296,11 +309,24 @@ def links(base: DataFrame, classes: DataFrame, percent: int, block: int = 2000,
         deal += 1
 
 
+def tiles(blocks: DataFrame, percent: int, most: int) -> DataFrame:
+    """Parts in which every two classes of a block meet whose sizes allow a link: bands of size, each with the band
+    below, in pairs of random parts of about `most` classes."""
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
+    banded = blocks.withColumn("home", F.floor(F.log("n") / width)).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") + 1)))
+    full = banded.groupBy("block", "band").agg(F.count("*").alias("here"))
+    parts = F.ceil(F.col("here") / most).cast("int")
+    mine = F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("parts")).cast("int")
+    dealt = banded.join(full, ["block", "band"]).withColumn("parts", parts).withColumn("mine", mine)
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return met.withColumn("part", F.concat_ws(":", "block", "band", F.least("mine", "other"), F.greatest("mine", "other")))
+
+
 def classify(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id that links reach, its own included)."""
-    base = materialise(sets(docs, k, percent), "sets")
+    base = materialise(sets(docs, k, percent, whole=False), "sets")
     classes = materialise(base.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("u").alias("u")), "classes")
-    comp = components(links(base, classes, percent, **options)).select(F.col("v").alias("cid"), "comp")
+    comp = components(links(docs, base, classes, k, percent, **options)).select(F.col("v").alias("cid"), "comp")
     linked = classes.join(comp, "cid").select("cid", "comp", "rep")
     lowest = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     lookup = materialise(classes.select("cid", "rep").join(linked.join(lowest, "comp").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")), "lookup")
