@@ -87,3 +87,18 @@ def test_topics_by_name(spark):
 def test_casefold_and_tokens(spark):
     r = spark.createDataFrame([("Straße 12",)], "t string").select(T.contains_folded("t", F.lit("STRASSE")).alias("a"), T.tokens("t").alias("b")).first()
     assert r["a"] and r["b"] == ["straße", "12"]
+
+
+def test_text_file_scan(spark, tmp_path):
+    from tessera.sources import files
+
+    root = tmp_path / "kb"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "b.md").write_bytes(b"one  \r\n\r\n\r\n\r\ntwo\n")
+    (root / "c.txt").write_bytes(b"x")
+    (root / "bad.txt").write_bytes(b"\xff\xfe")
+    (root / "blank.md").write_bytes(b" \n\n")
+    (root / "d.pdf").write_bytes(b"y")
+    sources, rejects = files.scan(spark, str(root))
+    assert sorted(tuple(r) for r in sources.collect()) == [("a__b", "/a", "one\n\ntwo"), ("c", "/", "x")]
+    assert sorted(tuple(r) for r in rejects.collect()) == [("bad.txt", "encoding"), ("blank.md", "empty"), ("d.pdf", "suffix")]
