@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache may hold before it starts afresh (a memory bound, not a data bound).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,25 @@ def byte_strings(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: What each operator's worker-wide cache is emptied by; one operator's caches are kept at a time.
+_EMPTY: dict[str, list[Callable[[], None]]] = {}
+_FOCUS: list[str] = [""]
+
+
+def cached_by(name: str, empty: Callable[[], None]) -> None:
+    """Note a worker-wide cache of an operator."""
+    _EMPTY.setdefault(name, []).append(empty)
+
+
+def focus(name: str) -> None:
+    """Called where an operator's task begins: empties what other operators left in this reused Python worker."""
+    if _FOCUS[0] != name:
+        for other, calls in _EMPTY.items():
+            for empty in calls if other != name else []:
+                empty()
+        _FOCUS[0] = name
+
+
 class WordHashes(dict):
     """Word -> signed 64-bit hash, kept for the life of a Python worker and bounded in size."""
 
@@ -55,6 +74,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+cached_by("words", _WORDS.clear)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -24,8 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import cached_by, focus
+
+
+
 WORD = regex.compile(r"\p{L}+")
-MARK, UNKNOWN, CACHE_WORDS = "▁", 1e-9, 400_000
+MARK, UNKNOWN, CACHE_WORDS = "▁", 1e-9, 500_000
+BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+#: Letters of the longest piece that is used.
+LONGEST = 10
 
 
 def pieces(model_file: str) -> list[str]:
@@ -34,24 +41,59 @@ def pieces(model_file: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     own = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for i in own if WORD.fullmatch((p := sp.id_to_piece(i).lower()).replace(MARK, "", 1)) or p == MARK})
+    return sorted({p for i in own if len(p := sp.id_to_piece(i).lower()) <= LONGEST and (p.replace(MARK, "", 1).isalpha() or p == MARK)})
 
 
 class Lattice:
-    """Numbers the pieces (0 is none) and lists, for words of one length, the piece that ends at each place."""
+    """Numbers the pieces (0 is none) and lists, for words of one length, the piece that ends at each place.
+
+    Substrings are found by rolling 64-bit hashes in tables of one slot an entry; pieces that clash in a table
+    go to the next one."""
 
     def __init__(self, vocabulary: list[str]):
         self.number = {p: i + 1 for i, p in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1)
+        hashes = {p: int(self.hashes(self.codes([p]), len(p))[0, -1]) for p in vocabulary}
+        self.tables, left, bits = [], list(vocabulary), 20
+        while left:
+            keys, ids, clashed = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32), []
+            for p in left:
+                slot = hashes[p] >> (64 - bits)
+                if ids[slot]:
+                    clashed.append(p)
+                else:
+                    keys[slot], ids[slot] = hashes[p], self.number[p]
+            self.tables.append((np.uint64(64 - bits), keys, ids))
+            left, bits = clashed, 14
+
+    @staticmethod
+    def codes(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+    @staticmethod
+    def hashes(codes: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all substrings of length k."""
+        n = codes.shape[1]
+        total = np.zeros((len(codes), n - k + 1), dtype=np.uint64)
+        for j in range(k):
+            total = total * BASE + codes[:, j : n - k + 1 + j]
+        return total * SPREAD
 
     def grid(self, words: list[str]) -> np.ndarray:
         """Of words of equal length with their mark: piece numbers by word, end and piece length."""
-        n, get = len(words[0]), self.number.get
-        spans = [(e - k if k <= e else 0, e) for e in range(1, n + 1) for k in range(1, min(self.longest, n) + 1)]
-        flat = [get(w[a:b], 0) for w in words for a, b in spans]
-        out = np.array(flat, dtype=np.int32).reshape(len(words), n, min(self.longest, n))
-        for e in range(1, n + 1):
-            out[:, e - 1, e:] = 0
+        codes = self.codes(words)
+        n = codes.shape[1]
+        out = np.zeros((len(words), n, min(self.longest, n)), dtype=np.int32)
+        ends = codes.copy()  # hash of the last k letters up to each end, before it is spread
+        power = int(BASE)
+        for k in range(1, min(self.longest, n) + 1):
+            if k > 1:
+                ends[:, k - 1 :] += codes[:, : n - k + 1] * np.uint64(power)
+                power = power * int(BASE) % 2**64
+            h = ends[:, k - 1 :] * SPREAD
+            for shift, keys, ids in self.tables:
+                slot = (h >> shift).astype(np.int64)
+                out[:, k - 1 :, k - 1] += np.where(keys[slot] == h, ids[slot], 0)
         return out
 
 
@@ -73,7 +115,7 @@ def forward(grid: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return alpha, scale
 
 
-def by_length(words: list[str], most: int = 4_000_000) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
     """Indices of words of equal length, in blocks whose grids stay small."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
@@ -128,39 +170,69 @@ class Model:
         self.key = hashlib.sha1(prob.tobytes() + "|".join(langs).encode()).hexdigest()
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text, in slices of about a million characters to bound memory."""
+        focus("langid")
+        langs, scores, part, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t)
+            size += len(t or "")
+            if size > 1_000_000 or i + 1 == len(texts):
+                for out, got in zip((langs, scores), self.predict_slice(part)):
+                    out += got
+                part, size = [], 0
+        return langs, scores
+
+    def predict_slice(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         memory = _MEMORY.setdefault(self.key, Memory(self))
         langs, scores = [], []
-        found = [WORD.findall((t or "").lower()) for t in texts]
-        memory.learn(w for words in found for w in words)
-        for words in found:
-            if not words or not self.langs:
+        runs = [(t or "").lower().split() for t in texts]
+        memory.learn(r for own in runs for r in own)
+        for own in runs:
+            total = memory.rows[np.array(list(map(memory.at.__getitem__, own)), dtype=np.int64)].sum(0)
+            if not total[0] or not self.langs:  # no letter
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = memory.rows[np.array(list(map(memory.at.__getitem__, words)))].sum(0)
-            best = int(np.argmax(total))
+            best = int(np.argmax(total[1:]))
             langs.append(self.langs[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
+            scores.append(float(1 / np.exp(total[1:] - total[1 + best]).sum()))
         return langs, scores
 
 
 class Memory:
-    """Log-likelihoods of the words a worker has met: a bounded cache that starts afresh when full."""
+    """What a worker has met between white space: words of letters in each run and their log-likelihoods, summed.
+
+    A bounded cache that starts afresh when full.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.at, self.rows = model, {}, np.zeros((1 << 16, 1 + len(model.langs)))
 
-    def learn(self, words) -> None:
-        words = set(words)
-        fresh = [w for w in words if w not in self.at]
+    def learn(self, runs) -> None:
+        runs = set(runs)
+        fresh = [r for r in runs if r not in self.at]
         if len(self.at) + len(fresh) > CACHE_WORDS:
-            self.at, fresh, self.rows = {}, list(words), self.rows[:0]
-        if fresh and self.model.langs:
-            self.at.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-            self.rows = np.concatenate([self.rows, log_likelihoods(fresh, self.model.lattice, self.model.prob)])
+            self.at, fresh = {}, list(runs)
+        if not fresh:
+            return
+        words = [[w] if (w := r.rstrip(".,;:!?")).isalpha() else WORD.findall(r) for r in fresh]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
+        known = log_likelihoods(list(number), self.model.lattice, self.model.prob)[:, : len(self.model.langs)]
+        many = np.array([len(own) for own in words], dtype=np.int64)
+        rows = np.zeros((len(fresh), 1 + len(self.model.langs)))
+        rows[:, 0] = many
+        if (some := np.flatnonzero(many)).size:
+            flat = known[np.array([number[w] for own in words for w in own], dtype=np.int64)]
+            rows[some, 1:] = np.add.reduceat(flat, (np.cumsum(many) - many)[some], axis=0)
+        have = len(self.at)
+        while have + len(fresh) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[have : have + len(fresh)] = rows
+        self.at.update(zip(fresh, range(have, have + len(fresh))))
 
 
 _MEMORY: dict[str, Memory] = {}
+cached_by("langid", _MEMORY.clear)
 
 
 def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -247,5 +319,6 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
         return pd.Series([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], dtype=object)
 
     names = docs.columns
-    out = docs.withColumn("_found", language(docs[text_col])).where(F.col("_found").isNotNull())
+    once = language.asNondeterministic()  # so that the optimizer doesn't evaluate it again for the filter
+    out = docs.withColumn("_found", once(docs[text_col])).where(F.col("_found").isNotNull())
     return out.withColumn(lang_col, F.coalesce(lang_col, "_found")).select(*names)
