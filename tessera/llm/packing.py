@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the public byte-level pre-tokeniser pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text that a packing task should sort at most.
+TASK_BYTES = 256 << 20
 SCHEMA = "shard int, row int, ids array<int>, n_ids int, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, starts array<int>"
 _ENCODERS: dict = {}
 
@@ -133,7 +135,9 @@ def packed(docs: DataFrame, ranks_file: str, size: int = 2048, pad: int = 50256,
             yield rows_of(shard, own, texts)
 
     dealt = rows.where(F.length("text") > 0).select(bucket.alias("shard"), "doc_id", "text")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, SCHEMA)
+    parts = math.ceil(total / TASK_BYTES)  # more than the session's partitions only where these would grow too large
+    spread = dealt.repartition(parts, "shard") if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition("shard")
+    return spread.sortWithinPartitions("shard").mapInArrow(run, SCHEMA)
 
 
 def unpack(rows: DataFrame) -> DataFrame:
