@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +70,46 @@ def related(pages: DataFrame, k: int = 8) -> DataFrame:
     other = terms.withColumnRenamed("page_id", "other")
     w = Window.partitionBy("page_id").orderBy(F.desc("shared"), "other")
     return terms.join(other, "term").where("page_id <> other").groupBy("page_id", "other").agg(F.count("*").alias("shared")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def seeded_walk(relations: DataFrame, seeds: DataFrame, per_seed: int = 4, budget: int = 20, most_seeds: int = 7) -> DataFrame:
+    """query_id, rank, src, predicate, dst, score: breadth-first edges around each query's seeds (query_id, seed, seed_rank).
+
+    A seed brings at most `per_seed` edges within two out-hops; an edge that an earlier seed brought is passed over; seeds
+    take turns up to min(budget, seeds * per_seed). As no query visits more than most_seeds * per_seed edges, only that many
+    edges of a node can matter: adjacency is cut before the joins, and the last step's group is bounded by these constants."""
+    reach = most_seeds * per_seed
+    near = Window.partitionBy("src").orderBy("predicate", "dst")
+    adj = relations.select("src", "predicate", "dst").distinct().withColumn("o", F.row_number().over(near)).where(F.col("o") <= reach)
+    first = Window.partitionBy("query_id").orderBy("seed_rank", "seed")
+    some = seeds.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most_seeds).select("query_id", "seed", F.col("r").alias("seed_rank"))
+    hop0 = some.join(adj, some.seed == adj.src).select("query_id", "src", "predicate", "dst", "o")
+    mids = hop0.select("query_id", F.col("dst").alias("src")).distinct()
+    edges = hop0.unionByName(mids.join(adj, "src").select("query_id", "src", "predicate", "dst", "o")).distinct()
+    both = edges.select("query_id", F.lit(None).cast("string").alias("seed"), F.lit(0).alias("seed_rank"), "src", "predicate", "dst", "o").unionByName(some.select("query_id", "seed", "seed_rank", *[F.lit(None).cast("string").alias(c) for c in ("src", "predicate", "dst")], F.lit(0).alias("o")))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        out_of: dict[str, list] = {}
+        for e in rows[rows["seed"].isna()].sort_values(["src", "o"]).itertuples():
+            out_of.setdefault(e.src, []).append((e.src, e.predicate, e.dst))
+        starts = rows[rows["seed"].notna()].sort_values("seed_rank")["seed"].tolist()
+        taken: set = set()
+        lists = []
+        for start in starts:
+            found, queue, known = [], [(start, 1)], {start}
+            for node, depth in queue:  # grows while it is read
+                for edge in out_of.get(node, []):
+                    if len(found) == per_seed:
+                        break
+                    if edge not in taken:
+                        taken.add(edge)
+                        found.append((*edge, 1.0 / depth))
+                        if depth == 1 and edge[2] not in known:
+                            known.add(edge[2])
+                            queue.append((edge[2], 2))
+            lists.append(found)
+        turns = [x[i] for i in range(per_seed) for x in lists if i < len(x)][: min(budget, len(starts) * per_seed)]
+        return pd.DataFrame([(rows["query_id"].iloc[0], i, *x) for i, x in enumerate(turns, 1)], columns=["query_id", "rank", "src", "predicate", "dst", "score"])
+
+    kind = seeds.schema["query_id"].dataType.simpleString()
+    return both.groupBy("query_id").applyInPandas(walk, f"query_id {kind}, rank int, src string, predicate string, dst string, score double")

@@ -102,3 +102,15 @@ def test_text_file_scan(spark, tmp_path):
     sources, rejects = files.scan(spark, str(root))
     assert sorted(tuple(r) for r in sources.collect()) == [("a__b", "/a", "one\n\ntwo"), ("c", "/", "x")]
     assert sorted(tuple(r) for r in rejects.collect()) == [("bad.txt", "encoding"), ("blank.md", "empty"), ("d.pdf", "suffix")]
+
+
+def test_seeded_walk(spark):
+    edges = [("A", "p", "C"), ("B", "p", "C"), ("C", "q", "D"), ("C", "q", "E"), ("D", "r", "F"), ("H", "p", "X1"), ("H", "p", "X2"), ("H", "p", "X3"), ("H", "p", "X4"), ("H", "p", "X5")]
+    r = spark.createDataFrame(edges, "src string, predicate string, dst string")
+    seeds = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (2, "H", 1), (3, "none", 1)], "query_id int, seed string, seed_rank int")
+    got = {}
+    for x in G.seeded_walk(r, seeds).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["src"], x["dst"], x["score"]))
+    # A takes C's edges first, so B brings only its own edge; F is three hops away.
+    assert got[1] == [("A", "C", 1.0), ("B", "C", 1.0), ("C", "D", 0.5), ("C", "E", 0.5)]
+    assert [x[1] for x in got[2]] == ["X1", "X2", "X3", "X4"] and 3 not in got
