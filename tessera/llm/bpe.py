@@ -20,10 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import cached_by, focus
+
 # Fixed value: the public byte-level pre-tokeniser pattern (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
 #: Strings kept by a worker before a cache starts afresh, and the longest one kept (memory bounds, not data bounds).
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -135,6 +137,15 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def forget() -> None:
+    for c in _CODECS.values():
+        c.known.clear()
+        c.spaced.clear()
+
+
+cached_by("bpe", forget)
+
+
 def codec(path: str) -> Codec:
     """The worker's codec for a vocabulary file, loaded once."""
     if path not in _CODECS:
@@ -146,6 +157,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """One row per row of docs: doc_id and its ids (array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("bpe")
         c = codec(vocabulary)
         for batch in batches:
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
@@ -158,6 +170,7 @@ def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     """Encode and decode every whole text; per row its token count and digests of the ids and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("bpe")
         c, sha = codec(vocabulary), hashlib.sha256
         for batch in batches:
             n, ids_sha, text_sha = [], [], []

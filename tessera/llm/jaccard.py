@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_strings, materialise, windows, word_hashes
+from tessera.llm.common import byte_strings, focus, materialise, windows, word_hashes
 from tessera.llm.graph import components
 
 #: The candidates of blocks are sent to every task up to this many (16 MB of ids); beyond, they are joined by a shuffle.
@@ -60,6 +60,7 @@ def sets(docs: DataFrame, k: int, percent: int, whole: bool, id_col: str = "doc_
     top = np.uint64(int(share(percent) * 2**64) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("words")
         names = ["doc_id", "cid", "n", "u", "shingles"]
 
         def batch_of(rows: list) -> pa.RecordBatch:

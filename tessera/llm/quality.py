@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, windows, word_hashes
+from tessera.llm.common import focus, materialise, windows, word_hashes
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -72,6 +72,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = ["doc_id", *COUNTS, *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("words")
         for batch in batches:
             cols = list(zip(*map(statistics, batch.column(1).to_pylist()))) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64() if i < 5 else pa.float64()) for i, x in enumerate(cols)]], names)
@@ -189,6 +190,7 @@ def keep(docs: DataFrame, labels: DataFrame, max_loss: float = 0.005, text_col:
 
     @F.pandas_udf("boolean")
     def passes(texts: pd.Series) -> pd.Series:
+        focus("words")
         forest_, cut_ = shared.value
         rows = np.array([statistics(t) for t in texts], dtype=float).reshape(len(texts), len(COUNTS) + len(FEATURES))
         base = (rows[:, 0] < MIN_WORDS) | (100 * rows[:, 4] > MAX_REPEAT_PERCENT * rows[:, 0])
