@@ -31,17 +31,15 @@ from tessera.llm.common import cached_by, focus
 WORD = regex.compile(r"\p{L}+")
 MARK, UNKNOWN, CACHE_WORDS = "▁", 1e-9, 500_000
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-#: Letters of the longest piece that is used.
-LONGEST = 10
 
 
 def pieces(model_file: str) -> list[str]:
-    """The vocabulary's pieces as lower-case text, without control and byte pieces."""
+    """The vocabulary's pieces of letters as lower-case text, of any length, without control and byte pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     own = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for i in own if len(p := sp.id_to_piece(i).lower()) <= LONGEST and (p.replace(MARK, "", 1).isalpha() or p == MARK)})
+    return sorted({p for i in own if (p := sp.id_to_piece(i).lower()).replace(MARK, "", 1).isalpha() or p == MARK})
 
 
 class Lattice:
@@ -115,13 +113,13 @@ def forward(grid: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return alpha, scale
 
 
-def by_length(words: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
+def by_length(words: list[str], longest: int, most: int = 2_000_000) -> Iterator[list[int]]:
     """Indices of words of equal length, in blocks whose grids stay small."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
     for n, ids in groups.items():
-        step = max(1, most // (n * min(n, 16) * 4))
+        step = max(1, most // (n * min(n, longest) * 4))
         for a in range(0, len(ids), step):
             yield ids[a : a + step]
 
@@ -130,7 +128,7 @@ def log_likelihoods(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.
     """log P(word | language), by word and language, all segmentations summed."""
     marked = [MARK + w for w in words]
     out = np.zeros((len(words), prob.shape[1]))
-    for ids in by_length(marked):
+    for ids in by_length(marked, lattice.longest):
         _, scale = forward(lattice.grid([marked[i] for i in ids]), prob)
         out[ids] = scale[:, -1]
     return out
@@ -140,7 +138,7 @@ def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, prob
     """Expected uses of each piece in words that occur counts times; prob: of one language, as a column."""
     marked = [MARK + w for w in words]
     out = np.zeros(len(prob))
-    for ids in by_length(marked):
+    for ids in by_length(marked, lattice.longest):
         grid = lattice.grid([marked[i] for i in ids])
         _, scale = forward(grid, prob)
         pre, weight = scale[:, :, 0], counts[ids]

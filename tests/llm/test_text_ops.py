@@ -134,6 +134,25 @@ def test_forward_sums_all_segmentations():
     assert abs(counts[lattice.number["b"]] - want) < 1e-6
 
 
+def test_language_id_uses_every_letter_piece():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    want = {p for p in (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())) if p == "▁" or p.replace("▁", "", 1).isalpha()}
+    got = langid.pieces(vocabulary("piece_bpe_32k.model"))
+    assert set(got) == want and len(got) == len(want) and "▁recommendations" in want
+    lattice, long = langid.Lattice(got), [p for p in got if len(p) > 10]
+    assert len(long) > 1000
+    for p in long:  # each is found as a whole
+        assert lattice.grid([p])[0, -1, len(p) - 1] == lattice.number[p]
+    prob = np.zeros((len(got) + 1, 2))
+    prob[lattice.number["▁recommendations"]] = 0.25, 0.5
+    scores = langid.log_likelihoods(["recommendations"], lattice, prob)[0]
+    assert np.allclose(scores, np.log([0.25, 0.5]))
+    counts = langid.expected_counts(["recommendations"], np.array([2.0]), lattice, prob[:, :1])
+    assert abs(counts[lattice.number["▁recommendations"]] - 2) < 1e-6
+
+
 def test_urls(spark):
     rows = [(0, "http://a.b.net/x"), (1, "https://Example.NET/en/1?q"), (2, "http://example.net"), (3, "x.example.com/de/"), (4, "http://x.example.com/de/9#t"), (5, None), (6, ""), (7, "http://notnet/"), (8, "ftp://o.ORG/fr/1"), (9, "http://casino-win.example.com/en/"), (10, "http://freecasino.example.com/en/")]
     rows += [(20 + i, f"http://blog.reading{i % 3}.example.com/en/{i}") for i in range(30)]
