@@ -1,11 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token counts are summed up into cells of source, language and topic. Cell weights are raked in turn to
-the target shares of each margin; a document is then sampled with its cell's probability, the raked weight
-over the cell's tokens times a factor, at most 1. The factor is the largest of a geometric grid at which no more
-than the share `keep` of all tokens is expected; cells held at 1 give all they have. The uniform number that
+the target shares of each margin; a document is then sampled with its cell's probability. The uniform number that
 decides is the md5 of the id.
 
+Probabilities are at most 1, and the raking is done again under this bound: a cell's probability is
+least(1, product of its margins' multipliers), and each step solves a margin's multipliers exactly. Not every sample size
+can meet the targets (a scarce value gives no more than it has), so sizes from the share `keep` of all
+tokens down to that at which no cell meets the bound are fitted side by side, and the largest one counts whose three margins
+all hold within `TOLERANCE`. `margins` returns target and achieved shares.
+
+With bounded=False, as in the SQL of `op3_mixing`, the raked weights are only cut off at 1, by the largest factor of a
+geometric grid at which no more than `keep` is expected; margins then miss their targets where cells are cut off.
+
 Targets are tempered shares: a value's target is its token share to the power `alpha`, normalised. The cell table
 is an aggregate (map-side combined, so a hot source is no hot task); margins join it by key, broadcast by
 Spark only where their size allows. The lineage is cut after every sweep by a table in the shared folder.
@@ -16,7 +23,7 @@ probability of their cell (0 in a cell without tokens). Rows with equal ids shar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, unit_hash
@@ -26,6 +33,8 @@ DIMS = ("source", "lang", "topic")
 TOPIC_MARKS = [("licensed", "Licensed under"), ("licensed", "Released under"), ("table", " | "), ("symbols", "###"), ("contact", "@"), ("shout", "!! ")]
 #: Steps of the factor's grid, each a quarter of a doubling.
 GRID = 160
+#: Sample sizes fitted side by side, less one, and the largest miss of a margin's share that counts as met.
+SIZES, TOLERANCE = 24, 0.002
 TOPIC_LENGTHS = [("short", 500), ("medium", 3000)]
 
 
@@ -48,8 +57,8 @@ def traits(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")).alias(c) for c in ("source", "lang")], topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float) -> DataFrame:
-    """Cells with their probability: source, lang, topic, prob."""
+def raked(rows: DataFrame, alphas: dict[str, float], sweeps: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells with tokens t and raked weight w, not bounded by t, and the targets in tokens by margin."""
     cells = materialise(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("t")).where("t > 0"), "cells").withColumn("w", F.col("t"))
     total = F.broadcast(cells.agg(F.sum("t").alias("total")))  # one row
     targets = {}
@@ -62,6 +71,11 @@ def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float) ->
             margin = cells.groupBy(d).agg(F.sum("w").alias("have")).join(targets[d], d)
             cells = cells.join(margin, d).select(*DIMS, "t", (F.col("w") * F.col("target") / F.col("have")).alias("w"))
         cells = materialise(cells, f"sweep{sweep}")
+    return cells, targets
+
+
+def cut_off(cells: DataFrame, keep: float) -> DataFrame:
+    """Cells with their probability, raked weights cut off at 1: source, lang, topic, prob."""
     top = F.broadcast(cells.agg(F.max(F.col("w") / F.col("t")).alias("top")))  # one row
     rated = cells.crossJoin(top).select(*DIMS, "t", (F.col("w") / F.col("t") / F.col("top")).alias("r"))
     grid = rated.select("t", "r", F.explode(F.sequence(F.lit(0), F.lit(GRID))).alias("k"))
@@ -70,10 +84,56 @@ def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float) ->
     return rated.crossJoin(factor).select(*DIMS, F.least(F.lit(1.0), F.col("r") * F.pow(F.lit(2.0), F.col("k") / 4)).alias("prob"))
 
 
-def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+def refit(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, keep: float) -> DataFrame:
+    """Cells with their probability, raked again under the bound 1: source, lang, topic, t, prob."""
+    free = F.least(F.lit(keep), F.try_divide(F.lit(1.0), F.max(F.col("w") / F.col("t"))))  # no cell meets the bound up to this size
+    sizes = F.broadcast(cells.agg(free.alias("free")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SIZES)), lambda k: F.struct(k.alias("k"), (F.lit(keep) * F.pow(F.col("free") / F.lit(keep), k / SIZES)).alias("size")))).alias("s")).select("s.*"))  # SIZES + 1 rows
+    fits = cells.crossJoin(sizes).select(*DIMS, "t", "k", "size", (F.col("w") / F.col("t") * F.col("size")).alias("q"))
+    for sweep in range(sweeps):
+        for d in DIMS:
+            # The tokens expected under a multiplier x are the least, over cuts in the order of q, of those before the cut plus x times those after it;
+            # so the multiplier that gives the target is the greatest over cuts.
+            order = Window.partitionBy("k", d).orderBy(F.desc("q"), *DIMS)
+            before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            after = F.sum(F.col("t") * F.col("q")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            at = fits.join(targets[d], d).withColumn("x", (F.col("target") * F.col("size") - before) / after)
+            fits = at.select(*DIMS, "t", "k", "size", (F.col("q") * F.max("x").over(Window.partitionBy("k", d))).alias("q"))
+        fits = materialise(fits, f"refit{sweep}")
+    fits = fits.select(*DIMS, "t", "k", F.least(F.lit(1.0), "q").alias("prob"))
+    misses = achieved(fits, targets, "k").groupBy("k").agg(F.max(F.abs(F.col("achieved") - F.col("target"))).alias("miss"))
+    least = F.broadcast(misses.agg(F.greatest(F.lit(TOLERANCE), F.max_by("miss", "k")).alias("least")))  # one row
+    best = F.broadcast(misses.crossJoin(least).where("miss <= least").agg(F.min("k").alias("k")))  # one row
+    return materialise(fits.join(best, "k").select(*DIMS, "t", "prob"), "refitted")
+
+
+def achieved(cells: DataFrame, targets: dict[str, DataFrame], *by: str) -> DataFrame:
+    """Expected shares of the sample's tokens by margin and value, beside their targets."""
+    values = F.explode(F.array(*[F.struct(F.lit(d).alias("margin"), F.col(d).alias("value")) for d in DIMS])).alias("m")
+    have = cells.select(*by, (F.col("t") * F.col("prob")).alias("e"), values).groupBy(*by, "m.margin", "m.value").agg(F.sum("e").alias("e"))
+    want = None
+    for d in DIMS:
+        part = targets[d].select(F.lit(d).alias("margin"), F.col(d).alias("value"), "target")
+        want = part if want is None else want.unionAll(part)
+    own = Window.partitionBy(*by, "margin")
+    return have.join(want, ["margin", "value"]).select(*by, "margin", "value", (F.col("target") / F.sum("target").over(own)).alias("target"), (F.col("e") / F.sum("e").over(own)).alias("achieved"))
+
+
+def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float, bounded: bool = True) -> DataFrame:
+    """Cells with their probability: source, lang, topic, prob."""
+    cells, targets = raked(rows, alphas, sweeps)
+    return refit(cells, targets, sweeps, keep).drop("t") if bounded else cut_off(cells, keep)
+
+
+def margins(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+    """margin, value, and the target and achieved (expected) shares of the sample's tokens."""
+    cells, targets = raked(traits(docs), alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps)
+    return achieved(refit(cells, targets, sweeps, keep), targets)
+
+
+def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, bounded: bool = True) -> DataFrame:
     """Per row of docs: doc_id, source, lang, topic, n_tokens, prob and sampled."""
     rows = traits(docs)
-    prob = rake(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep)
+    prob = rake(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep, bounded)
     out = rows.join(prob, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (unit_hash("doc_id") < F.col("prob")).alias("sampled"))
 
@@ -86,7 +146,7 @@ def sample(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int
 
 
 def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> str:
-    """The same over the view `documents`, for DuckDB."""
+    """`mix` with bounded=False over the view `documents`, for DuckDB."""
     alphas = alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}
     cases = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPIC_MARKS) + " " + " ".join(f"WHEN length(text) < {m} THEN '{n}'" for n, m in TOPIC_LENGTHS)
     ctes = [

@@ -44,7 +44,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), bounded=False)  # as its SQL states it
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

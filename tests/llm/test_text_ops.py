@@ -46,6 +46,19 @@ def test_mixing_meets_targets(spark):
     assert [(r["n_tokens"], r["prob"], r["sampled"]) for r in none] == [(0, 0.0, False)] * 2
 
 
+def test_mixing_meets_all_margins_at_production_parameters(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = mixing.mix(real).toPandas()
+    assert 0 < (p["n_tokens"] * p["prob"]).sum() <= 0.601 * p["n_tokens"].sum() and p["prob"].between(0, 1).all()
+    told = {(r["margin"], r["value"]): r for r in mixing.margins(real).collect()}
+    for d, alpha in (("source", 0.5), ("lang", 0.7), ("topic", 0.5)):
+        raw = p["n_tokens"].groupby(p[d]).sum() / p["n_tokens"].sum()
+        want = raw**alpha / (raw**alpha).sum()
+        share = (p["n_tokens"] * p["prob"]).groupby(p[d]).sum() / (p["n_tokens"] * p["prob"]).sum()
+        assert np.allclose(share, want, atol=0.005), (d, share, want)
+        assert all(abs(told[d, v]["target"] - want[v]) < 1e-6 and abs(told[d, v]["achieved"] - share[v]) < 1e-4 for v in want.index if want[v])
+
+
 def test_sharding(spark):
     texts = ["x" * (i % 90) for i in range(800)] + [None, "", "y" * 5000]
     df = docs(spark, texts).withColumn("bytes", F.lit(1)).withColumn("shard", F.lit("clash"))
