@@ -1,40 +1,66 @@
 """The corpus pipeline: documents through quality rules, language ID, near-duplicate removal, mixing and BPE.
 
-Each stage works on all rows its predecessor kept. The first four return the columns of documents; the last
+Each stage works on all rows its predecessor kept and finds its input written, so whatever the stage before wrote on its way
+is deleted when the next one begins. The first four return the columns of documents; the last
 one gives each remaining document's token count and the digests of its ids and of its decoded text.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, langid, mixing, quality
-from tessera.llm.common import materialise, table
+from tessera.llm.common import delete, materialise, scope, table
 from tessera.llm.queries import vocabulary
 
+#: Tables that the last stage wrote on its way. Its result is written by the time that the next stage begins.
+_LEFT: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes what the stage before it left in the shared folder."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            delete(spark, _LEFT.pop())
+        with scope(_LEFT):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; null languages are filled in."""
     model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()), vocabulary("piece_bpe_32k.model"))
     return langid.keep(docs, model)
 
 
+@stage
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a word 5-gram Jaccard similarity of 0.8 or more."""
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
+@stage
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by raked weights of source, language and topic."""
     return mixing.sample(docs)
 
 
+@stage
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests."""
     return bpe.round_trips(docs, vocabulary())
@@ -53,6 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+    last = None
+    for k, (_, work) in enumerate(STAGES):
+        docs = materialise(work(spark, docs, sf_dir), f"stage{k}")
+        if last is not None:
+            delete(spark, last)
+        last = docs._table
     return docs

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word cache may hold before it starts afresh (a memory bound, not a data bound).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +23,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary folder; a cluster has none that all could see, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Paths of the tables that a scope (a stage of the pipeline) has written; see `scope`.
+_WRITTEN: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._table)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(paths: list[str]):
+    """Within it, `materialise` notes its tables in paths, so that they can be deleted once what reads them is written."""
+    _WRITTEN.append(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.pop()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it new to df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A side of a join is broadcast up to so many bytes, at so many a row of a few longs in Spark's hash tables.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 160
+
+
+def sent(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join (a few longs a row), broadcast where its counted rows allow; beyond, Spark shuffles and splits skewed keys."""
+    return F.broadcast(table) if rows * ROW_BYTES <= BROADCAST_BYTES else table
+
+
+def by_bytes(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """An Arrow string column in slices of at most so many bytes of text, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield column.slice(at, to - at)
+        at = to
 
 
 def byte_strings(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -60,6 +126,7 @@ def focus(name: str) -> None:
         for other, calls in _EMPTY.items():
             for empty in calls if other != name else []:
                 empty()
+        pa.default_memory_pool().release_unused()
         _FOCUS[0] = name
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import drop, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,17 +13,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round a vertex takes the least label among its own and its neighbours', then the label of that label,
     so long chains halve. Messages are map-side combined; labels are cut off by a table in the shared folder.
-    Self-loops and repeated edges do no harm; null ends are left out; no edges give no rows.
+    A hub's edges are one key of a sort-merge join, which Spark's adaptive execution splits. No vertex's neighbours are ever
+    gathered, and tables of past rounds are deleted, so a round takes as much disk as the edges. Self-loops and repeated edges do no harm; null ends are left out; no edges give no rows.
     """
     both = edges.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v IS NOT NULL AND w IS NOT NULL")
     both = materialise(both.unionByName(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")
     label = materialise(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("comp")), "labels")
+    table = label
     while True:
         heard = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("comp").alias("m"))
         near = label.join(heard, "v").select("v", "comp", F.least("comp", "m").alias("m"))
         jump = label.select(F.col("v").alias("m"), F.col("comp").alias("j"))
         step = materialise(near.join(jump, "m").select("v", F.col("comp").alias("old"), F.least("m", "j").alias("comp")), "labels")
         changed = step.where("old <> comp").limit(1).count()
-        label = step.select("v", "comp")
+        drop(table)
+        table, label = step, step.select("v", "comp")
         if not changed:
+            drop(both)
             return label

@@ -7,7 +7,9 @@ Piece probabilities come from expectation maximisation on word counts of a bound
 
 Words are runs of letters, lower-cased. A null text, or one without a letter, gets `und` and score 0. A
 character that no piece covers has the same small probability in each language. With nothing to learn from,
-every text gets `und`. Ties go to the first language in order. Repeated rows are each predicted.
+every text gets `und`, and an empty table gives an empty result. Ties go to the first language in order. Repeated rows
+are each predicted, null ids too. Very long texts are taken whole, one at a time. `predict` gives the columns asked for and two more,
+which must not be among them; `keep` gives all columns of docs.
 """
 
 from __future__ import annotations
@@ -17,19 +19,18 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cached_by, focus
-
-
+from tessera.llm.common import by_bytes, cached_by, focus, fresh
 
 WORD = regex.compile(r"\p{L}+")
-MARK, UNKNOWN, CACHE_WORDS = "▁", 1e-9, 500_000
+MARK, UNKNOWN = "▁", 1e-9
+#: Bytes that a worker's memory of runs may take before it starts afresh, and what a run takes besides its letters and likelihoods.
+CACHE_BYTES, RUN_BYTES = 32 << 20, 160
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,17 +168,13 @@ class Model:
         self.langs, self.lattice, self.prob = langs, lattice, prob
         self.key = hashlib.sha1(prob.tobytes() + "|".join(langs).encode()).hexdigest()
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text, in slices of about a million characters to bound memory."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each text, in slices of bounded bytes."""
         focus("langid")
-        langs, scores, part, size = [], [], [], 0
-        for i, t in enumerate(texts):
-            part.append(t)
-            size += len(t or "")
-            if size > 1_000_000 or i + 1 == len(texts):
-                for out, got in zip((langs, scores), self.predict_slice(part)):
-                    out += got
-                part, size = [], 0
+        langs, scores = [], []
+        for part in by_bytes(texts, 1 << 20):
+            for out, got in zip((langs, scores), self.predict_slice(part.to_pylist())):
+                out += got
         return langs, scores
 
     def predict_slice(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -200,17 +197,21 @@ class Model:
 class Memory:
     """What a worker has met between white space: words of letters in each run and their log-likelihoods, summed.
 
-    A bounded cache that starts afresh when full.
+    A cache of bounded bytes that starts afresh when full.
     """
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, np.zeros((1 << 16, 1 + len(model.langs)))
+        self.model, self.at, self.rows, self.bytes = model, {}, np.zeros((1 << 14, 1 + len(model.langs))), 0
 
     def learn(self, runs) -> None:
         runs = set(runs)
         fresh = [r for r in runs if r not in self.at]
-        if len(self.at) + len(fresh) > CACHE_WORDS:
+        more = sum(map(len, fresh)) + len(fresh) * (RUN_BYTES + 8 * self.rows.shape[1])
+        if self.bytes + more > CACHE_BYTES:
             self.at, fresh = {}, list(runs)
+            self.bytes = sum(map(len, fresh)) + len(fresh) * (RUN_BYTES + 8 * self.rows.shape[1])
+        else:
+            self.bytes += more
         if not fresh:
             return
         words = [[w] if (w := r.rstrip(".,;:!?")).isalpha() else WORD.findall(r) for r in fresh]
@@ -253,8 +254,10 @@ def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3,
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[lang].update(WORD.findall(text.lower()))
+            of = iter(batch.column(0).to_pylist())
+            for part in by_bytes(batch.column(1)):
+                for text in part.to_pylist():
+                    seen[next(of)].update(WORD.findall(text.lower()))
             flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -278,9 +281,9 @@ def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3,
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype("int32")), pa.array(piece.astype("int32")), pa.array(total[piece, lang])], ["lang", "piece", "n"])
 
-        got = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         prob = np.full_like(prob, 0.01)  # a small count for each piece, so that none is impossible
-        np.add.at(prob, (got["piece"].to_numpy(), got["lang"].to_numpy()), got["n"].to_numpy())
+        prob[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
         prob[0] = 0
         prob /= prob.sum(0)
     counts.unpersist()
@@ -295,7 +298,7 @@ def predict(docs: DataFrame, model: Model, *keep: Column | str, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column(len(names)).to_pylist())
+            langs, scores = shared.value.predict(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = T.StructType(part.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
@@ -308,15 +311,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows of no language or of a score under least; a null language becomes the predicted one."""
+    """docs without the rows of no language or of a score under least; a null language becomes the predicted one.
+    Only texts go to Python. All columns stay, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        langs, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], dtype=object)
+    @F.arrow_udf("string")
+    def language(texts: pa.Array) -> pa.Array:
+        langs, scores = shared.value.predict(texts)
+        return pa.array([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], pa.string())
 
-    names = docs.columns
+    names, (found,) = docs.columns, fresh(docs, "_found")
     once = language.asNondeterministic()  # so that the optimizer doesn't evaluate it again for the filter
-    out = docs.withColumn("_found", once(docs[text_col])).where(F.col("_found").isNotNull())
-    return out.withColumn(lang_col, F.coalesce(lang_col, "_found")).select(*names)
+    out = docs.withColumn(found, once(docs[text_col])).where(F.col(found).isNotNull())
+    return out.withColumn(lang_col, F.coalesce(lang_col, found)).select(*names)

@@ -5,9 +5,11 @@ the smallest md5 of the id first). A document's path lengths over the random spl
 score. The threshold is set on all labelled rows: the lowest score, on a grid of 1/1000, at which at most
 `max_loss` of the good rows that pass the base rules would be rejected.
 
-Null text has no words: it fails the base rules. Null ids are kept as rows without a label. Repeated rows are
-judged each. Extra columns of the input pass through `judge` where their names do not clash. Without any
-labelled good row there is no forest and the base rules decide alone.
+Null and empty texts have no words: they fail the base rules. Null ids are rows without a label. Repeated rows are
+judged each; of several labels of one id the worst counts. Very long texts are measured whole, one at a time. `judge` reads the id and the text
+alone, so extra columns do no harm and are not in its result; `keep` gives all of them back. Without any
+labelled good row there is no forest and the base rules decide alone; an empty table gives an empty result. What comes to the driver
+is the sample, at most 25,600 rows of eight numbers (2 MB) at any size of the input.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import focus, materialise, windows, word_hashes
+from tessera.llm.common import by_bytes, focus, fresh, materialise, windows, word_hashes
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -67,19 +68,27 @@ def statistics(text: str | None) -> tuple:
     return (n, chars, symbols, dup, repeat, chars / max(n, 1), symbols / c, dup / max(len(lines), 1), repeat / max(n, 1), upper / max(letters, 1), sum(int(kinds[ord(p)]) for p in PUNCTUATION) / c, digits / c, sum(map(data.count, BARE)) / max(n, 1))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, the five counts, base_failed and the features. Narrow, no shuffle."""
-    names = ["doc_id", *COUNTS, *FEATURES]
+def counted(texts: pa.Array) -> pa.Array:
+    """The counts and features of texts, as structs."""
+    focus("words")
+    rows = [row for part in by_bytes(texts) for row in map(statistics, part.to_pylist())]
+    cols = list(zip(*rows)) or [()] * (len(COUNTS) + len(FEATURES))
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64() if i < len(COUNTS) else pa.float64()) for i, x in enumerate(cols)], [*COUNTS, *FEATURES])
+
+
+def statistics_of(text: Column) -> Column:
+    kinds = ", ".join([f"{c}: bigint" for c in COUNTS] + [f"{c}: double" for c in FEATURES])
+    return F.arrow_udf(counted, f"struct<{kinds}>").asNondeterministic()(text)  # else the optimizer evaluates it once for each field
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        focus("words")
-        for batch in batches:
-            cols = list(zip(*map(statistics, batch.column(1).to_pylist()))) or [()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64() if i < 5 else pa.float64()) for i, x in enumerate(cols)]], names)
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in FEATURES)
-    out = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, the five counts, base_failed and the features. Narrow, no shuffle."""
+    out = docs.select(docs[id_col].cast("bigint").alias("doc_id"), statistics_of(docs[text_col]).alias("s"))
+    return out.select("doc_id", "s.*").withColumn("base_failed", base_failed())
 
 
 def mean_path(n: float) -> float:
@@ -141,10 +150,10 @@ def fit_forest(stats: DataFrame, labels: DataFrame, trees: int = 100, per_tree:
     """Fit on at most trees * per_tree good labelled rows that pass the base rules; the box is that of all labelled rows."""
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
     rows = stats.where(~F.col("base_failed")).join(marks, "doc_id")
-    sample = rows.where("good").select(*FEATURES).orderBy(F.md5(rows["doc_id"].cast("string")), *FEATURES).limit(trees * per_tree).toPandas()
+    sample = rows.where("good").orderBy(F.md5(rows["doc_id"].cast("string")), *FEATURES).limit(trees * per_tree).select(*FEATURES).toArrow()
     box = rows.agg(*[f(c).alias(f"{c}_{n}") for n, f in (("low", F.min), ("high", F.max)) for c in FEATURES]).first()
     low, high = (np.array([box[f"{c}_{n}"] for c in FEATURES], dtype=float) for n in ("low", "high"))
-    return Forest(sample[FEATURES].to_numpy(float), low, high, trees, per_tree, seed) if len(sample) else None
+    return Forest(np.column_stack([sample[c].to_numpy() for c in FEATURES]), low, high, trees, per_tree, seed) if len(sample) else None
 
 
 def score(stats: DataFrame, forest: Forest | None) -> DataFrame:
@@ -153,11 +162,10 @@ def score(stats: DataFrame, forest: Forest | None) -> DataFrame:
         return stats.withColumn("anomaly", F.lit(None).cast("double"))
     model = stats.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def anomaly(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(np.column_stack([c.to_numpy(float) for c in columns])))
+    def anomaly(*columns: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])))
 
-    return stats.withColumn("anomaly", anomaly(*FEATURES))
+    return stats.withColumn("anomaly", F.arrow_udf(anomaly, "double")(*FEATURES))
 
 
 def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = 0.005, grid: int = 1000) -> float:
@@ -172,29 +180,25 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = 0.005, gri
     return 1.0
 
 
+def verdict(cut: float) -> Column:
+    return ~F.col("base_failed") & (F.coalesce(F.col("anomaly"), F.lit(0.0)) < cut)
+
+
 def judge(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None, max_loss: float = 0.005, **forest) -> DataFrame:
     """Per row of docs: doc_id, counts, base_failed, anomaly, cut, kept. stats: what `measure` gave, if already stored."""
     stats = measure(docs) if stats is None else stats
     scored = score(stats, fit_forest(stats, labels, **forest))
     cut = threshold(scored, labels, max_loss)
-    verdict = ~F.col("base_failed") & (F.coalesce(F.col("anomaly"), F.lit(0.0)) < cut)
-    return scored.select("doc_id", *COUNTS, "base_failed", "anomaly", F.lit(cut).alias("cut"), verdict.alias("kept"))
+    return scored.select("doc_id", *COUNTS, "base_failed", "anomaly", F.lit(cut).alias("cut"), verdict(cut).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, max_loss: float = 0.005, text_col: str = "text", **forest) -> DataFrame:
-    """docs without the rows that the base rules or the forest reject; all columns stay, no row is shuffled."""
-    stats = materialise(measure(docs, text_col=text_col), "quality")
+def keep(docs: DataFrame, labels: DataFrame, max_loss: float = 0.005, id_col: str = "doc_id", text_col: str = "text", **forest) -> DataFrame:
+    """docs without the rows that the base rules or the forest reject; all columns stay, whatever their names. No row is
+    shuffled; texts are measured once, and the statistics stored beside the rows that pass the base rules."""
+    names, (row, mark) = docs.columns, fresh(docs, "_row", "_stats")
+    told = docs.withColumn(mark, statistics_of(docs[text_col])).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), f"{mark}.*")
+    told = materialise(told.withColumn("base_failed", base_failed()).where("NOT base_failed"), "measured")
+    stats = told.drop(row)
     model = fit_forest(stats, labels, **forest)
     cut = threshold(score(stats, model), labels, max_loss)
-    shared = docs.sparkSession.sparkContext.broadcast((model, cut))
-
-    @F.pandas_udf("boolean")
-    def passes(texts: pd.Series) -> pd.Series:
-        focus("words")
-        forest_, cut_ = shared.value
-        rows = np.array([statistics(t) for t in texts], dtype=float).reshape(len(texts), len(COUNTS) + len(FEATURES))
-        base = (rows[:, 0] < MIN_WORDS) | (100 * rows[:, 4] > MAX_REPEAT_PERCENT * rows[:, 0])
-        odd = forest_.score(rows[:, len(COUNTS) :]) >= cut_ if forest_ is not None else np.zeros(len(rows), dtype=bool)
-        return pd.Series(~base & ~odd)
-
-    return docs.where(passes(docs[text_col]))
+    return score(told, model).where(verdict(cut)).select(f"{row}.*")

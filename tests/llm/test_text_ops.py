@@ -203,15 +203,38 @@ def test_packing_is_best_fit_and_lossless(spark):
         assert len(rows) == len(rooms) + sum(n // size for n in lengths)
     texts = ["word " * 3000, None, "", "short one", "Ünïcode ok " * 40] + [f"text {i} " * (i % 50) for i in range(80)]
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    out = packing.packed(docs(spark, texts).withColumn("ids", F.lit(1)), ranks, size=128, shard_bytes=4000).cache()
+    df = docs(spark, texts).withColumn("ids", F.lit(1))
+    out = packing.packed(df, ranks, size=128, shard_bytes=4000).cache()
     got = {r["doc_id"]: r["ids"] for r in packing.unpack(out).collect()}
     enc = packing.encoder(ranks)
     assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts) if t}
     for r in out.collect():
-        assert len(r["ids"]) == len(r["position_ids"]) == 128 and r["cu_seqlens"][-1] == r["n_ids"] <= 128
+        ids, where = (np.frombuffer(r[c], dtype="<i4") for c in ("ids", "position_ids"))
+        assert len(ids) == len(where) == 128 and r["cu_seqlens"][-1] == r["n_ids"] <= 128 and set(ids[r["n_ids"] :]) <= {50256}
+        assert len(r["doc_ids"]) == len(r["seqs"]) == len(r["starts"]) == len(r["cu_seqlens"]) - 1
         for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:]):
-            assert r["position_ids"][a:b] == list(range(b - a))
+            assert where[a:b].tolist() == list(range(b - a))
     assert packing.packed(docs(spark, []), ranks).count() == 0
+    # repeated rows and ids: each row comes back, and copies don't gather in one shard
+    many = spark.createDataFrame([(1, "same text " * 30)] * 90 + [(1, "other")] * 2 + [(None, "no id")] * 3 + [(None, "b")], "doc_id bigint, text string")
+    rows = packing.packed(many.coalesce(1), ranks, size=64, shard_bytes=3000).cache()
+    back = sorted((str(r["doc_id"]), r["ids"]) for r in packing.unpack(rows).collect())
+    assert back == sorted((str(r["doc_id"]), enc.encode_ordinary(r["text"])) for r in many.collect())
+    assert rows.select("shard").distinct().count() > 5
+
+
+def test_packed_rows_as_matrices(spark, tmp_path):
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    out = packing.packed(docs(spark, [f"text {i} " * (i % 50) for i in range(60)]), ranks, size=32, shard_bytes=4000).cache()
+    rows = {(r["shard"], r["row"]): r for r in out.collect()}
+    shards = packing.write(out, str(tmp_path / "packed")).collect()
+    assert sorted(r["shard"] for r in shards) == sorted({s for s, _ in rows}) and sum(r["n_rows"] for r in shards) == len(rows)
+    for r in shards:
+        ids = np.frombuffer(r["ids"], dtype="<i4").reshape(r["n_rows"], 32)
+        cuts = np.split(np.frombuffer(r["cu_seqlens"], dtype="<i4"), np.cumsum(np.frombuffer(r["n_cu"], dtype="<i4"))[:-1])
+        for k in range(r["n_rows"]):
+            own = rows[r["shard"], k]
+            assert ids[k].tobytes() == own["ids"] and cuts[k].tolist() == own["cu_seqlens"]
 
 
 def test_bpe_equals_the_library(spark):
