@@ -81,7 +81,7 @@ def near_copies(seed, n=160):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "One"), (n + 4, "one"), (n + 5, "É a b"), (n + 6, "é a b")]
 
 
-@pytest.mark.parametrize("k,percent,options", [(3, 90, {}), (5, 80, {}), (3, 90, {"block": 6, "deals": 1}), (3, 90, {"block": 4, "deals": 0}), (1, 50, {})])
+@pytest.mark.parametrize("k,percent,options", [(3, 90, {}), (5, 80, {}), (3, 90, {"block": 6, "deals": 1}), (3, 90, {"block": 4, "deals": 0}), (1, 50, {}), (3, 90, {"hot_at": 8}), (5, 80, {"id_bits": 3})])
 def test_jaccard_matches_brute_force(spark, k, percent, options):
     rows = near_copies(k * 100 + percent)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("cid", F.lit(3)).withColumn("n", F.lit("x"))
@@ -105,13 +105,12 @@ def test_block_search_uses_long_lists():
     for i in range(120):
         core = set(range(100 * (i % 3), 100 * (i % 3) + 100))
         sets.append(sorted((core - set(rng.integers(0, 300, 3).tolist())) | {1000 + i % 7}))
-    block = jaccard.Block(90)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    for i in order:
-        block.add(sets[i])
+    block = jaccard.components_of_sets([np.array(sets[i]) for i in order], 90)
+    assert block.searches > 110  # every set but the first of each kind meets lists enough
     got = {}
     for place, i in enumerate(order):
-        got.setdefault(block.root(place), set()).add(i)
+        got.setdefault(block.comp[place], set()).add(i)
     parent = list(range(120))
 
     def root(i):
