@@ -8,17 +8,19 @@ Probabilities are at most 1, and the raking is done again under this bound: a ce
 least(1, product of its margins' multipliers), and each step solves a margin's multipliers exactly. Not every sample size
 can meet the targets (a scarce value gives no more than it has), so sizes from the share `keep` of all
 tokens down to that at which no cell meets the bound are fitted side by side, and the largest one counts whose three margins
-all hold within `TOLERANCE`. `margins` returns target and achieved shares.
-
-With bounded=False, as in the SQL of `op3_mixing`, the raked weights are only cut off at 1, by the largest factor of a
-geometric grid at which no more than `keep` is expected; margins then miss their targets where cells are cut off.
+all hold within `TOLERANCE` (or, where none does, that of no bound). `margins` returns target and achieved shares, and every row of `mix` the largest
+miss of any margin.
 
 Targets are tempered shares: a value's target is its token share to the power `alpha`, normalised. The cell table
-is an aggregate (map-side combined, so a hot source is no hot task); margins join it by key, broadcast by
-Spark only where their size allows. The lineage is cut after every sweep by a table in the shared folder.
+is an aggregate (map-side combined, so a hot source is no hot task). Documents meet their cell by a broadcast of the counted
+cells while these are few, beyond by a join on cell and salt, so that no cell's rows gather in one task. The lineage is cut after every sweep by a
+table in the shared folder.
+
+Topics are kinds of text told by marks in it (`TOPIC_MARKS`) and by length. Tokens are runs of other than blanks; CJK characters count one each.
 
 Null source, language or topic is a value of its own (`<null>`); null and empty texts have no tokens and get the
-probability of their cell (0 in a cell without tokens). Rows with equal ids share one fate.
+probability of their cell (0 in a cell without tokens). Rows with equal ids share one fate. Very long texts are counted whole; an empty table gives
+an empty result. `mix` reads id, text, source and language, `sample` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, unit_hash
+from tessera.llm.common import BROADCAST_BYTES, fresh, materialise, unit_hash
 
 DIMS = ("source", "lang", "topic")
 # Topics by what a text holds, first match wins; then by length.
 TOPIC_MARKS = [("licensed", "Licensed under"), ("licensed", "Released under"), ("table", " | "), ("symbols", "###"), ("contact", "@"), ("shout", "!! ")]
-#: Steps of the factor's grid, each a quarter of a doubling.
-GRID = 160
+# What counts as one token, a character or a run.
+CJK = r"\x{3040}-\x{30ff}\x{4e00}-\x{9fff}"
+TOKEN = rf"[{CJK}]|[^ \t\r\n{CJK}]+"
+#: Bytes that a cell takes in a broadcast, and the tasks that a cell's rows are dealt to where cells are too many for one.
+CELL_BYTES, SALTS = 512, 64
 #: Sample sizes fitted side by side, less one, and the largest miss of a margin's share that counts as met.
 SIZES, TOLERANCE = 24, 0.002
 TOPIC_LENGTHS = [("short", 500), ("medium", 3000)]
@@ -48,8 +53,7 @@ def topic(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Tokens by single spaces; none in a null or empty text."""
-    return F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
 
 
 def traits(docs: DataFrame) -> DataFrame:
@@ -74,18 +78,8 @@ def raked(rows: DataFrame, alphas: dict[str, float], sweeps: int) -> tuple[DataF
     return cells, targets
 
 
-def cut_off(cells: DataFrame, keep: float) -> DataFrame:
-    """Cells with their probability, raked weights cut off at 1: source, lang, topic, prob."""
-    top = F.broadcast(cells.agg(F.max(F.col("w") / F.col("t")).alias("top")))  # one row
-    rated = cells.crossJoin(top).select(*DIMS, "t", (F.col("w") / F.col("t") / F.col("top")).alias("r"))
-    grid = rated.select("t", "r", F.explode(F.sequence(F.lit(0), F.lit(GRID))).alias("k"))
-    expected = grid.groupBy("k").agg(F.sum(F.col("t") * F.least(F.lit(1.0), F.col("r") * F.pow(F.lit(2.0), F.col("k") / 4))).alias("e"), F.sum("t").alias("t"))
-    factor = F.broadcast(expected.where((F.col("e") <= F.lit(keep) * F.col("t")) | (F.col("k") == 0)).agg(F.max("k").alias("k")))  # one row
-    return rated.crossJoin(factor).select(*DIMS, F.least(F.lit(1.0), F.col("r") * F.pow(F.lit(2.0), F.col("k") / 4)).alias("prob"))
-
-
 def refit(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, keep: float) -> DataFrame:
-    """Cells with their probability, raked again under the bound 1: source, lang, topic, t, prob."""
+    """Cells with their probability, raked again under the bound 1: source, lang, topic, t, prob, miss (the largest of a margin's share)."""
     free = F.least(F.lit(keep), F.try_divide(F.lit(1.0), F.max(F.col("w") / F.col("t"))))  # no cell meets the bound up to this size
     sizes = F.broadcast(cells.agg(free.alias("free")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SIZES)), lambda k: F.struct(k.alias("k"), (F.lit(keep) * F.pow(F.col("free") / F.lit(keep), k / SIZES)).alias("size")))).alias("s")).select("s.*"))  # SIZES + 1 rows
     fits = cells.crossJoin(sizes).select(*DIMS, "t", "k", "size", (F.col("w") / F.col("t") * F.col("size")).alias("q"))
@@ -102,8 +96,8 @@ def refit(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, keep: fl
     fits = fits.select(*DIMS, "t", "k", F.least(F.lit(1.0), "q").alias("prob"))
     misses = achieved(fits, targets, "k").groupBy("k").agg(F.max(F.abs(F.col("achieved") - F.col("target"))).alias("miss"))
     least = F.broadcast(misses.agg(F.greatest(F.lit(TOLERANCE), F.max_by("miss", "k")).alias("least")))  # one row
-    best = F.broadcast(misses.crossJoin(least).where("miss <= least").agg(F.min("k").alias("k")))  # one row
-    return materialise(fits.join(best, "k").select(*DIMS, "t", "prob"), "refitted")
+    best = F.broadcast(misses.crossJoin(least).where("miss <= least").agg(F.min("k").alias("k"), F.min_by("miss", "k").alias("miss")))  # one row
+    return materialise(fits.join(best, "k").select(*DIMS, "t", "prob", "miss"), "refitted")
 
 
 def achieved(cells: DataFrame, targets: dict[str, DataFrame], *by: str) -> DataFrame:
@@ -118,40 +112,51 @@ def achieved(cells: DataFrame, targets: dict[str, DataFrame], *by: str) -> DataF
     return have.join(want, ["margin", "value"]).select(*by, "margin", "value", (F.col("target") / F.sum("target").over(own)).alias("target"), (F.col("e") / F.sum("e").over(own)).alias("achieved"))
 
 
-def rake(rows: DataFrame, alphas: dict[str, float], sweeps: int, keep: float, bounded: bool = True) -> DataFrame:
-    """Cells with their probability: source, lang, topic, prob."""
-    cells, targets = raked(rows, alphas, sweeps)
-    return refit(cells, targets, sweeps, keep).drop("t") if bounded else cut_off(cells, keep)
+def rake(rows: DataFrame, alphas: dict[str, float] | None, sweeps: int, keep: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells with their probability (source, lang, topic, t, prob, miss), and the targets."""
+    cells, targets = raked(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps)
+    return refit(cells, targets, sweeps, keep), targets
+
+
+def met(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their cell; keys in the order of source, lang, topic, under the same names on both sides."""
+    if cells.count() * CELL_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(cells), keys, "left")
+    (salt,) = fresh(rows, "_salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in keys]), F.lit(SALTS)))
+    return dealt.join(cells.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), [*keys, salt], "left").drop(salt)
 
 
 def margins(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
     """margin, value, and the target and achieved (expected) shares of the sample's tokens."""
-    cells, targets = raked(traits(docs), alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps)
-    return achieved(refit(cells, targets, sweeps, keep), targets)
+    return achieved(*rake(traits(docs), alphas, sweeps, keep))
 
 
-def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, bounded: bool = True) -> DataFrame:
-    """Per row of docs: doc_id, source, lang, topic, n_tokens, prob and sampled."""
+def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+    """Per row of docs: doc_id, source, lang, topic, n_tokens, prob, sampled and margin_miss (the same in every row; null without tokens at all)."""
     rows = traits(docs)
-    prob = rake(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep, bounded)
-    out = rows.join(prob, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
-    return out.select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (unit_hash("doc_id") < F.col("prob")).alias("sampled"))
+    cells, _ = rake(rows, alphas, sweeps, keep)
+    out = met(rows, cells.select(*DIMS, "prob"), list(DIMS)).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    miss = F.broadcast(cells.agg(F.round(F.max("miss"), 6).alias("margin_miss")))  # one row
+    return out.crossJoin(miss).select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (unit_hash("doc_id") < F.col("prob")).alias("sampled"), "margin_miss")
 
 
 def sample(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
     """The rows of docs that `mix` samples, with all their columns."""
-    prob = rake(traits(docs), alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps, keep).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("prob").alias("_prob"))
-    keys = {"_source": F.coalesce(docs["source"].cast("string"), F.lit("<null>")), "_lang": F.coalesce(docs["lang"].cast("string"), F.lit("<null>")), "_topic": topic(docs["text"])}
-    return docs.withColumns(keys).join(prob, list(keys), "left").where(unit_hash("doc_id") < F.coalesce("_prob", F.lit(0.0))).select(*docs.columns)
+    cells, _ = rake(traits(docs), alphas, sweeps, keep)
+    *keys, prob = fresh(docs, "_source", "_lang", "_topic", "_prob")
+    own = [F.coalesce(docs["source"].cast("string"), F.lit("<null>")), F.coalesce(docs["lang"].cast("string"), F.lit("<null>")), topic(docs["text"])]
+    known = cells.select(*[F.col(d).alias(k) for d, k in zip(DIMS, keys)], F.col("prob").alias(prob))
+    return met(docs.withColumns(dict(zip(keys, own))), known, keys).where(unit_hash("doc_id") < F.coalesce(prob, F.lit(0.0))).select(*docs.columns)
 
 
 def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> str:
-    """`mix` with bounded=False over the view `documents`, for DuckDB."""
+    """`mix` over the view `documents`, for DuckDB."""
     alphas = alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}
     cases = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPIC_MARKS) + " " + " ".join(f"WHEN length(text) < {m} THEN '{n}'" for n, m in TOPIC_LENGTHS)
     ctes = [
         f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, CASE WHEN text IS NULL THEN '<null>' {cases} ELSE 'long' END AS topic,
-        CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END::BIGINT AS n_tokens FROM documents)""",
+        coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0)::BIGINT AS n_tokens FROM documents)""",
         "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for x in DIMS:
@@ -162,7 +167,20 @@ def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0
         for x in DIMS:
             ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, t, w * target / have AS w FROM c{i} c JOIN (SELECT {x}, sum(w) AS have FROM c{i} GROUP BY {x}) m USING ({x}) JOIN g_{x} USING ({x}))")
             i += 1
-    ctes.append(f"r AS MATERIALIZED (SELECT source, lang, topic, t, w / t / (SELECT max(w / t) FROM c{i}) AS r FROM c{i})")
-    ctes.append(f"k AS MATERIALIZED (SELECT max(k) AS k FROM (SELECT k, sum(t * least(1.0::DOUBLE, r * pow(2.0, k / 4))) AS e, sum(t) AS t FROM r, (SELECT unnest(range(0, {GRID + 1})) AS k) GROUP BY k) WHERE e <= {keep} * t OR k = 0)")
-    ctes.append("q AS MATERIALIZED (SELECT source, lang, topic, least(1.0::DOUBLE, r * pow(2.0, k / 4)) AS prob FROM r, k)")
-    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(prob, 0.0), 6) AS prob, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(prob, 0.0) AS sampled FROM d LEFT JOIN q USING (source, lang, topic)"
+    ctes.append(f"free AS MATERIALIZED (SELECT least({keep}::DOUBLE, 1.0::DOUBLE / max(w / t)) AS free FROM c{i})")
+    ctes.append(f"sizes AS MATERIALIZED (SELECT k, {keep}::DOUBLE * pow(free / {keep}::DOUBLE, k / {SIZES}.0::DOUBLE) AS size FROM free, (SELECT unnest(range(0, {SIZES + 1})) AS k))")
+    ctes.append(f"f0 AS MATERIALIZED (SELECT source, lang, topic, t, k, size, w / t * size AS q FROM c{i}, sizes)")
+    j = 0
+    for _ in range(sweeps):
+        for x in DIMS:
+            ctes.append(f"""f{j + 1} AS MATERIALIZED (SELECT source, lang, topic, t, k, size, q * max(x) OVER (PARTITION BY k, {x}) AS q FROM (
+        SELECT f.*, (target * size - coalesce(sum(t) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(t * q) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x
+        FROM f{j} f JOIN g_{x} USING ({x}) WINDOW o AS (PARTITION BY k, {x} ORDER BY q DESC, source, lang, topic)))""")
+            j += 1
+    ctes.append(f"fit AS MATERIALIZED (SELECT source, lang, topic, t, k, least(1.0::DOUBLE, q) AS prob FROM f{j})")
+    parts = " UNION ALL ".join(f"SELECT k, '{x}' AS margin, {x} AS value, sum(t * prob) AS e, any_value(target) AS target FROM fit JOIN g_{x} USING ({x}) GROUP BY k, {x}" for x in DIMS)
+    ctes.append(f"shares AS MATERIALIZED (SELECT k, abs(e / sum(e) OVER o - target / sum(target) OVER o) AS miss FROM ({parts}) WINDOW o AS (PARTITION BY k, margin))")
+    ctes.append("misses AS MATERIALIZED (SELECT k, max(miss) AS miss FROM shares GROUP BY k)")
+    ctes.append(f"best AS MATERIALIZED (SELECT min(k) AS k, arg_min(miss, k) AS miss FROM misses WHERE miss <= (SELECT greatest({TOLERANCE}::DOUBLE, arg_max(miss, k)) FROM misses))")
+    ctes.append("q AS MATERIALIZED (SELECT source, lang, topic, prob FROM fit WHERE k = (SELECT k FROM best))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(prob, 0.0), 6) AS prob, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(prob, 0.0) AS sampled, (SELECT round(miss, 6) FROM best) AS margin_miss FROM d LEFT JOIN q USING (source, lang, topic)"

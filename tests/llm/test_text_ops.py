@@ -27,7 +27,7 @@ def test_licenses(spark):
         licenses.check_anchors({"X": "nothing to hold on to"})
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 60)), ["en", "de", None][int(rng.integers(0, 3))], ["hot", "hot", "a", "b"][int(rng.integers(0, 4))], 0) for i in range(4000)]
     df = spark.createDataFrame(rows, DOCS).withColumn("prob", F.lit("clash")).withColumn("t", F.lit(0))
@@ -40,7 +40,12 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(share / share.sum(), want, atol=0.02)
     assert abs(p["sampled"].mean() - p["prob"].mean()) < 0.03
     assert set(p["lang"]) == {"en", "de", "<null>"}
-    assert mixing.sample(df, sweeps=2).columns == df.columns
+    clash = df.withColumn("_prob", F.lit("x")).withColumn("_source", F.lit(2))
+    assert mixing.sample(clash, sweeps=2).columns == clash.columns
+    rows, cells = mixing.traits(df), mixing.rake(mixing.traits(df), None, 2, 0.3)[0].select(*mixing.DIMS, "prob")
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)  # beyond the bound: a salted join
+    assert mixing.met(rows, cells, list(mixing.DIMS)).select("doc_id", "prob").exceptAll(rows.join(cells, list(mixing.DIMS), "left").select("doc_id", "prob")).count() == 0
+    assert [r[0] for r in spark.createDataFrame([("a  b\tc",), ("漢字 x",), (None,), ("",)], "s string").select(mixing.tokens(F.col("s"))).collect()] == [3, 3, 0, 0]
     assert mixing.mix(docs(spark, [])).count() == 0
     none = mixing.mix(docs(spark, [None, ""])).collect()
     assert [(r["n_tokens"], r["prob"], r["sampled"]) for r in none] == [(0, 0.0, False)] * 2
