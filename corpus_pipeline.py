@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, langid, mixing, quality
-from tessera.llm.common import delete, materialise, scope, table
+from tessera.llm.common import delete, materialise, scope, small_batches, table
 from tessera.llm.queries import vocabulary
 
 #: Tables that the last stage wrote on its way. Its result is written by the time that the next stage begins.
@@ -28,6 +28,7 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _LEFT:
             delete(spark, _LEFT.pop())
+        small_batches(spark)
         with scope(_LEFT):
             return work(spark, docs, sf_dir)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +20,19 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 200_000
 
 
+#: Rows of an Arrow batch; whole texts of ten thousand rows, Spark's default, take too much memory in each of many workers.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Give Python tasks of this session batches of few rows, unless it has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -126,10 +140,17 @@ def focus(name: str) -> None:
         for other, calls in _EMPTY.items():
             for empty in calls if other != name else []:
                 empty()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _FOCUS[0] = name
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which a reused worker would else keep."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """Word -> signed 64-bit hash, kept for the life of a Python worker and bounded in size."""
 

@@ -44,7 +44,7 @@ from tessera.llm.common import by_bytes, byte_strings, drop, focus, fresh, mater
 from tessera.llm.graph import components
 
 #: Postings held at once; a shingle that so many classes have is dealt to SPLIT tasks.
-CHUNK, SPLIT = 1 << 20, 64
+CHUNK, SPLIT = 1 << 18, 64
 
 
 def needed(n: int, percent: int) -> int:
@@ -115,6 +115,7 @@ def postings(base: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """token, cid: of each class the counted shingles, at least as many as its prefix, or all. Copies within a task go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("postings")
         seen: set[int] = set()
         for batch in batches:
             tokens, cids, size = [], [], 0
@@ -161,6 +162,7 @@ def shared_tokens(posts: DataFrame, hot: list[int] = ()) -> DataFrame:
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(t[many]), pa.array(c[many]), pa.array(np.minimum(df[many], CHUNK).astype(np.int64))], ["token", "cid", "df"])
 
+        focus("postings")
         held: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         size, capped = 0, None
         for batch in batches:
@@ -290,6 +292,7 @@ def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
         return [(c, order[r]) for c, r in zip(order, comp) if order[r] != c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        focus("blocks")
         part, group, out = None, {}, []
         for batch in batches:
             for p, cid, data in zip(*(c.to_pylist() for c in batch.columns)):

@@ -1,14 +1,16 @@
 """Sharding by extendible hashing, with DataFrame functions only.
 
 A document's bucket is a prefix of the bits of its hash. The directory starts with the empty prefix; only a bucket
-over the byte limit is split on the next bit, until every bucket fits. Since bytes of a prefix only shrink with
-its length, a document's depth is the least at which its prefix fits; sums of all prefixes are one map-side
-combined aggregate of coarse cells, so no level rereads the documents. Cells that stay too big at the coarse
-depth go on with all 32 bits; what is still too big then (many rows with one id, or one huge text) goes to
-overflow pages: by the text's md5, and equal rows counted out to as many pages as they need.
+over the byte limit is split on the next bit, until every bucket fits. The sums of a level's buckets come from those
+of the level below, each level half as large, so the documents are read once and a level costs no more than its buckets. The
+directory has an entry for each cell of the coarse depth (some 32 a shard); several entries point to one bucket. Buckets that are
+still too big at the coarse depth go on with all 32 bits; what is too big then (many rows with one id, or one huge
+text) goes to overflow pages: by the text's md5, and equal rows counted out to as many pages as they need.
 
 A text longer than the limit is a shard of its own, the only kind over the limit. Null text has no bytes; null ids
-hash as the empty text. Repeated rows may lie in one shard or, when too big, in several.
+hash as the empty text. Repeated rows may lie in one shard or, when too big, in several. Documents meet the directory by a broadcast while
+it is small, else by a join that Spark splits where a cell is hot; hot ids have no entry but overflow pages. Very long texts are only
+measured and hashed. Only the id and the text are read, so extra columns do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,17 +20,28 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import drop, materialise, sent
 
 BITS = 32
 
 
-def nodes(cells: DataFrame, low: int, high: int, bits: int) -> DataFrame:
-    """cells(cell, bytes), cell of `bits` bits -> cell, depth: the least depth in low..high whose prefix fits, with its bytes (null: none fits)."""
-    every = cells.select("cell", "bytes", "limit", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    every = every.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-    fits = every.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum"), F.first("limit").alias("limit")).where("sum <= limit").select("depth", "prefix")
-    return every.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+def directory(cells: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
+    """cells(cell of `bits` bits, bytes) -> cell, depth of its bucket, for buckets of low bits or more that fit; none for cells too big even alone."""
+    level = materialise(cells.select("cell", "bytes"), "level")
+    steps = [level]
+    for depth in range(bits - 1, low - 1, -1):
+        level = level.groupBy(F.shiftright("cell", 1).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.collect_list(F.struct("cell", "bytes")).alias("kids"))
+        level = materialise(level, "level")
+        steps.append(level)
+    # A bucket over the limit is split: its halves that fit are buckets of the next depth.
+    found = steps[-1].where(F.col("bytes") <= limit).select("cell", F.lit(low).alias("depth"))
+    for k, level in enumerate(steps[1:]):
+        halves = level.where(F.col("bytes") > limit).select(F.explode("kids").alias("kid")).where(F.col("kid.bytes") <= limit)
+        found = found.unionByName(halves.select("kid.cell", F.lit(bits - k).alias("depth")))
+    entry = F.explode(F.expr(f"sequence(shiftleft(cell, {bits} - depth), shiftleft(cell + 1, {bits} - depth) - 1)"))
+    out = materialise(found.select(entry.alias("cell"), "depth").join(cells.select("cell"), "cell", "left_semi"), "directory")
+    drop(*steps)
+    return out
 
 
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,15 +51,15 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     rows = materialise(rows, "hashed")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     coarse = min(BITS, max(1, math.ceil(math.log2(max(total / limit, 1))) + 5))
-    cap = F.lit(limit).cast("bigint").alias("limit")
     rows = rows.withColumn("cell", F.shiftright("hash", BITS - coarse))
-    first = nodes(rows.groupBy("cell").agg(F.sum("bytes").alias("bytes")).select("cell", "bytes", cap), 0, coarse, coarse)
-    placed = materialise(rows.join(first, "cell", "left"), "placed")
+    first = directory(rows.groupBy("cell").agg(F.sum("bytes").alias("bytes")), 0, coarse, limit)
+    placed = materialise(rows.join(sent(first, first.count()), "cell", "left"), "placed")
     done, deep = placed.where(F.col("depth").isNotNull()), placed.where(F.col("depth").isNull()).drop("depth", "cell")
     bits = F.when(F.col("depth") == 0, "*").otherwise(F.expr("substring(lpad(bin(hash), 32, '0'), 1, depth)"))
     out = done.select("doc_id", "bytes", bits.alias("shard"), "depth")
     if coarse < BITS:
-        second = nodes(deep.groupBy(F.col("hash").alias("cell")).agg(F.sum("bytes").alias("bytes")).select("cell", "bytes", cap), coarse + 1, BITS, BITS)
+        rest = deep.groupBy(F.col("hash").alias("cell")).agg(F.sum("bytes").alias("bytes"))
+        second = directory(rest, coarse + 1, BITS, limit) if deep.limit(1).count() else rest.select("cell", F.lit(0).alias("depth")).where("false")
         deep = deep.join(second.withColumnRenamed("cell", "hash"), "hash", "left")
         out = out.unionByName(deep.where(F.col("depth").isNotNull()).select("doc_id", "bytes", bits.alias("shard"), "depth"))
         deep = deep.where(F.col("depth").isNull())

@@ -1,146 +1,172 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Components are turned into floor(scale * x); scores are exact integers. Candidates are dealt to shards of bounded
-size; each shard's ball tree is searched best bound first, a node's bound being the inner product of query and
-centre plus the query's norm times the radius. The search of a shard starts from the kth score that is already
-known: first a few shards are searched for all queries, then their kth scores go along with the queries to all the other
-shards. Queries come in blocks of bounded size, broadcast one block at a time.
-
-Vectors that are null or empty, or hold a null or non-finite component, take no part. Vectors meet only vectors of their
+Components are turned into floor(scale * x); scores are exact integers. Candidates are dealt once to shards of bounded
+size; a shard's ball tree is built there and written as one row of a table, so that searches read shards without any
+exchange. A shard is searched best bound first, a node's bound being the inner product of query and centre plus the query's
+norm times the radius. Shards come in waves, each about as large as all waves before it together; after a wave the
+queries' kth scores so far go along to the next one, so most shards are searched under a tight bound. Queries come in
+blocks of bounded size, each broadcast to the tasks.
+
+Vectors that are null or empty, or hold a null or non-finite component, take no part; nor do those with a component that is, scaled,
+over sqrt(2**62 / length) in size, since a long could not hold their scores. Vectors meet only vectors of their
 own length. A row is no candidate for a query with its own id, so repeated rows of a query are left out, and
-repeated candidate rows each count. Ties go to the smaller id. Fewer than k candidates are all given.
+repeated candidate rows each count. Rows of one id with different vectors are a query each. Ties go to the smaller id. Fewer than k
+candidates are all given. Only id and vector are read, so extra columns do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import drop, materialise
 
 
 def whole(vector: Column, scale: int) -> Column:
     """floor(scale * x) of every component, as longs; null for vectors that take no part."""
-    fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    most = F.sqrt(F.lit(2.0**62) / F.size(vector))
+    fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double") * scale) < most), F.lit(False)))
     return F.when(fine & (F.size(vector) > 0), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
 
 
 class Ball:
-    """A ball tree over the rows of a matrix."""
-
-    def __init__(self, x: np.ndarray, leaf: int = 64):
-        self.x, self.nodes = x, []
-        self.build(np.arange(len(x)), leaf)
-
-    def build(self, rows: np.ndarray, leaf: int) -> int:
-        me = len(self.nodes)
-        self.nodes.append(None)
-        own = self.x[rows]
-        centre = own.mean(0)
-        far = np.sqrt(((own - centre) ** 2).sum(1))
-        radius, kids = float(far.max()), ()
-        if len(rows) > leaf and radius > 0:
-            a = own[int(far.argmax())]
-            b = own[int(((own - a) ** 2).sum(1).argmax())]
-            side = (own @ (b - a)).argsort(kind="stable")
-            kids = (self.build(rows[side[: len(rows) // 2]], leaf), self.build(rows[side[len(rows) // 2 :]], leaf))
-        self.nodes[me] = (centre, radius, kids, rows)
-        return me
-
-    def search(self, q: np.ndarray, ids: np.ndarray, own: int, k: int, known: float) -> list[tuple[int, int]]:
+    """A ball tree over the rows of a matrix, which it puts in order: each node is a run of rows."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 64):
+        exact = x
+        x = x.astype(np.float64)
+        order, nodes = np.arange(len(x)), []
+
+        def build(a: int, b: int) -> int:
+            me = len(nodes)
+            nodes.append(None)
+            own = x[order[a:b]]
+            centre = own.mean(0)
+            far = np.sqrt(((own - centre) ** 2).sum(1))
+            radius, left, right = float(far.max()), -1, -1
+            if b - a > leaf and radius > 0:
+                u = own[int(far.argmax())]
+                v = own[int(((own - u) ** 2).sum(1).argmax())]
+                order[a:b] = order[a:b][(own @ (v - u)).argsort(kind="stable")]
+                left, right = build(a, (a + b) // 2), build((a + b) // 2, b)
+            nodes[me] = (centre, radius, left, right, a, b)
+            return me
+
+        build(0, len(x))
+        self.centre, self.radius = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        self.links = np.array([n[2:] for n in nodes], dtype=np.int64)
+        self.x, self.ids = exact[order], ids[order]
+
+    def search(self, q: np.ndarray, own: int, k: int, known: float) -> list[tuple[int, int]]:
         """The k best (score, -id) of this shard that can still be among the best: no score under the known kth one."""
-        norm, best = math.sqrt(float(q @ q)), []
-
-        def bound(i: int) -> float:
-            centre, radius, *_ = self.nodes[i]
-            up = float(q @ centre) + norm * radius
-            return up + abs(up) * 1e-9 + 1
-
-        queue = [(-bound(0), 0)]
+        best: list[tuple[int, int]] = []
+        up = self.centre @ q.astype(np.float64) + math.sqrt(float(q.astype(np.float64) @ q.astype(np.float64))) * self.radius
+        bound = up + np.abs(up) * 1e-9 + 1
+        queue = [(-bound[0], 0)]
         while queue:
             up, i = heapq.heappop(queue)
-            if -up < (max(known, best[0][0]) if len(best) == k else known):
+            floor = max(known, best[0][0]) if len(best) == k else known
+            if -up < floor:
                 break  # nothing left can reach the kth score
-            _, _, kids, rows = self.nodes[i]
-            for j in kids:
-                heapq.heappush(queue, (-bound(j), j))
-            if not kids:
-                floor = max(known, best[0][0]) if len(best) == k else known
-                scores = self.x[rows] @ q
-                for s, v in zip(scores[hit := scores >= floor].tolist(), ids[rows[hit]].tolist()):
-                    if v != own:
-                        (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (int(s), -v))
+            left, right, a, b = self.links[i]
+            if left >= 0:
+                heapq.heappush(queue, (-bound[left], left))
+                heapq.heappush(queue, (-bound[right], right))
+                continue
+            scores = self.x[a:b] @ q
+            hit = np.flatnonzero(scores >= floor)
+            for s, v in zip(scores[hit].tolist(), self.ids[a:b][hit].tolist()):
+                if v != own:
+                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (int(s), -v))
         return sorted(best, reverse=True)
 
+    def data(self) -> bytes:
+        return pickle.dumps(self, protocol=5)
 
-def search(shards: DataFrame, queries: list[tuple[int, list[int], float]], k: int) -> DataFrame:
-    """shards(shard, dim, vec_id, v), sorted into one run for each shard -> query_id, vec_id, score of each shard's best."""
-    sent = shards.sparkSession.sparkContext.broadcast(queries)
 
-    def solve(ids: list[int], vectors: list[list[int]]) -> list[tuple[int, int, int]]:
-        x = np.array(vectors, dtype=np.int64)
-        asked = [(q, np.array(v, dtype=np.int64), low) for q, v, low in sent.value if len(v) == x.shape[1]]
-        top = max([abs(x).max(initial=0), *(abs(v).max(initial=0) for _, v, _ in asked)])
-        kind = np.float64 if float(top) ** 2 * x.shape[1] < 2**52 else object  # floats while they are exact
-        ball, numbers = Ball(x.astype(np.float64)), np.array(ids)
-        ball.x = x.astype(kind)
-        return [(q, -v, s) for q, vec, low in asked for s, v in ball.search(vec.astype(kind), numbers, q, k, low)]
+def trees(rows: DataFrame) -> DataFrame:
+    """rows(shard, dim, vec_id, v), each shard and dim in one run -> shard, wave, dim, tree: a record a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], ["query_id", "vec_id", "score"])
-
         key, ids, vectors = None, [], []
+
+        def record() -> pa.RecordBatch:
+            ball = Ball(np.array(vectors, dtype=np.int64), np.array(ids, dtype=np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([int(key[0]).bit_length()], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ball.data()], pa.binary())], ["shard", "wave", "dim", "tree"])
+
         for batch in batches:
-            for s, i, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "vec_id", "v"))):
-                if (s, len(v)) != key:
+            for s, d, i, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "dim", "vec_id", "v"))):
+                if (s, d) != key:
                     if ids:
-                        yield batch_of(solve(ids, vectors))
-                    key, ids, vectors = (s, len(v)), [], []
+                        yield record()
+                    key, ids, vectors = (s, d), [], []
                 ids.append(i)
                 vectors.append(v)
         if ids:
-            yield batch_of(solve(ids, vectors))
+            yield record()
 
-    return shards.select("shard", "vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return rows.select("shard", "dim", "vec_id", "v").mapInArrow(run, "shard int, wave int, dim int, tree binary")
+
+
+def search(shards: DataFrame, queries: list[tuple[int, int, list[int], float]], k: int) -> DataFrame:
+    """shards of `trees`, queries of (number, vec_id, vector, known kth score) -> number, query_id, vec_id, score of each shard's best."""
+    sent = shards.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(n, i, np.array(v, dtype=np.int64), low) for n, i, v, low in sent.value]
+        for batch in batches:
+            for dim, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ball, out = pickle.loads(data.as_buffer()), []
+                mine = [a for a in asked if len(a[2]) == dim]
+                top = max([np.abs(ball.x).max(initial=0), *(np.abs(v).max(initial=0) for _, _, v, _ in mine)])
+                if float(top) ** 2 * dim < 2**52:  # floats are faster, and exact up to here
+                    ball.x = ball.x.astype(np.float64)
+                    mine = [(n, i, v.astype(np.float64), low) for n, i, v, low in mine]
+                for n, i, v, low in mine:
+                    out += [(n, i, -w, s) for s, w in ball.search(v, i, k, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], [], []))], ["number", "query_id", "vec_id", "score"])
+
+    return shards.select("dim", "tree").mapInArrow(run, "number bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, per_shard: int = 4096, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row that is_query picks (by the column vec_id)."""
     rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), whole(vectors[vector_col], scale).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
     rows = materialise(rows, "vectors")
-    count = rows.count()
-    number = max(1, math.ceil(count / per_shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(number)).cast("int")).withColumn("dim", F.size("v"))
-    dealt = materialise(dealt.repartition("shard").sortWithinPartitions("shard", "dim"), "vector-shards")
-    # A shard is one run of rows in one file; a file is read as a whole by the sort below.
-    shards = dealt.repartition("shard").sortWithinPartitions("shard", "dim")
-    asked = materialise(rows.where(is_query).dropDuplicates(["vec_id", "v"]), "queries")
+    shards = max(1, math.ceil(rows.count() / per_shard))
+    # Rows that repeat are dealt by a number of their own, so that no vector, however often it occurs, fills a shard.
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "vec_id", "v")
+    parts = min(shards, max(math.ceil(shards / 32), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tree = materialise(trees(dealt.repartition(parts, "shard").sortWithinPartitions("shard", "dim")), "trees", "wave")
+    asked = materialise(rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("number", F.monotonically_increasing_id()), "queries")
     blocks = max(1, math.ceil(asked.count() / query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)))
-    first = max(1, number // 8)
-    found = None
+    found = rows.sparkSession.createDataFrame([], "number bigint, query_id bigint, vec_id bigint, score bigint")
     for b in range(blocks):
-        own = [(r["vec_id"], r["v"]) for r in asked.where(F.col("block") == b).collect()]
-        seed = materialise(search(shards.where(F.col("shard") < first), [(q, v, -math.inf) for q, v in own], k), "seed")
-        place = F.row_number().over(_best())
-        low = {r["query_id"]: r["score"] for r in seed.withColumn("rank", place).where(F.col("rank") == k).collect()}
-        rest = search(shards.where(F.col("shard") >= first), [(q, v, low.get(q, -math.inf)) for q, v in own], k)
-        hits = materialise(seed.unionByName(rest), "hits")
-        found = hits if found is None else found.unionByName(hits)
-    return found.withColumn("rank", F.row_number().over(_best())).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        own = [(r["number"], r["vec_id"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == b).collect()]
+        low: dict[int, int] = {}
+        hits = None
+        waves = (shards - 1).bit_length() + 1  # the last ones hold an eighth of the shards and more
+        for wave in [range(0, max(1, waves - 3)), *[range(w, w + 1) for w in range(max(1, waves - 3), waves)]]:
+            part = search(tree.where(F.col("wave").isin([*wave])), [(n, i, v, low.get(n, -math.inf)) for n, i, v in own], k)
+            both = part if hits is None else hits.unionByName(part)
+            best = both.withColumn("rank", F.row_number().over(_best())).where(F.col("rank") <= k)
+            former, hits = hits, materialise(best.drop("rank"), "hits")
+            if former is not None:
+                drop(former)
+            low = {r["number"]: r["score"] for r in hits.groupBy("number").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
+        found = found.unionByName(hits)
+    return found.withColumn("rank", F.row_number().over(_best())).select("query_id", "rank", "vec_id", "score")
 
 
 def _best():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
 
 
 def sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:

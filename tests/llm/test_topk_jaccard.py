@@ -15,7 +15,10 @@ VECTORS = "vec_id bigint, embedding array<float>"
 
 
 def brute_topk(rows, k, every):
-    v = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in e)) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    def fits(x, e):
+        return x is not None and math.isfinite(x) and abs(1024 * float(np.float32(x))) < math.sqrt(2**62 / len(e))
+
+    v = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in e)) for i, e in rows if i is not None and e and all(fits(x, e) for x in e)]
     out = set()
     for q, a in dict.fromkeys((i, e) for i, e in v if i % every == 0):
         hits = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in v if i != q and len(b) == len(a))[:k]
@@ -27,6 +30,8 @@ def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(700)]
     rows += [(i + 700, rows[i][1]) for i in range(60)]  # ties
+    rows += [(i + 1000, [3.0, 0.0, 0.0, 0.0, 0.0, 1.0]) for i in range(250)]  # many candidates with one vector
+    rows += [(950, [1e30, 0.0, 0.0, 0.0, 0.0, 0.0]), (951, [0.0, -3e38, 0.0, 0.0, 0.0, 0.0]), (952, [9e5, 0.0, 0.0, 0.0, 0.0, 0.0])]
     rows += [(800, None), (801, []), (802, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (803, [math.nan] * 6), (804, [math.inf] * 6), (900, [1.0, 2.0]), (901, [0.5, -3.0]), (None, [0.0] * 6)]
     df = spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit("clash")).withColumn("shard", F.lit(1))
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, per_shard=100, query_block=7)
