@@ -13,9 +13,8 @@ Classes that share prefix shingles form blocks. Within a block each class is a q
 smaller sets: the short lists are merged by a heap, the long ones are probed by binary search (DivideSkip), and those that
 reach the needed overlap link. As links are wanted up to their components, a search goes on only for components that it has
 not linked to yet; so a group of near copies costs in proportion to its size. A block over `block` classes is dealt into
-random parts; classes that still lie apart after `deals` deals meet by single prefix shingles: those with one shingle, cut into bands of
-size (only neighbouring bands can link) and, beyond `block`, into pairs of parts. So no link is lost and no task holds more
-than `block` sets.
+random parts; what stays apart after `deals` deals is cut into bands of size (only neighbouring bands can link) and these are compared
+part by part, so no link is lost and no task holds more than `block` sets.
 
 Hot keys: copies collapse to classes first; a shingle that very many classes have is dealt to many tasks; joins are
 sort-merge joins that Spark splits where skewed, or broadcasts of at most `BROADCAST_BYTES`.
@@ -238,10 +237,10 @@ class Block:
         skip = min(need - 1, int(need / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
         pending, start = set(self.comp[low:me]), low
+        rest = [y for x in short if (y := x[bisect_left(x, low) :])]
         while pending:
             hit = None
-            rest = (x[bisect_left(x, start) :] for x in short)
-            for d, count in merged([x for x in rest if x] if start == low else [y for x in rest if (y := [d for d in x if self.comp[d] in pending])]):
+            for d, count in merged(rest):
                 if count < need - skip or self.comp[d] not in pending:
                     continue
                 want = -(-self.percent * (n + self.sizes[d]) // (100 + self.percent))
@@ -257,7 +256,13 @@ class Block:
                 return
             pending.discard(self.comp[hit])
             self.join(hit, me)
-            start = hit + 1
+            # Go on behind the hit, with what the components not yet met have in the short lists.
+            start, many = hit + 1, sum(len(self.members[c]) for c in pending)
+            if 8 * many < me:
+                few = sorted(i for c in pending for i in self.members[c] if i >= start)
+                rest = [y for x in short if (y := [d for d in few if (p := bisect_left(x, d)) < len(x) and x[p] == d])]
+            else:
+                rest = [y for x in short if (y := [d for d in x[bisect_left(x, start) :] if self.comp[d] in pending])]
 
     def add(self, tokens: list[int], n: int) -> None:
         me = len(self.sizes)
@@ -318,7 +323,7 @@ def block_of(prefix: DataFrame) -> DataFrame:
     return materialise(comp.join(comp.groupBy("block").agg(F.count("*").alias("size")), "block"), "blocks")
 
 
-def links(docs: DataFrame, base: DataFrame, classes: DataFrame, clashes: list[int], k: int, percent: int, block: int = 256, deals: int = 2, hot_at: int = CHUNK, id_bits: int = 64) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, classes: DataFrame, clashes: list[int], k: int, percent: int, block: int = 2000, deals: int = 2, hot_at: int = CHUNK, id_bits: int = 64) -> DataFrame:
     """Links between classes, as a, b: enough of them that their components are those of all links.
 
     Whole sets are made again, from the texts, for one document of each class that may link."""
@@ -338,7 +343,7 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, clashes: list[in
         if not shape[0]:
             break
         last = deal >= deals and shape[1] > block
-        dealt = tiles(prefix.join(classes.select("cid", "n"), "cid"), percent, block // 2) if last else blocks.withColumn("part", F.concat_ws(":", "block", F.pmod(F.xxhash64("cid", F.lit(deal)), F.ceil(F.col("size") / block))))
+        dealt = tiles(blocks.join(classes.select("cid", "n"), "cid"), percent, block // 2) if last else blocks.withColumn("part", F.concat_ws(":", "block", F.pmod(F.xxhash64("cid", F.lit(deal)), F.ceil(F.col("size") / block))))
         dealt = materialise(dealt.select("cid", "part"), "dealt")
         rows = left.select("cid", "shingles").join(sent(dealt, dealt.count()), "cid")
         found = found.unionByName(materialise(link_blocks(rows, percent), "links"))
@@ -357,17 +362,17 @@ def links(docs: DataFrame, base: DataFrame, classes: DataFrame, clashes: list[in
     return found
 
 
-def tiles(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """rows(cid, token, n) -> cid, part: parts in which every two classes of one token meet whose sizes allow a link: bands of size, each
-    with the band below, in pairs of random parts of about `most` classes."""
+def tiles(blocks: DataFrame, percent: int, most: int) -> DataFrame:
+    """Parts in which every two classes of a block meet whose sizes allow a link: bands of size, each with the band
+    below, in pairs of random parts of about `most` classes."""
     width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
-    banded = rows.withColumn("home", F.floor(F.log("n") / width)).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") + 1)))
-    full = banded.groupBy("token", "band").agg(F.count("*").alias("here"))
+    banded = blocks.withColumn("home", F.floor(F.log("n") / width)).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") + 1)))
+    full = banded.groupBy("block", "band").agg(F.count("*").alias("here"))
     parts = F.ceil(F.col("here") / most).cast("int")
     mine = F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("parts")).cast("int")
-    dealt = banded.join(full.where("here > 1"), ["token", "band"]).withColumn("parts", parts).withColumn("mine", mine)
+    dealt = banded.join(full, ["block", "band"]).withColumn("parts", parts).withColumn("mine", mine)
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    return met.withColumn("part", F.concat_ws(":", "token", "band", F.least("mine", "other"), F.greatest("mine", "other")))
+    return met.withColumn("part", F.concat_ws(":", "block", "band", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def classify(docs: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 64, **options) -> DataFrame:
