@@ -76,10 +76,13 @@ def overlap_score(query: Text, text: Text) -> Column:
     return F.when(F.contains(F.lower(col(text)), F.lower(col(query))), F.greatest(base, F.lit(1.0))).otherwise(base)
 
 
+def estimate_of(words: Column, cjk: Column, length: Column) -> Column:
+    return F.when((cjk > 0) & (cjk >= F.greatest(F.lit(1.0), length / 3)), F.greatest(words, F.floor(cjk / 2))).otherwise(words).cast("bigint")
+
+
 def token_estimate(c: Text) -> Column:
     """Word runs, or half of the CJK characters where these are a third of the text and more than the words."""
-    words, cjk = F.regexp_count(col(c), F.lit(WORD)), F.regexp_count(col(c), F.lit(CJK))
-    return F.when((cjk > 0) & (cjk >= F.greatest(F.lit(1.0), F.length(col(c)) / 3)), F.greatest(words, F.floor(cjk / 2))).otherwise(words).cast("bigint")
+    return estimate_of(F.regexp_count(col(c), F.lit(WORD)), F.regexp_count(col(c), F.lit(CJK)), F.length(col(c)))
 
 
 def normalise_text(c: Text) -> Column:

@@ -16,14 +16,30 @@ LINE_END = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x85  ])"
 HEADING = r"^\s*#{1,6}\s+\S"
 
 
+#: Lines whose offsets are summed up in one run; runs are summed up among themselves, so cost grows with the lines alone.
+RUN = 512
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """For each entry of an int array the sum of all before it."""
+    running = lambda xs, zero: F.aggregate(xs, F.struct(zero.alias("pos"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["pos"] + x).alias("pos"), F.array_append(a["out"], a["pos"]).alias("out")), lambda a: a["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(n) - 1, F.lit(0)), F.lit(RUN)), lambda k: F.slice(n, k + 1, F.lit(RUN)))
+    within = lambda r: F.flatten(F.zip_with(r, running(F.transform(r, total), F.lit(0)), lambda xs, at: running(xs, at)))
+    return bound(sizes, lambda n: bound(runs(n), within))
+
+
 def lines(text: Column) -> Column:
     """Lines with their ends, as structs of start and end offset, whether blank, and heading level (0: none)."""
-    raw = F.filter(F.split(text, LINE_END), lambda x: x != "")
     level = lambda x: F.when(x.rlike(HEADING), F.length(F.regexp_extract(x, r"^\s*(#+)", 1))).otherwise(0)
-    sized = F.transform(raw, lambda x: F.struct(x.alias("line"), F.length(x).alias("n"), (F.trim(F.regexp_replace(x, r"[\s\x1C-\x1F\x85  ]+", " ")) == "").alias("blank"), level(x).alias("level")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,blank:boolean,level:int,line:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["pos"] + x["n"]).alias("pos"), F.array_append(a["out"], F.struct(a["pos"].alias("start"), (a["pos"] + x["n"]).alias("end"), x["blank"].alias("blank"), x["level"].alias("level"), x["line"].alias("line"))).alias("out"))
-    return F.aggregate(sized, start, step, lambda a: a["out"])
+    blank = lambda x: F.trim(F.regexp_replace(x, r"[\s\x1C-\x1F\x85  ]+", " ")) == ""
+    placed = lambda raw: F.zip_with(raw, prefix_sums(F.transform(raw, lambda x: F.length(x))), lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), blank(x).alias("blank"), level(x).alias("level"), x.alias("line")))
+    return bound(F.filter(F.split(text, LINE_END), lambda x: x != ""), placed)
 
 
 def spans_table(sources: DataFrame) -> DataFrame:
@@ -69,8 +85,9 @@ def heading_spans(text: Column, level: int = 2) -> Column:
     heads = F.filter(lines(text), lambda x: (x["level"] > 0) & (x["level"] <= level))
     starts = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), F.when(heading_text(x["line"]) != "", heading_text(x["line"])).alias("title")))
     first = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("title"))
-    every = F.when((F.size(starts) == 0) | (F.get(starts, F.lit(0))["start"] > 0), F.concat(F.array(first), starts)).otherwise(starts)
-    spans = F.transform(every, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(every, i + 1)["start"], total).alias("end"), x["title"].alias("title")))
+    every = lambda s: F.when((F.size(s) == 0) | (F.get(s, F.lit(0))["start"] > 0), F.concat(F.array(first), s)).otherwise(s)
+    ended = lambda e: F.zip_with(e, F.slice(e, F.lit(2), F.size(e)), lambda x, y: F.struct(x["start"].alias("start"), F.coalesce(y["start"], total).alias("end"), x["title"].alias("title")))
+    spans = bound(bound(starts, every), ended)
     return F.when(total > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,title:string>>"))
 
 
@@ -87,22 +104,45 @@ def fold_overflow(spans: Column, most: int) -> Column:
 
 
 def merge_small(spans: Column, text: Column, least: int) -> Column:
-    """Neighbouring spans joined until each has `least` tokens; a small rest joins the last."""
-    count = lambda s, e: T.token_estimate(F.substring(text, s + 1, e - s))
-    kind = "array<struct<start:int,end:int,title:string>>"
+    """Neighbouring spans joined until each has `least` tokens; a small rest joins the last.
+
+    Each span's words and CJK characters are counted once and added up, which is exact for spans cut at line ends."""
+    kind = "array<struct<start:int,end:int,title:string,words:int,cjk:int>>"
+    piece = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    counted = F.transform(spans, lambda s: bound(piece(s), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title"), F.regexp_count(t, F.lit(T.WORD)).alias("words"), F.regexp_count(t, F.lit(T.CJK)).alias("cjk"))))
+    small = lambda s: T.estimate_of(s["words"], s["cjk"], s["end"] - s["start"]) < least
+    joined = lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), F.coalesce(a["title"], b["title"]).alias("title"), (a["words"] + b["words"]).alias("words"), (a["cjk"] + b["cjk"]).alias("cjk"))
+    nothing = F.lit(None).cast(kind[6:-1])
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        small = count(last["start"], last["end"]) < least
-        joined = F.struct(last["start"].alias("start"), x["end"].alias("end"), F.coalesce(last["title"], x["title"]).alias("title"))
-        return F.when((F.size(acc) > 0) & small, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, x))
+        open_ = acc["open"]
+        full = open_.isNotNull() & ~small(open_)
+        return F.struct(F.when(open_.isNull() | full, x).otherwise(joined(open_, x)).alias("open"), F.when(full, F.array_append(acc["out"], open_)).otherwise(acc["out"]).alias("out"))
 
     def rest(acc: Column) -> Column:
-        a, b = F.get(acc, F.size(acc) - 2), F.get(acc, F.size(acc) - 1)
-        joined = F.struct(a["start"].alias("start"), b["end"].alias("end"), F.coalesce(a["title"], b["title"]).alias("title"))
-        return F.when((F.size(acc) > 1) & (count(b["start"], b["end"]) < least), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 2, F.lit(0))), joined)).otherwise(acc)
+        out, open_ = acc["out"], acc["open"]
+        last = F.element_at(out, -1)
+        back = F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), joined(last, open_))
+        return F.when(open_.isNull(), out).when((F.size(out) > 0) & small(open_), back).otherwise(F.array_append(out, open_))
+
+    merged = F.aggregate(counted, F.struct(nothing.alias("open"), F.array().cast(kind).alias("out")), step, rest)
+    return F.transform(merged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title")))
+
+
+def plain_chunks(text: Column, max_chars: int = 3000) -> Column:
+    """The plain splitter: heading lines stand alone, blank lines part paragraphs, and what is longer than max_chars is cut. An array of texts, not folded."""
+    ends = r"^[ \t\r\n]+|[ \t\r\n]+$"
+    marked = F.regexp_replace(F.regexp_replace(text, ends, ""), r"(?m)^([ \t]*#{1,6}[ \t]+[^ \t\r\n][^\n]*)$", "\u001e$1\u001e")
+    sections = F.filter(F.transform(F.split(marked, "\u001e|\\n[ \\t]*\\n"), lambda x: F.regexp_replace(x, ends, "")), lambda x: x != "")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(max_chars)), lambda k: F.substring(x, k + 1, F.lit(max_chars)))
+    return F.flatten(F.transform(sections, cut))
+
 
-    return F.aggregate(spans, F.array().cast(kind), step, rest)
+def plain_table(sources: DataFrame, max_chars: int = 3000, max_chunks: int = 40) -> DataFrame:
+    """source_id, chunk_index, text and truncated: the first max_chunks plain chunks of each source; what follows is dropped, as that splitter does."""
+    c = sources.select(F.col("id").alias("source_id"), plain_chunks(F.col("text"), max_chars).alias("c"))
+    rows = c.select("source_id", (F.size("c") > max_chunks).alias("truncated"), F.posexplode(F.slice("c", 1, max_chunks)).alias("chunk_index", "text"))
+    return rows.select("source_id", "chunk_index", "text", "truncated")
 
 
 def exploded(sources: DataFrame, spans: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 # Fixed value: predicates whose objects exclude one another.
 EXCLUSIVE = ["运费承担方"]
 
@@ -93,3 +95,20 @@ def compile_versions(candidates: DataFrame) -> DataFrame:
     first = candidates.groupBy("family_id", "object").agg(F.min("ord").alias("ord"))
     w = Window.partitionBy("family_id").orderBy("ord", "object")
     return first.withColumn("version", F.row_number().over(w)).withColumn("status", F.when(F.col("version") == 1, "active").otherwise("staging"))
+
+
+def edge_claims(edges: DataFrame, claims: DataFrame, at: Column) -> DataFrame:
+    """subject, predicate, object, claim_id: for each edge by those names the first claim (by ord) that bears it and is valid at a time."""
+    held = claims.where(T.valid_at(at)).groupBy("subject", "predicate", "object").agg(F.min_by("id", "ord").alias("claim_id"))
+    return edges.join(held, ["subject", "predicate", "object"]).select("subject", "predicate", "object", "claim_id")
+
+
+def effective(verdicts: DataFrame) -> DataFrame:
+    """query_id, status, claim_id: the claims (query_id, claim_id, verified) that an answer may use: all of a query's where some are verified and
+    some not (partial), else the verified ones; a query without any gives one row without a claim."""
+    by = Window.partitionBy("query_id")
+    status = F.when(F.bool_and("verified").over(by), "verified").when(~F.bool_or("verified").over(by), "unverified").otherwise("partial")
+    told = verdicts.withColumn("status", status)
+    used = told.where((F.col("status") == "partial") | F.col("verified")).select("query_id", "status", "claim_id")
+    none = told.where("status = 'unverified'").select("query_id", "status").distinct().withColumn("claim_id", F.lit(None).cast("string"))
+    return used.unionByName(none)

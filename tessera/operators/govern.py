@@ -69,6 +69,25 @@ def term_in_text(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.select("text_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).join(terms, "term")
 
 
+def trim_memory(episodes: DataFrame, most: int) -> DataFrame:
+    """The newest `most` episodes (session_id, seq, ...) of each session."""
+    newest = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    return episodes.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= most).drop("_age")
+
+
+def recall(episodes: DataFrame, queries: DataFrame, fallback: int = 3) -> DataFrame:
+    """session_id, seq, rank, matched: for a session's query (session_id, query) the episodes whose q or a holds one of its words,
+    newest first; where none does, the newest `fallback`. Sessions are trimmed, so a session's rows are few."""
+    words = F.filter(F.split(F.lower("query"), r"[ \t\r\n]+"), lambda x: x != "")
+    both = episodes.join(queries.select("session_id", words.alias("words")), "session_id")
+    said = F.lower(F.concat_ws(" ", "q", "a"))
+    own, newest = Window.partitionBy("session_id"), Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    hit = both.withColumn("matched", F.exists("words", lambda x: F.contains(said, x)))
+    hit = hit.withColumn("some", F.bool_or("matched").over(own)).withColumn("place", F.row_number().over(newest))
+    kept = hit.where(F.col("matched") | (~F.col("some") & (F.col("place") <= fallback)))
+    return kept.select("session_id", "seq", F.row_number().over(newest).alias("rank"), "matched")
+
+
 def rerank(hits: DataFrame, top_n: int, least: float) -> DataFrame:
     """hits (query_id, rank, key, query, passage): the first top_n rescored by overlap, those under `least` dropped; a query
     of which nothing is left keeps its hits as they were."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +37,56 @@ def ranked(hits: DataFrame, *order: Column | str, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score by cosine. queries is a stated batch of (query_id, vector), broadcast by the caller if bounded."""
-    pairs = vectors.select("id", "vector").crossJoin(queries.withColumnRenamed("vector", "q"))
-    return ranked(pairs.select("query_id", "id", T.cosine("q", "vector").alias("score")), F.desc("score"), "id", k=k)
+def blocks(queries: DataFrame, most: int = 2000) -> list[DataFrame]:
+    """The queries (query_id, ...) in blocks of about `most`, each small enough to be broadcast."""
+    n = max(1, -(-queries.count() // most))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int, most: int = 2000) -> DataFrame:
+    """query_id, rank, id, score by cosine, for all queries (query_id, vector) against all vectors (id, vector) but the one of the
+    query's own id. Queries go in blocks; a task multiplies its batches with a block and hands on each query's k best so far."""
+    sent, found = queries.sparkSession.sparkContext, None
+    for block in blocks(queries, most):
+        rows = block.collect()
+        if not rows:
+            continue
+        asked = sent.broadcast((np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, q = asked.value
+            norm = np.sqrt((q * q).sum(1))
+            best_s, best_i = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64)
+            for batch in batches:
+                ids, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(batch), -1)
+                if not len(ids):
+                    continue
+                score = (q @ x.T) / np.outer(norm, np.sqrt((x * x).sum(1)))
+                score[numbers[:, None] == ids[None, :]] = -np.inf
+                s, i = np.hstack([best_s, score]), np.hstack([best_i, np.broadcast_to(ids, score.shape)])
+                order = np.lexsort((i, -s))[:, :k]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            keep = np.isfinite(best_s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, keep.sum(1))), pa.array(best_i[keep]), pa.array(best_s[keep])], ["query_id", "id", "score"])
+
+        part = vectors.select(F.col("id").cast("bigint").alias("id"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id bigint, id bigint, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+    return ranked(found, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
+
+
+def page_lane(pages: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, page_id, score: pages (page_id, title, body) by twice the keywords (query_id, kw) in the title plus those in the body,
+    over the query's largest. Questions go in blocks that are broadcast."""
+    found = None
+    for block in blocks(questions):
+        both = pages.select("page_id", "title", "body").crossJoin(F.broadcast(block))
+        raw = 2 * F.size(F.filter("kw", lambda w: F.contains(F.col("title"), w))) + F.size(F.filter("kw", lambda w: F.contains(F.col("body"), w)))
+        part = both.select("query_id", "page_id", raw.alias("raw")).where("raw > 0")
+        found = part if found is None else found.unionByName(part)
+    top = ranked(found, F.desc("raw"), "page_id", k=k)
+    return top.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6)).select("query_id", "rank", "page_id", "score")
 
 
 def fuse(lanes: dict[str, tuple[DataFrame, float]], constant: int = 60) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.operators import claims as C
 from tessera.operators import govern as G
 from tessera.operators import retrieve as R
 from tessera.plans.base import EV, KB, OC, PAGES
-from tessera.plans.knowledge import WORDS
+from tessera.plans.knowledge import MD, WORDS
 from tessera.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,11 +48,11 @@ def f8_unit_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", "id", F.round(F.when(out, 1 / (1 + F.exp(-F.col("score")))).otherwise(F.col("score")), 6).alias("score"))
 
 
-@query(f"""WITH p AS (SELECT item_id AS query_id, b.text AS query, doc_id, substr(d.text, 1, 400) AS passage FROM benchmark b JOIN documents d ON d.doc_id % 40 = item_id),
+@query(f"""WITH p AS (SELECT item_id AS query_id, b.text AS query, doc_id, d.text AS passage FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = item_id),
 s AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(query), {WORDS})), list_distinct(regexp_extract_all(lower(passage), {WORDS})))) / len(list_distinct(regexp_extract_all(lower(query), {WORDS}))) AS base, contains(lower(passage), lower(query)) AS whole FROM p)
 SELECT query_id, doc_id, round(CASE WHEN whole THEN greatest(base, 1.0) ELSE base END, 6) AS score FROM s""")
 def f5_overlap_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = B.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("query_id"), F.substring("text", 1, 400).alias("passage"))
+    docs = B.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % B.read(spark, d, "benchmark").count()).alias("query_id"), F.col("text").alias("passage"))
     return docs.join(B.questions(spark, d), "query_id").select("query_id", "doc_id", F.round(T.overlap_score("query", "passage"), 6).alias("score"))
 
 
@@ -82,10 +82,19 @@ def f27_formatted_claims(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.replace(F.replace("form", F.lit("{s}"), F.col("subject")), F.lit("{o}"), F.col("object")).alias("sentence"))
 
 
-@query(f"WITH {KB} SELECT type, CASE WHEN length(text) > 3000 THEN 'enriched' WHEN length(text) > 500 THEN 'indexed' ELSE 'pending' END AS status, count(*) AS sources FROM kb GROUP BY ALL")
+# Source statuses and what they say of the enrichment; any other says nothing.
+ENRICHMENT = {"chunking": "running", "extracting_claims": "running", "enriching_chunks": "running", "compiling_wiki": "running", "running": "running", "enriching": "running", "succeeded": "done", "succeeded_partial": "done", "failed": "failed"}
+STATUSES = [*ENRICHMENT, "uploaded"]
+
+
+@query(
+    "WITH s AS (SELECT 'doc-' || doc_id AS id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(STATUSES)) + " END AS status FROM documents) SELECT id, status, CASE status "
+    + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ENRICHMENT.items()) + " END AS enrichment FROM s"
+)
 def f33_enrichment_status(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("text")
-    return B.kb_sources(spark, d).groupBy("type", F.when(n > 3000, "enriched").when(n > 500, "indexed").otherwise("pending").alias("status")).agg(F.count("*").alias("sources"))
+    status = F.get(F.array(*map(F.lit, STATUSES)), (F.col("doc_id") % 10).cast("int"))
+    known = F.create_map(*[F.lit(x) for pair in ENRICHMENT.items() for x in pair])
+    return B.kb_sources(spark, d).select("id", status.alias("status")).select("id", "status", F.try_element_at(known, F.col("status")).alias("enrichment"))
 
 
 # Recorded plans and responses
@@ -140,10 +149,10 @@ def j23_procedures(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("query_id").agg(F.max_by(F.struct("name", "steps"), F.struct(F.length("name"), "name")).alias("p")).select("query_id", "p.name", "p.steps")
 
 
-@query(f"WITH {EV} SELECT claim_id, bool_or(contains(d.text, quote) OR contains(quote, substr(d.text, 1, 40))) AS allowed FROM ev JOIN documents d ON 'doc-' || d.doc_id = source_id GROUP BY 1")
+@query(f"WITH {EV} SELECT claim_id, bool_or(contains(d.text, quote) OR contains(quote, d.text)) AS allowed FROM ev JOIN documents d ON 'doc-' || d.doc_id = source_id GROUP BY 1")
 def j26_allowed_quotes(spark: SparkSession, d: str) -> DataFrame:
     e, s = B.evidence(spark, d), B.kb_sources(spark, d).select(F.col("id").alias("source_id"), "text")
-    ok = F.contains("text", F.col("quote")) | F.contains("quote", F.substring("text", 1, 40))
+    ok = F.contains("text", F.col("quote")) | F.contains("quote", F.col("text"))
     return e.join(s, "source_id").groupBy("claim_id").agg(F.bool_or(ok).alias("allowed"))
 
 
@@ -155,11 +164,12 @@ def j22_resolved_terms(spark: SparkSession, d: str) -> DataFrame:
     return c.join(t, "name", "left").select("id", F.col("name").alias("object"), F.coalesce("type", F.lit("Concept")).alias("object_type"))
 
 
-@query(f"WITH {EV} SELECT ord AS query_id, CASE WHEN weight >= 0.8 THEN 'all' WHEN ord % 7 <> 0 THEN 'verified' ELSE 'none' END AS effective FROM ev")
+@query(f"""WITH {EV}, v AS (SELECT ord % 40 AS query_id, claim_id, ord % 7 <> 0 AS ok FROM ev), t AS (SELECT *, CASE WHEN bool_and(ok) OVER w THEN 'verified' WHEN NOT bool_or(ok) OVER w THEN 'unverified' ELSE 'partial' END AS status FROM v WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, status, claim_id FROM t WHERE status = 'partial' OR ok UNION ALL SELECT DISTINCT query_id, status, NULL FROM t WHERE status = 'unverified'""")
 def v2_effective_claims(spark: SparkSession, d: str) -> DataFrame:
     e = B.evidence(spark, d)
-    v = C.verify(e, B.kb_sources(spark, d), e.select(F.col("claim_id").alias("id")).distinct()).join(e.select("claim_id", "ord", "weight"), "claim_id")
-    return v.select(F.col("ord").alias("query_id"), F.when(F.col("weight") >= 0.8, "all").when(F.col("verified"), "verified").otherwise("none").alias("effective"))
+    v = C.verify(e, B.kb_sources(spark, d), e.select(F.col("claim_id").alias("id")).distinct())
+    return C.effective(v.join(e.select("claim_id", (F.col("ord") % 40).alias("query_id")), "claim_id").select("query_id", "claim_id", "verified"))
 
 
 @query(f"""WITH c AS (SELECT 'doc-' || doc_id || '#' || s AS id, substr(text, s::INT + 1, 1000) AS text FROM documents, (SELECT unnest(range(0, 200000, 1000)) AS s) WHERE s < length(text)),
@@ -193,6 +203,11 @@ def j19_orphaned_subjects(spark: SparkSession, d: str) -> DataFrame:
     return gone.join(c.where("ord % 10 <> 0").select("subject"), "subject", "left_anti")
 
 
-@query("SELECT doc_id, regexp_extract(text, '^([^\\n]*)', 1) AS heading, len(string_split(text, chr(10)))::INT AS n_lines FROM documents")
+@query(f"""WITH {MD}, p AS (SELECT id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '(?m)^([ \\t]*#{{1,6}}[ \\t]+[^ \\t\\r\\n][^\\n]*)$', chr(30) || '\\1' || chr(30), 'g'), '\\x1e|\\n[ \\t]*\\n'),
+  lambda x: regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')), lambda x: x <> '') AS s FROM md),
+u AS (SELECT id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM p), h AS (SELECT id, i, unnest(range(0, length(x), 3000)) AS o, x FROM u),
+n AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i, o) - 1)::INT AS chunk_index, md5(substr(x, o::INT + 1, 3000)) AS digest, count(*) OVER (PARTITION BY id) > 40 AS truncated FROM h)
+SELECT id AS source_id, chunk_index, digest, truncated FROM n WHERE chunk_index < 40""")
 def t14_line_outline(spark: SparkSession, d: str) -> DataFrame:
-    return B.read(spark, d, "documents").select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("heading"), F.size(F.split("text", "\n")).alias("n_lines"))
+    """The plain splitter over all sources."""
+    return H.plain_table(B.md_sources(spark, d)).select("source_id", "chunk_index", F.md5("text").alias("digest"), "truncated")

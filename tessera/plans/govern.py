@@ -71,9 +71,9 @@ def f19_keywords(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(T.keywords("text", ["the", "of", "and"])), ",").alias("keywords"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\[\\^?[0-9]+\\]', '', 'g'), '[ \\t]+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g')) AS clean FROM (SELECT doc_id, substr(text, 1, 80) || ' [1] end [^2] .' AS t FROM documents)")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\[\\^?[0-9]+\\]', '', 'g'), '[ \\t]+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g')) AS clean FROM (SELECT doc_id, text || ' [1] end [^2] .' AS t FROM documents)")
 def f32_stripped_citations(spark: SparkSession, d: str) -> DataFrame:
-    return B.read(spark, d, "documents").select("doc_id", T.strip_citations(F.concat(F.substring("text", 1, 80), F.lit(" [1] end [^2] ."))).alias("clean"))
+    return B.read(spark, d, "documents").select("doc_id", T.strip_citations(F.concat("text", F.lit(" [1] end [^2] ."))).alias("clean"))
 
 
 @query("SELECT page_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS filename FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\\\/:*?\"<>|]+', '-', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS n FROM pages)")
@@ -174,11 +174,12 @@ def g2_merged_relations(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(r).groupBy("src", "predicate", "dst").agg(F.count("*").alias("n")).drop("n")
 
 
-@query(f"WITH {ENT}, {REL}, c AS (SELECT id, name FROM ent), s AS (SELECT a.name AS subject, predicate, b.name AS object, src FROM rel JOIN c a ON src = a.id JOIN c b ON dst = b.id WHERE predicate = 'in_nation') SELECT subject, predicate, min(object) AS object FROM s GROUP BY 1, 2")
+@query(f"""WITH {OC}, e AS (SELECT DISTINCT subject, predicate, object FROM oc), v AS (SELECT * FROM oc WHERE valid_from <= TIMESTAMP '1996-06-30' AND (valid_to IS NULL OR TIMESTAMP '1996-06-30' < valid_to))
+SELECT subject, predicate, object, arg_min(v.id, v.ord) AS claim_id FROM e JOIN v USING (subject, predicate, object) GROUP BY ALL""")
 def j5_edge_claims(spark: SparkSession, d: str) -> DataFrame:
-    e, r = B.entities(spark, d), B.relations(spark, d).where("predicate = 'in_nation'")
-    j = r.join(e.select(F.col("id").alias("src"), F.col("name").alias("subject")), "src").join(e.select(F.col("id").alias("dst"), F.col("name").alias("object")), "dst")
-    return j.groupBy("subject", "predicate").agg(F.min("object").alias("object"))
+    """The edges of the graph of all claims, each with the first claim that bears it at a time."""
+    claims = B.order_claims(spark, d)
+    return C.edge_claims(claims.select("subject", "predicate", "object").distinct(), claims, F.expr("timestamp'1996-06-30'"))
 
 
 # Chunk maintenance
@@ -217,17 +218,24 @@ def f25_split_decisions(spark: SparkSession, d: str) -> DataFrame:
 # Memory
 
 
-@query(f"WITH {EP}, t AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(lower(q || ' ' || a), {WORDS})) AS term FROM ep), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM benchmark WHERE item_id < 10) SELECT session_id, arg_max(term, (-seq, length(term), term)) AS anchor FROM t JOIN w USING (term) GROUP BY 1")
+@query(f"WITH {EP}, t AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(lower(q || ' ' || a), {WORDS})) AS term FROM ep), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM benchmark) SELECT session_id, arg_max(term, (-seq, length(term), term)) AS anchor FROM t JOIN w USING (term) GROUP BY 1")
 def j25_anchors(spark: SparkSession, d: str) -> DataFrame:
     texts = B.episodes(spark, d).select(F.struct("session_id", "seq").alias("text_id"), F.concat_ws(" ", "q", "a").alias("text"))
-    terms = B.read(spark, d, "benchmark").where("item_id < 10").select(F.explode(T.tokens("text")).alias("term")).distinct()
+    terms = B.read(spark, d, "benchmark").select(F.explode(T.tokens("text")).alias("term")).distinct()
     hit = G.term_in_text(texts, terms)
     return hit.groupBy(F.col("text_id.session_id").alias("session_id")).agg(F.max_by("term", F.struct(-F.col("text_id.seq"), F.length("term"), "term")).alias("anchor"))
 
 
-@query(f"WITH {EP} SELECT session_id, count(*) AS episodes, max(seq) AS last_turn, sum(length(q))::BIGINT AS asked, sum(length(a))::BIGINT AS told FROM ep GROUP BY 1")
+@query(f"""WITH {EP}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS age FROM ep), k AS (SELECT * FROM n WHERE age <= 10),
+w AS (SELECT session_id, list_filter(string_split_regex(lower(q), '[ \\t\\r\\n]+'), lambda x: x <> '') AS words FROM n WHERE age = 1),
+m AS (SELECT k.session_id, seq, age, len(list_filter(words, lambda x: contains(lower(q || ' ' || a), x))) > 0 AS hit FROM k JOIN w USING (session_id) WHERE age > 1)
+SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC)::INT AS rank, hit AS matched FROM (SELECT *, bool_or(hit) OVER (PARTITION BY session_id) AS found FROM m) WHERE hit OR (NOT found AND age <= 4)""")
 def m1_session_memory(spark: SparkSession, d: str) -> DataFrame:
-    return B.episodes(spark, d).groupBy("session_id").agg(F.count("*").alias("episodes"), F.max("seq").alias("last_turn"), F.sum(F.length("q")).alias("asked"), F.sum(F.length("a")).alias("told"))
+    """Each session's memory, trimmed to ten episodes, recalled for its newest question."""
+    e = G.trim_memory(B.episodes(spark, d), 10)
+    newest = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    e = e.withColumn("age", F.row_number().over(newest))
+    return G.recall(e.where("age > 1"), e.where("age = 1").select("session_id", F.col("q").alias("query")))
 
 
 # Retrieval and pages
@@ -257,13 +265,9 @@ def a17_page_bundles(spark: SparkSession, d: str) -> DataFrame:
     return G.page_bundles(B.wiki_pages(spark, d).withColumn("folder", F.upper(F.substring("title", 1, 1))))
 
 
-@query(f"""WITH {PAGES}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(text, {WORDS}), lambda x: length(x) > 3))) AS kw FROM benchmark WHERE item_id < 10),
+@query(f"""WITH {PAGES}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(text, {WORDS}), lambda x: length(x) > 3))) AS kw FROM benchmark),
 h AS (SELECT query_id, page_id, 2 * count(*) FILTER (contains(title, kw)) + count(*) FILTER (contains(body, kw)) AS raw FROM k, wp GROUP BY 1, 2), g AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, page_id) AS rank FROM h WHERE raw > 0)
 SELECT query_id, rank::INT AS rank, page_id, round(score, 6) AS score FROM g WHERE rank <= 5""")
 def r4_page_lane(spark: SparkSession, d: str) -> DataFrame:
-    kw = B.read(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)), lambda x: F.length(x) > 3)).alias("kw"))
-    pages = B.wiki_pages(spark, d).select("page_id", "title", "body").crossJoin(F.broadcast(kw))  # ten questions
-    raw = 2 * F.size(F.filter("kw", lambda k: F.contains(F.col("title"), k))) + F.size(F.filter("kw", lambda k: F.contains(F.col("body"), k)))
-    hits = pages.select("query_id", "page_id", raw.alias("raw")).where("raw > 0")
-    top = hits.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6))
-    return R.ranked(top, F.desc("raw"), "page_id", k=5).select("query_id", "rank", "page_id", "score")
+    kw = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)), lambda x: F.length(x) > 3)).alias("kw"))
+    return R.page_lane(B.wiki_pages(spark, d), kw)

@@ -182,12 +182,12 @@ def r2_text_lane(spark: SparkSession, d: str) -> DataFrame:
     return R.overlap_lane(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND e.vec_id >= 10)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
 SELECT query_id, rank::INT AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 8""")
 def k1_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = B.read(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))  # ten rows
-    return R.cosine_lane(q, e.where("vec_id >= 10").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 8).select("query_id", "rank", "id")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.cosine_lane(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 8).select("query_id", "rank", "id")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -208,13 +208,13 @@ def r5_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "rank", "key", "score")
 
 
-@query(f"""WITH {OC}, h AS (SELECT ord % 20 AS query_id, CASE WHEN ord % 3 = 0 THEN NULL ELSE id END AS claim_id, lower(subject || ' ' || predicate || ' ' || object) AS key, confidence AS score, ord FROM oc WHERE ord < 2000),
+@query(f"""WITH {OC}, h AS (SELECT ord % 20 AS query_id, CASE WHEN ord % 3 = 0 THEN NULL ELSE id END AS claim_id, lower(subject || ' ' || predicate || ' ' || object) AS key, confidence AS score, ord FROM oc),
 c AS (SELECT query_id, claim_id, max(score) AS score, arg_min(key, ord) AS key FROM h WHERE claim_id IS NOT NULL GROUP BY 1, 2), l AS (SELECT query_id, key, max(score) AS extra FROM h WHERE claim_id IS NULL GROUP BY 1, 2),
 o AS (SELECT query_id, key, min(claim_id) AS claim_id FROM c GROUP BY 1, 2), u AS (SELECT l.query_id, o.claim_id, extra FROM l JOIN o USING (query_id, key))
 SELECT query_id, claim_id, key, round(greatest(score, coalesce(extra, score)), 6) AS score FROM c LEFT JOIN u USING (query_id, claim_id)
 UNION ALL SELECT query_id, NULL, key, round(extra, 6) FROM l WHERE (query_id, key) NOT IN (SELECT (query_id, key) FROM o)""")
 def u1_merged_hits(spark: SparkSession, d: str) -> DataFrame:
-    c = B.order_claims(spark, d).where("ord < 2000")
+    c = B.order_claims(spark, d)
     hits = c.select((F.col("ord") % 20).alias("query_id"), F.col("ord").alias("lane"), F.when(F.col("ord") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("claim_id"), F.concat_ws("  ", "subject", "predicate", "object").alias("snippet"), F.col("confidence").alias("score"))
     return R.merge_hits(hits).select("query_id", "claim_id", "key", F.round("score", 6).alias("score"))
 
@@ -266,11 +266,11 @@ def g1_two_hops(spark: SparkSession, d: str) -> DataFrame:
     return G.two_hops(B.relations(spark, d), seeds)
 
 
-@query(f"""WITH {PAGES}, q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS needle FROM benchmark WHERE item_id < 20),
+@query(f"""WITH {PAGES}, q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS needle FROM benchmark),
 h AS (SELECT query_id, page_id, title, CASE WHEN contains(replace(lower(title), 'ß', 'ss'), needle) THEN 3 ELSE 1 END AS score FROM wp, q WHERE contains(replace(lower(title), 'ß', 'ss'), needle) OR contains(replace(lower(body), 'ß', 'ss'), needle))
 SELECT * EXCLUDE (title) FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, page_id)::INT AS rank, page_id, score::INT AS score, count(*) OVER (PARTITION BY query_id) AS total, title FROM h) WHERE rank <= 50""")
 def k6_page_search(spark: SparkSession, d: str) -> DataFrame:
-    q = B.read(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("needle"))
+    q = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("needle"))
     return G.page_search(B.wiki_pages(spark, d), q)
 
 
@@ -288,11 +288,10 @@ def a15_page_folders(spark: SparkSession, d: str) -> DataFrame:
 # Streams
 
 
-@query('SELECT \'doc-\' || doc_id AS source_id, s::INT AS start, least(s + 3000, length(text))::INT AS "end" FROM documents, (SELECT unnest(range(0, 200000, 3000)) AS s) WHERE s < length(text) AND length(text) <= 3000')
+@query()
 def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    chunks = S.ingest_chunks(spark, f"{d}/documents.parquet")
-    one = Window.partitionBy("source_id")
-    return chunks.withColumn("n", F.count("*").over(one)).withColumn("last", F.max("end").over(one)).where("n = 1 AND last <= 3000").select("source_id", "start", "end")
+    """All chunks of all documents; a test holds them against the batch job's."""
+    return S.ingest_chunks(spark, f"{d}/documents.parquet").select("source_id", "chunk_index", "start", "end", "id")
 
 
 @query("SELECT session_id, seq FROM (SELECT 'conv-' || conv_id AS session_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')) WHERE n <= 10")

@@ -114,3 +114,68 @@ def test_seeded_walk(spark):
     # A takes C's edges first, so B brings only its own edge; F is three hops away.
     assert got[1] == [("A", "C", 1.0), ("B", "C", 1.0), ("C", "D", 0.5), ("C", "E", 0.5)]
     assert [x[1] for x in got[2]] == ["X1", "X2", "X3", "X4"] and 3 not in got
+
+
+def test_chunking_takes_time_in_proportion_to_text(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(("## " if i % 5 == 0 else "") + f"line {i} of some words" for i in range(n))
+        df = spark.createDataFrame([(f"s{k}", text) for k in range(4)], "id string, text string")
+        start = time.time()
+        out = K.exploded(df, K.heading_spans(F.col("text"))).select("start", "end").collect()
+        assert len(out) == 4 * (n // 5)
+        return time.time() - start
+
+    took(400)
+    short, long = min(took(800) for _ in range(2)), took(12800)
+    assert long < 16 * short + 8, (short, long)
+
+
+def test_prefix_sums_over_many_runs(spark):
+    rows = spark.createDataFrame([([],), ([3],), (list(range(2000)),)], "n array<int>")
+    got = [r[0] for r in rows.select(K.prefix_sums(F.col("n"))).collect()]
+    assert got == [[], [0], [sum(range(i)) for i in range(2000)]]
+
+
+def test_merge_small_equals_a_plain_loop(spark):
+    import random
+
+    random.seed(2)
+    for _ in range(12):
+        text = "\n".join(" ".join("w" for _ in range(random.randint(0, 9))) for _ in range(random.randint(1, 12)))
+        cuts = sorted({0, len(text), *[i + 1 for i, c in enumerate(text) if c == "\n" and random.random() < 0.6]})
+        spans = [(a, b, f"t{a}" if random.random() < 0.5 else None) for a, b in zip(cuts, cuts[1:])]
+        count = lambda a, b: len(text[a:b].split())
+        want = []
+        for a, b, t in spans:
+            if want and count(want[-1][0], want[-1][1]) < 7:
+                x = want.pop()
+                want.append((x[0], b, x[2] if x[2] is not None else t))
+            else:
+                want.append((a, b, t))
+        if len(want) > 1 and count(*want[-1][:2]) < 7:
+            y, x = want.pop(), want.pop()
+            want.append((x[0], y[1], x[2] if x[2] is not None else y[2]))
+        df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,end:int,title:string>>")
+        got = df.select(K.merge_small(F.col("spans"), F.col("text"), 7)).first()[0]
+        assert [tuple(r) for r in got] == want
+
+
+def test_stream_ingest_equals_the_batch_job(spark):
+    from tessera.plans import knowledge
+    from tessera.sources import bindings as B
+
+    sf = "/root/testdata/sf0.001"
+    batch = K.chunk(B.kb_sources(spark, sf).select("id", "text")).select("source_id", "chunk_index", "start", "end", "id")
+    got = knowledge.QUERIES["st1_stream_ingest"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_graph_walks_against_plain_loops(spark):
+
+    edges = [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("b", "q", "d"), ("x", "p", "y")]
+    rel = spark.createDataFrame([(s, p, d, i) for i, (s, p, d) in enumerate(edges)], "src string, predicate string, dst string, ord bigint")
+    seeds = spark.createDataFrame([("q1", "a", 1), ("q2", "x", 1)], "query_id string, seed string, seed_rank int")
+    got = {(r["query_id"], r["src"], r["dst"]) for r in G.two_hops(rel, seeds).select("query_id", "src", "dst").collect()}
+    assert got == {("q1", "a", "b"), ("q1", "b", "c"), ("q1", "b", "d"), ("q2", "x", "y")}
