@@ -134,7 +134,7 @@ def margins(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int
 
 def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
     """Per row of docs: doc_id, source, lang, topic, n_tokens, prob, sampled and margin_miss (the same in every row; null without tokens at all)."""
-    rows = traits(docs)
+    rows = materialise(traits(docs), "traits")  # a few short columns, so that texts are read once
     cells, _ = rake(rows, alphas, sweeps, keep)
     out = met(rows, cells.select(*DIMS, "prob"), list(DIMS)).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     miss = F.broadcast(cells.agg(F.round(F.max("miss"), 6).alias("margin_miss")))  # one row
