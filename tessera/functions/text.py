@@ -15,6 +15,11 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Text) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def tokens(c: Text) -> Column:
     """Lower-case word runs."""
     return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD), F.lit(0))

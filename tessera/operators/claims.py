@@ -112,3 +112,19 @@ def effective(verdicts: DataFrame) -> DataFrame:
     used = told.where((F.col("status") == "partial") | F.col("verified")).select("query_id", "status", "claim_id")
     none = told.where("status = 'unverified'").select("query_id", "status").distinct().withColumn("claim_id", F.lit(None).cast("string"))
     return used.unionByName(none)
+
+
+def lint(claims: DataFrame, evidence: DataFrame, sources: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """severity, code, n: families in conflict (errors), claims whose quotes are not found, sources without evidence and rows in quarantine (warnings); kinds without any are left out."""
+    told = evidence.select(F.col("claim_id").alias("id")).distinct()
+    kinds = [
+        ("error", "conflict", conflicts(claims)),
+        ("warning", "missing_evidence", verify(evidence, sources, told).where("NOT verified")),
+        ("warning", "orphan_source", sources.select("id").join(evidence.select(F.col("source_id").alias("id")), "id", "left_anti")),
+        ("warning", "quarantine_backlog", quarantined),
+    ]
+    out = None
+    for severity, code, rows in kinds:
+        one = rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("severity", "code").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import questions as Q
 from tessera.operators import retrieve as R
 
 
@@ -17,7 +18,7 @@ def clusters(chunks: DataFrame, claims: DataFrame, least: int = 1) -> DataFrame:
     form, ties by the lesser text; a cluster without claims needs `least` chunks."""
     raw = chunks.select("kb_id", "id", "source_id", F.posexplode("topics").alias("pos", "raw")).withColumn("canon", T.topic_name("raw")).where("canon <> ''")
     once = raw.groupBy("kb_id", "id", "source_id", "canon").agg(F.min(F.struct("pos", "raw")).alias("m")).select("kb_id", "canon", F.col("m.raw").alias("raw"), F.col("id").alias("chunk_id"), F.lit(None).cast("string").alias("claim_id"), "source_id")
-    subject = claims.where((F.length(F.trim("subject")) > 2) & ~F.col("subject").rlike(r"^[\d\-~、，,cm\s]+$")).withColumn("canon", T.topic_name("subject")).where("canon <> ''")
+    subject = claims.where(Q.topic_worthy(F.col("subject"))).withColumn("canon", T.topic_name("subject")).where("canon <> ''")
     named = subject.select("kb_id", "canon", F.col("subject").alias("raw"), F.lit(None).cast("string").alias("chunk_id"), F.col("id").alias("claim_id"), "source_id")
     both = once.unionByName(named)
     shown = both.groupBy("kb_id", "canon", "raw").agg(F.count("*").alias("n")).groupBy("kb_id", "canon").agg(F.min(F.struct((-F.col("n")).alias("n"), "raw")).alias("top"))

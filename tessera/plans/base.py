@@ -321,14 +321,14 @@ def c1_compiled_claims(spark: SparkSession, d: str) -> DataFrame:
     return C.compile_versions(B.order_claims(spark, d)).select("family_id", "object", "version", "status")
 
 
-@query(f"""WITH {OC}, {KB}, {EV}, c AS (SELECT 'missing_evidence' AS code, count(*) AS n FROM ev WHERE ord % 7 = 0),
-o AS (SELECT 'orphan_source' AS code, count(*) AS n FROM kb WHERE id NOT IN (SELECT source_id FROM ev)) SELECT * FROM c WHERE n > 0 UNION ALL SELECT * FROM o WHERE n > 0""")
+@query(f"""WITH {OC}, {KB}, {EV}, f AS (SELECT family_id FROM (SELECT family_id, version >= max(version) OVER (PARTITION BY family_id) - 1 AS act FROM oc) WHERE act GROUP BY 1 HAVING count(*) > 1),
+u AS (SELECT 'error' AS severity, 'conflict' AS code, count(*) AS n FROM f UNION ALL SELECT 'warning', 'missing_evidence', count(*) FROM ev WHERE ord % 7 = 0 UNION ALL SELECT 'warning', 'orphan_source', count(*) FROM kb WHERE id NOT IN (SELECT source_id FROM ev)
+UNION ALL SELECT 'warning', 'quarantine_backlog', count(*) FROM ev WHERE weight < 0.6) SELECT * FROM u WHERE n > 0""")
 def l1_lint(spark: SparkSession, d: str) -> DataFrame:
-    e, s = B.evidence(spark, d), B.kb_sources(spark, d)
-    bad = C.verify(e, s, e.select(F.col("claim_id").alias("id")).distinct()).where("NOT verified").select(F.lit("missing_evidence").alias("code"))
-    orphans = s.select("id").join(e.select(F.col("source_id").alias("id")), "id", "left_anti").select(F.lit("orphan_source").alias("code"))
-    clash = C.conflicts(B.order_claims(spark, d)).select(F.lit("conflict").alias("code"))
-    return bad.unionByName(orphans).unionByName(clash).groupBy("code").agg(F.count("*").alias("n"))
+    """Faults by kind where the last two versions of each family are still active and weak claims wait in quarantine."""
+    e, s, c = B.evidence(spark, d), B.kb_sources(spark, d), B.order_claims(spark, d)
+    two = c.withColumn("status", F.when(F.col("version") >= F.max("version").over(Window.partitionBy("family_id")) - 1, "active").otherwise("superseded"))
+    return C.lint(two, e, s, e.where("weight < 0.6").select("claim_id"))
 
 
 @query(f"""WITH {EV}, c AS (SELECT source_id, claim_id, contains(d.text, quote) AS ok, weight FROM ev JOIN documents d ON 'doc-' || d.doc_id = source_id),

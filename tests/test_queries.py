@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import base, enrich, govern, joined, knowledge
+from tessera.plans import base, enrich, govern, joined, knowledge, pages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = base.QUERIES | knowledge.QUERIES | govern.QUERIES | enrich.QUERIES | joined.QUERIES, base.SQL | knowledge.SQL | govern.SQL | enrich.SQL | joined.SQL
+QUERIES, SQL = base.QUERIES | knowledge.QUERIES | govern.QUERIES | enrich.QUERIES | joined.QUERIES | pages.QUERIES, base.SQL | knowledge.SQL | govern.SQL | enrich.SQL | joined.SQL | pages.SQL
 
 
 def rows(df: pd.DataFrame) -> list:
