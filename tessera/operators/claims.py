@@ -15,7 +15,7 @@ def object_parts(value: Column) -> Column:
     """Parts by the first kind of semicolon that occurs, trimmed, blanks dropped."""
     v = F.trim(value)
     cut = F.when(F.contains(v, F.lit("；")), F.split(v, "；")).otherwise(F.split(v, ";"))
-    return F.filter(F.transform(cut, F.trim), lambda p: p != "")
+    return F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def join_objects(objects: Column) -> Column:
@@ -128,3 +128,62 @@ def lint(claims: DataFrame, evidence: DataFrame, sources: DataFrame, quarantined
         one = rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+def compile_claims(candidates: DataFrame, allowed: DataFrame, exclusive: list[str] = EXCLUSIVE) -> tuple[DataFrame, DataFrame]:
+    """(versions, quarantined) of candidates (family_id, ord, subject, predicate, object, subject_type, object_type, confidence, source_id, quote).
+
+    Types that `allowed` (subject_type, predicate, object_type) lacks are quarantined as invalid_predicate. The rest of a family is
+    compiled in order of (ord, object): what an earlier version says or the current one holds is covered; of an exclusive predicate the first object is
+    active and others are staged; otherwise each new object gives a version with all objects joined and ends the one before it. A version keeps
+    its order, the highest confidence, its sources and its quote as evidence. Repeats of an object are covered by its first, so they
+    are dropped before a family is gathered: a gathered family holds its distinct objects only."""
+    keys = ["subject_type", "predicate", "object_type"]
+    marked = candidates.join(allowed.select(*keys, F.lit(True).alias("known")).distinct(), keys, "left")
+    bad = marked.where("known IS NULL").select("family_id", "ord", "subject", "predicate", "object", F.lit("invalid_predicate").alias("reason"))
+    row = F.struct("ord", "object", "subject", "predicate", "confidence", "source_id", "quote")
+    first = marked.where("known").groupBy("family_id", "object").agg(F.min(row).alias("x"))
+    item = F.struct(F.col("x.object").alias("object"), F.col("x.confidence").cast("double").alias("confidence"), F.array("x.source_id").alias("source_ids"), F.col("x.quote").alias("quote"), F.col("x.ord").alias("ord"))
+    family = first.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("x.ord", "x.object", item.alias("c")))).alias("cs"), F.min(F.struct("x.ord", "x.subject", "x.predicate")).alias("head"))
+    family = family.select("family_id", "head.subject", "head.predicate", F.col("cs.c").alias("cs"))
+    none = F.slice("cs", 1, 0)
+    told = lambda acc, c: F.exists(acc, lambda v: v["object"] == c["object"])
+    held = lambda acc, c: F.exists(acc, lambda v: join_objects(F.array(v["object"], c["object"])) == v["object"])
+
+    def joined(acc: Column, c: Column) -> Column:
+        last = F.element_at(acc, -1)
+        whole = F.struct(join_objects(F.array(last["object"], c["object"])).alias("object"), F.greatest(last["confidence"], c["confidence"]).alias("confidence"), F.array_union(last["source_ids"], c["source_ids"]).alias("source_ids"), c["quote"].alias("quote"), c["ord"].alias("ord"))
+        return F.get(F.transform(F.array(whole), lambda w: F.when(w["object"] == last["object"], acc).otherwise(F.array_append(acc, w))), F.lit(0))
+
+    folded = F.aggregate("cs", none, lambda acc, c: F.when(F.size(acc) == 0, F.array(c)).when(told(acc, c), acc).otherwise(joined(acc, c)))
+    staged = F.aggregate("cs", none, lambda acc, c: F.when(told(acc, c) | held(acc, c), acc).otherwise(F.array_append(acc, c)))
+    alone = F.col("predicate").isin(exclusive)
+    out = family.select("family_id", "subject", "predicate", F.when(alone, staged).otherwise(folded).alias("v")).select("family_id", "subject", "predicate", F.size("v").alias("n"), F.posexplode("v").alias("i", "c"))
+    status = F.when(alone, F.when(F.col("i") == 0, "active").otherwise("staging")).when(F.col("i") == F.col("n") - 1, "active").otherwise("superseded")
+    return out.select("family_id", (F.col("i") + 1).alias("version"), "subject", "predicate", "c.object", status.alias("status"), "c.confidence", "c.source_ids", "c.quote", "c.ord"), bad
+
+
+def verification(asked: DataFrame, verdicts: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, status, competing, confidence for the claims (query_id, claim_id) of each query: conflict where a family of theirs has more than
+    one active claim (competing: how many), else verified, unverified or partial; the mean weight of the evidence, halved by an unverified claim."""
+    active = claims.where("status = 'active'").groupBy("family_id").agg(F.count("*").alias("n"))
+    mine = asked.join(claims.select(F.col("id").alias("claim_id"), "family_id"), "claim_id").select("query_id", "family_id").distinct().join(active, "family_id").where("n > 1")
+    rivals = mine.groupBy("query_id").agg(F.sum("n").alias("rivals"))
+    checked = asked.join(verdicts, "claim_id", "left").groupBy("query_id").agg(F.count_if("verified").alias("good"), F.count_if(~F.coalesce("verified", F.lit(False))).alias("bad"))
+    weight = asked.join(evidence.select("claim_id", "weight"), "claim_id").groupBy("query_id").agg(F.avg("weight").alias("w"))
+    both = checked.join(rivals, "query_id", "left").join(weight, "query_id", "left")
+    status = F.when(F.col("rivals") > 0, "conflict").when(F.col("bad") == 0, "verified").when(F.col("good") == 0, "unverified").otherwise("partial")
+    confidence = F.coalesce("w", F.lit(0.0)) * F.when(F.col("bad") > 0, 0.5).otherwise(1.0)
+    return both.select("query_id", status.alias("status"), F.coalesce("rivals", F.lit(0)).cast("bigint").alias("competing"), confidence.alias("confidence"))
+
+
+def faq(claims: DataFrame, words: list[str], most: int = 8) -> DataFrame:
+    """page_id, place, id: of a page's claims (page_id, id, subject, predicate, confidence) the first of each subject and predicate, those whose predicate
+    holds most of the words first, then by confidence and predicate, both falling, and id; a page's first `most` are the report."""
+    hits = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("predicate"), w)))
+    order = [F.desc("hits"), F.desc("confidence"), F.desc("predicate"), "id"]
+    best = F.struct((-F.col("hits")).alias("h"), (-F.col("confidence")).alias("c"), "id")
+    one = claims.withColumn("hits", hits).groupBy("page_id", "subject", "predicate").agg(F.min(best).alias("b"))
+    one = one.select("page_id", "predicate", (-F.col("b.h")).alias("hits"), (-F.col("b.c")).alias("confidence"), "b.id")
+    w = Window.partitionBy("page_id").orderBy(*order)
+    return one.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("page_id", "place", "id")

@@ -331,12 +331,30 @@ def l1_lint(spark: SparkSession, d: str) -> DataFrame:
     return C.lint(two, e, s, e.where("weight < 0.6").select("claim_id"))
 
 
-@query(f"""WITH {EV}, c AS (SELECT source_id, claim_id, contains(d.text, quote) AS ok, weight FROM ev JOIN documents d ON 'doc-' || d.doc_id = source_id),
-g AS (SELECT source_id, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, avg(weight) AS w FROM c GROUP BY 1)
-SELECT source_id, CASE WHEN bad = 0 THEN 'verified' WHEN good = 0 THEN 'unverified' ELSE 'partial' END AS status, round(w * CASE WHEN bad > 0 THEN 0.5 ELSE 1 END, 6) AS confidence FROM g""")
+@query()
+def c1_folded_claims(spark: SparkSession, d: str) -> DataFrame:
+    """All order facts compiled: statuses exclude one another, priorities are joined, one kind of object is unknown to the ontology. A test holds it against a plain loop."""
+    return C.compile_claims(*_facts(spark, d), exclusive=["order_status"])[0].select("family_id", "version", "object", "status", F.round("confidence", 6).alias("confidence"), F.size("source_ids").alias("sources"), "quote")
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = B.order_claims(spark, d).withColumn("object_type", F.when(F.col("object") == "4-NOT SPECIFIED", "Unknown").otherwise("Concept"))
+    kinds = spark.createDataFrame([("Customer", p, "Concept") for p in ("order_status", "order_priority")], "subject_type string, predicate string, object_type string")
+    return c.select("family_id", "ord", "subject", "predicate", "object", F.lit("Customer").alias("subject_type"), "object_type", "confidence", "source_id", F.concat_ws(" ", "predicate", "object").alias("quote")), kinds
+
+
+@query(f"WITH {OC} SELECT family_id, ord, object, 'invalid_predicate' AS reason FROM oc WHERE object = '4-NOT SPECIFIED'")
+def c1_quarantined_claims(spark: SparkSession, d: str) -> DataFrame:
+    return C.compile_claims(*_facts(spark, d), exclusive=["order_status"])[1].select("family_id", "ord", "object", "reason")
+
+
+@query(f"""WITH {EV}, c AS (SELECT ord % 40 AS query_id, claim_id, contains(d.text, quote) AS ok, weight, ord // 3 AS family_id, ord % 5 <> 0 AS act FROM ev JOIN documents d ON 'doc-' || d.doc_id = source_id),
+f AS (SELECT family_id, count(*) AS n FROM c WHERE act GROUP BY 1 HAVING count(*) > 1), r AS (SELECT query_id, sum(n) AS rivals FROM (SELECT DISTINCT query_id, family_id FROM c) JOIN f USING (family_id) GROUP BY 1),
+g AS (SELECT query_id, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, avg(weight) AS w FROM c GROUP BY 1)
+SELECT query_id, CASE WHEN rivals > 0 THEN 'conflict' WHEN bad = 0 THEN 'verified' WHEN good = 0 THEN 'unverified' ELSE 'partial' END AS status, coalesce(rivals, 0)::BIGINT AS competing, round(w * CASE WHEN bad > 0 THEN 0.5 ELSE 1 END, 6) AS confidence FROM g LEFT JOIN r USING (query_id)""")
 def v1_verification(spark: SparkSession, d: str) -> DataFrame:
     e = B.evidence(spark, d)
     ok = C.verify(e, B.kb_sources(spark, d), e.select(F.col("claim_id").alias("id")).distinct())
-    g = e.join(ok, "claim_id").groupBy("source_id").agg(F.count_if("verified").alias("good"), F.count_if(~F.col("verified")).alias("bad"), F.avg("weight").alias("w"))
-    status = F.when(F.col("bad") == 0, "verified").when(F.col("good") == 0, "unverified").otherwise("partial")
-    return g.select("source_id", status.alias("status"), F.round(F.col("w") * F.when(F.col("bad") > 0, 0.5).otherwise(1.0), 6).alias("confidence"))
+    claims = e.select(F.col("claim_id").alias("id"), F.expr("ord div 3").alias("family_id"), F.when(F.col("ord") % 5 == 0, "superseded").otherwise("active").alias("status"))
+    v = C.verification(e.select((F.col("ord") % 40).alias("query_id"), "claim_id"), ok, claims, e)
+    return v.withColumn("confidence", F.round("confidence", 6))

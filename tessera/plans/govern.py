@@ -155,10 +155,12 @@ def u3_topic_changes(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.when(~F.col("b"), "created").when(~F.col("a"), "stale").otherwise("updated").alias("kind")).agg(F.count("*").alias("topics"))
 
 
-@query(f"WITH {OC} SELECT subject, source_id, object, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, predicate DESC, id) AS place FROM oc WHERE status = 'active') WHERE place <= 8")
+@query(f"""WITH {OC}, h AS (SELECT substr(subject, 10)::BIGINT % 100 AS page_id, id, subject, predicate, confidence, contains(predicate, 'priority')::INT + contains(predicate, 'order')::INT AS hits FROM oc WHERE status = 'active'),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, subject, predicate ORDER BY hits DESC, confidence DESC, id) AS n FROM h) WHERE n = 1)
+SELECT page_id, place::INT AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY hits DESC, confidence DESC, predicate DESC, id) AS place FROM o) WHERE place <= 8""")
 def k8_faq_claims(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("subject").orderBy(F.desc("confidence"), F.desc("predicate"), "id")
-    return B.order_claims(spark, d).where("status = 'active'").withColumn("place", F.row_number().over(w)).where("place <= 8").select("subject", "source_id", "object", "place")
+    c = B.order_claims(spark, d).where("status = 'active'").withColumn("page_id", F.substring("subject", 10, 20).cast("bigint") % 100)
+    return C.faq(c, ["priority", "order"])
 
 
 @query(f"WITH {REL} SELECT src, predicate, dst, total, total > 500 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY src, predicate, dst) AS n, count(*) OVER () AS total FROM rel) WHERE n <= 500")

@@ -179,3 +179,63 @@ def test_graph_walks_against_plain_loops(spark):
     seeds = spark.createDataFrame([("q1", "a", 1), ("q2", "x", 1)], "query_id string, seed string, seed_rank int")
     got = {(r["query_id"], r["src"], r["dst"]) for r in G.two_hops(rel, seeds).select("query_id", "src", "dst").collect()}
     assert got == {("q1", "a", "b"), ("q1", "b", "c"), ("q1", "b", "d"), ("q2", "x", "y")}
+
+
+def test_compiled_claims_equal_a_plain_loop(spark):
+    from tessera.plans import base
+
+    sf = "/root/testdata/sf0.001"
+    facts, kinds = base._facts(spark, sf)
+    extra = [("f1", i, "s", "terms", o, "Customer", "Concept", 0.5 + i / 100, f"s{i}", f"q{i}") for i, o in enumerate(["red", "blue", "red; green", "a long object with many words", "green", "blue and green"])]
+    extra += [("f2", i, "s", "order_status", o, "Customer", "Concept", 0.5, f"s{i}", "q") for i, o in enumerate(["open", "shut", "open", "op"])] + [("f3", 0, "s", "other", "x", "Customer", "Concept", 0.5, "s", "q")]
+    kinds = kinds.unionByName(spark.createDataFrame([("Customer", "terms", "Concept")], kinds.schema))
+    facts = facts.unionByName(spark.createDataFrame(extra, facts.schema))
+
+    def join(parts):
+        kept = []
+        for part in parts:
+            for p in (x.strip() for x in part.split("；" if "；" in part else ";")):
+                if p and not any(p in k for k in kept):
+                    kept = [k for k in kept if k not in p] + [p]
+        return ("；" if any(len(k) > 8 or any(m in k for m in "，。、") for k in kept) else "、").join(kept)
+
+    ok = {(r["subject_type"], r["predicate"], r["object_type"]) for r in kinds.collect()}
+    want, bad, history = [], 0, {}
+    for r in sorted(facts.collect(), key=lambda r: (r["family_id"], r["ord"], r["object"])):
+        if (r["subject_type"], r["predicate"], r["object_type"]) not in ok:
+            bad += 1
+            continue
+        own = history.setdefault(r["family_id"], [])
+        live = [v for v in own if v[1] != "superseded"]
+        if any(v[0] == r["object"] for v in own) or any(join([v[0], r["object"]]) == v[0] for v in live):
+            continue
+        if live and r["predicate"] != "order_status":
+            live[0][1] = "superseded"
+            own.append([join([live[0][0], r["object"]]), "active", max(live[0][2], r["confidence"]), live[0][3] | {r["source_id"]}, r["quote"]])
+        else:
+            own.append([r["object"], "staging" if live else "active", r["confidence"], {r["source_id"]}, r["quote"]])
+    for f, own in history.items():
+        want += [(f, i, v[0], v[1], round(v[2], 6), tuple(sorted(v[3])), v[4]) for i, v in enumerate(own, 1)]
+    versions, out = C.compile_claims(facts, kinds, ["order_status"])
+    got = [(r["family_id"], r["version"], r["object"], r["status"], round(r["confidence"], 6), tuple(sorted(r["source_ids"])), r["quote"]) for r in versions.collect()]
+    assert sorted(got) == sorted(want)
+    assert out.count() == bad > 0
+
+
+def test_page_parts_by_hand(spark):
+    from tessera.operators import pages as P
+    from tessera.operators import questions as Q
+
+    text = "intro\n## 1. A\nbody a\n## 概述\n## 2、目录\nskipped\n## 3. B\nbody b\n## Plain\nrest"
+    df = spark.createDataFrame([("d", text), ("e", "## 1. only\nx"), ("n", None), ("z", "")], "id string, text string")
+    assert [(r["title"], r["body"]) for r in P.catalog_items(df).orderBy("item").collect()] == [("A", "body a\n## 概述"), ("B", "body b")]
+    md = spark.createDataFrame([("# T\n\n## 相关主题\n- old\n\n## Next\nx", ["[[n]]"]), ("# T\n## 关键词\nk", ["[[n]]"]), ("# T", []), ("# T \n", ["a", "b"])], "md string, links array<string>")
+    got = [r[0] for r in md.select(P.related_section(F.col("md"), F.col("links"))).collect()]
+    assert got == ["# T\n\n## 相关主题\n- [[n]]\n\n## Next\nx", "# T\n## 相关主题\n- [[n]]\n\n## 关键词\nk", "# T", "# T\n\n## 相关主题\n- a\n- b\n"]
+    asked = spark.createDataFrame([("a", "能退吗"), ("b", "退货能退吗"), ("c", "能退吗"), ("d", None)], "session_id string, question string")
+    eps = spark.createDataFrame([("a", 1, "七天无理由退货", ""), ("a", 2, "好", "无关"), ("b", 1, "退货", ""), ("d", 1, "退货", None)], "session_id string, seq int, q string, a string")
+    got = {r["session_id"]: (r["question"], r["anchor"]) for r in Q.rewrite(asked, eps, ["退货", "七天无理由退货"]).collect()}
+    assert got == {"a": ("七天无理由退货能退吗", "七天无理由退货"), "b": ("退货能退吗", None), "c": ("能退吗", None), "d": (None, None)}
+    chunks = spark.createDataFrame([("s", 0, "T", "- first line here\n# heading line\n- second line here", None), ("s", 1, None, "One sentence。short；Another sentence。", None), ("s", 2, None, "", "a summary text"), ("s", 3, "T", "first line here\nthird line here", None), ("n", 0, None, None, None)], "source_id string, chunk_index int, title string, text string, summary string")
+    got = [r["point"] for r in P.points(chunks).orderBy("source_id", "place").collect()]
+    assert got == ["T：first line here", "T：second line here", "One sentence。", "Another sentence。", "a summary text", "T：third line here"]
