@@ -56,10 +56,12 @@ def f1_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS w FROM benchmark), h AS (SELECT item_id, md5(w) AS m FROM t),
 p AS (SELECT item_id, [('0x' || substr(m, 1, 8))::BIGINT, ('0x' || substr(m, 9, 8))::BIGINT, ('0x' || substr(m, 17, 8))::BIGINT, ('0x' || substr(m, 25, 8))::BIGINT] AS x FROM h)
-SELECT item_id, ((((((x[1] % 64) * 4294967296 + x[2]) % 64) * 4294967296 + x[3]) % 64) * 4294967296 + x[4]) % 64 AS bucket, count(*) AS weight FROM p GROUP BY 1, 2""")
+SELECT item_id, ((((((x[1] % 64) * 4294967296 + x[2]) % 64) * 4294967296 + x[3]) % 64) * 4294967296 + x[4]) % 64 AS bucket, round(count(*) / sqrt(sum(count(*) * count(*)) OVER (PARTITION BY item_id)), 6) AS weight FROM p GROUP BY 1, 2""")
 def f3_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     t = B.read(spark, d, "benchmark").select("item_id", F.explode(T.tokens("text")).alias("w"))
-    return t.groupBy("item_id", T.token_bucket(F.col("w"), 64).alias("bucket")).agg(F.count("*").alias("weight"))
+    v = t.groupBy("item_id", T.token_bucket(F.col("w"), 64).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id")))  # a text has at most 64 buckets
+    return v.select("item_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
