@@ -13,11 +13,22 @@ ENGLISH_PACK = [
 ]
 
 
-def rule_claims(sources: DataFrame, pack: list[tuple[int, str, str, str, int]] = ENGLISH_PACK, confidence: float = 0.9) -> DataFrame:
-    """source_id, ord, subject, predicate, object, confidence, quote, start: every match of every rule, empty objects dropped."""
-    def matches(rule: int, subject: str, predicate: str, pattern: str, group: int) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("q"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("o"))
-        return F.transform(pairs, lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("match"), F.lit(subject).alias("subject"), F.lit(predicate).alias("predicate"), x["q"].alias("quote"), F.trim(x["o"]).alias("object")))
+# Rules whose subject is the product that group 2 names, where the last number is given.
+PRODUCT_PACK = [
+    (0, "this product", "granted_by", r"(?:Licensed|Released) under (?:the )?((\w+)[^\n]*)", 1, 2),
+    (1, "this product", "has_contact", r"([A-Za-z0-9._]+)@([A-Za-z0-9.]+[A-Za-z0-9])", 0, 2),
+    (2, "this product", "has_address", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0),
+]
+
+
+def rule_claims(sources: DataFrame, pack: list[tuple] = ENGLISH_PACK, confidence: float = 0.9) -> DataFrame:
+    """source_id, ord, subject, predicate, object, confidence, quote, start: every match of every rule, empty objects dropped. A rule's
+    sixth value is the group of its subject; the rule's own subject stands where that is empty."""
+    def matches(rule: int, subject: str, predicate: str, pattern: str, group: int, subject_group: int | None = None) -> Column:
+        found = {"q": 0, "o": group} | ({} if subject_group is None else {"s": subject_group})
+        pairs = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(name) for name, g in found.items()])
+        who = lambda x: F.lit(subject) if subject_group is None else F.coalesce(F.nullif(F.trim(x["s"]), F.lit("")), F.lit(subject))
+        return F.transform(pairs, lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("match"), who(x).alias("subject"), F.lit(predicate).alias("predicate"), x["q"].alias("quote"), F.trim(x["o"]).alias("object")))
 
     found = F.flatten(F.array(*[matches(*rule) for rule in pack]))
     rows = sources.select(F.col("id").alias("source_id"), "text", F.explode(found).alias("m")).where("m.object <> ''")

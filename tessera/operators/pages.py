@@ -128,3 +128,53 @@ def passages(hits: DataFrame, chunks: DataFrame, pages: DataFrame, claims: DataF
     said = lambda *c: F.nullif(T.strip(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in c])), F.lit(""))
     texts = chunks.select("key", F.coalesce(said("title", "summary"), said("text")).alias("found")).unionByName(pages.select("key", said("title", "snippet").alias("found"))).unionByName(claims.select("key", said("subject", "predicate", "object").alias("found")))
     return hits.join(texts, "key", "left").select("query_id", "key", F.substring(F.coalesce("found", T.strip(F.coalesce("snippet", F.lit("")))), 1, most).alias("passage"))
+
+
+def focus_tokens(title: Column, focus: Column) -> Column:
+    """Words of two characters or more of a title and of its focus, of which only what follows `include:` counts."""
+    f = F.coalesce(F.nullif(focus, F.lit("")), title)
+    marked = F.regexp_like(f, F.lit("include[:：]"))
+    f = F.when(marked, F.split(F.regexp_replace(f, r"(?s)^.*?include[:：]", ""), "exclude[:：]")[0]).otherwise(f)
+    words = F.transform(F.split(F.concat_ws(" ", title, f), r"\s+|、|；|;|/|，|,"), lambda w: F.trim(w))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin("include", "exclude", "本页", "其他"))
+
+
+def page_evidence(outline: DataFrame, chunks: DataFrame, claims: DataFrame, most_chunks: int = 6, most_claims: int = 12) -> DataFrame:
+    """source_id, page_index, kind, pos, id: what each page of an outline (source_id, page_index, title, focus) is to be written from.
+
+    Chunks (source_id, ord, id, title, text) whose title holds the page's or that hold one of its words, else a window of chunks by the page's
+    place; claims (source_id, ord, id, subject, predicate, object) whose subject holds the title or the other way round, or that hold a
+    word, else six claims by the page's place."""
+    page = outline.select("source_id", "page_index", F.col("title").alias("page"), focus_tokens(F.col("title"), F.col("focus")).alias("words"))
+    w = Window.partitionBy("source_id").orderBy("ord")
+
+    def chosen(rows: DataFrame, kind: str, fits: Column, start: Column, width: Column, most: int) -> DataFrame:
+        placed = rows.withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
+        both = page.join(placed, "source_id").withColumn("fits", fits)
+        both = both.withColumn("any", F.bool_or("fits").over(Window.partitionBy("source_id", "page_index")))
+        inside = (F.col("at") >= start) & (F.col("at") < start + width)
+        took = both.where(F.when(F.col("any"), F.col("fits")).otherwise(inside))
+        pos = F.row_number().over(Window.partitionBy("source_id", "page_index").orderBy("at"))
+        return took.select("source_id", "page_index", F.lit(kind).alias("kind"), pos.alias("pos"), "id").where(F.col("pos") <= most)
+
+    text = F.lower(F.concat_ws(" ", "title", "text"))
+    in_chunk = F.contains(F.coalesce("title", F.lit("")), F.col("page")) | F.exists("words", lambda x: F.contains(text, F.lower(x)))
+    width = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.col("n") / (F.col("page_index") + 1))))
+    start = F.least(F.col("page_index") * width, F.greatest(F.lit(0), F.col("n") - width))
+    said = F.concat("subject", "predicate", "object")
+    in_claim = F.contains("subject", F.col("page")) | F.contains("page", F.col("subject")) | F.exists("words", lambda x: F.contains(said, x))
+    a = chosen(chunks.select("source_id", "ord", "id", "title", "text"), "chunk", in_chunk, start, width, most_chunks)
+    b = chosen(claims.select("source_id", "ord", "id", "subject", "predicate", "object"), "claim", in_claim, F.pmod(F.col("page_index") * 6, F.col("n")), F.lit(6), most_claims)
+    return a.unionByName(b)
+
+
+def page_rejects(pages: DataFrame, sections: list[str], least: int = 2) -> DataFrame:
+    """source_id, reason of sources whose recorded pages (source_id, link, markdown) can't be taken: a page lacks the link to its source or a
+    required section, or there are fewer than `least`."""
+    whole = F.lit(True)
+    for section in sections:
+        whole = whole & F.contains("markdown", F.lit(section))
+    checked = pages.withColumns({"linked": F.coalesce(F.contains("markdown", F.col("link")), F.lit(False)), "whole": F.coalesce(whole, F.lit(False))})
+    by = checked.groupBy("source_id").agg(F.bool_and("linked").alias("linked"), F.bool_and("whole").alias("whole"), F.count("*").alias("n"))
+    reason = F.when(~F.col("linked"), "link_missing").when(~F.col("whole"), "section_missing").when(F.col("n") < least, "too_few_pages")
+    return by.select("source_id", reason.alias("reason")).where("reason IS NOT NULL")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +79,96 @@ def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int, most: int = 2000
     return ranked(found, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
 
 
+@functools.lru_cache(1 << 16)
+def bucket(token: str, dims: int) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest(), 16) % dims
+
+
+def hash_vector(tokens: list[str], dims: int) -> np.ndarray:
+    """Counts of the tokens' buckets, of length one."""
+    v = np.bincount([bucket(t, dims) for t in tokens], minlength=dims).astype(np.float64)
+    return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+
+def chunk_lane(queries: DataFrame, chunks: DataFrame, k: int, dims: int = 64, least: float = 0.0, most: int = 500) -> DataFrame:
+    """query_id, rank, id, score of each query's (query_id, query) best k chunks (id, text) by 0.6 times the share of its distinct tokens
+    (1 where the text holds the whole query) plus 0.4 times the cosine of hash vectors; scores of 0 or below `least` go.
+
+    Queries go in blocks; a task scores its batches against a block and hands on each query's k best so far."""
+    context, found = queries.sparkSession.sparkContext, None
+    for block in blocks(queries, most):
+        rows = block.select("query_id", F.coalesce("query", F.lit("")).alias("query"), T.tokens(F.coalesce("query", F.lit(""))).alias("tokens")).collect()
+        if not rows:
+            continue
+        asked = context.broadcast([(r["query_id"], r["query"], r["tokens"]) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, texts, tokens = zip(*asked.value)
+            own, q = [set(t) for t in tokens], np.array([hash_vector(t, dims) for t in tokens])
+            size, holders = np.array([max(1, len(t)) for t in own]), defaultdict(list)
+            for i, t in enumerate(own):
+                for token in t:
+                    holders[token].append(i)
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=str))] * len(q)
+            for batch in batches:
+                ids, bodies, words = (c.to_pylist() for c in batch.columns)
+                if not ids:
+                    continue
+                share = np.zeros((len(q), len(ids)))
+                for j, (body, of) in enumerate(zip(bodies, words)):
+                    for token in set(of):
+                        share[holders.get(token, []), j] += 1
+                    # A text that holds the query has all of its tokens but the first and the last.
+                    for i in np.flatnonzero(share[:, j] >= size - 2):
+                        if texts[i] and texts[i] in body:
+                            share[i, j] = size[i]
+                score = np.round(0.6 * share / size[:, None] + 0.4 * (q @ np.array([hash_vector(of, dims) for of in words]).T), 9)
+                names = np.array(ids, dtype=str)
+                for i in range(len(q)):
+                    take = np.flatnonzero((score[i] > 0) & (score[i] >= least))
+                    s, n = np.concatenate([best[i][0], score[i][take]]), np.concatenate([best[i][1], names[take]])
+                    order = np.lexsort((n, -s))[:k]
+                    best[i] = s[order], n[order]
+            out = [(numbers[i], n, s) for i, pair in enumerate(best) for s, n in zip(pair[0].tolist(), pair[1].tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], ["query_id", "id", "score"])
+
+        rows_ = chunks.where("text IS NOT NULL").select("id", "text", T.tokens("text").alias("tokens"))
+        part = rows_.mapInArrow(run, "query_id bigint, id string, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "query_id bigint, id string, score double")
+    return ranked(found, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
+
+
+#: The sets of a claim's parts that a query can hold.
+PART_SETS = [("subject",), ("predicate",), ("object",), ("subject", "predicate"), ("subject", "object"), ("predicate", "object"), ("subject", "predicate", "object")]
+
+
+def claim_hits(queries: DataFrame, claims: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score: claims (id, subject, predicate, object) by how many of their parts a query (query_id, query) holds, best k.
+
+    Claims that agree in the parts a query holds score alike at least, so only the k least ids of each set of values can be among the
+    best k: a predicate that all claims share costs k rows a query."""
+    low = claims.select("id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in PART_SETS[-1]])
+    key = lambda name, values: F.concat_ws("\x1f", F.lit("+".join(name)), *values)
+    sets = F.array(*[F.when(F.least(*[F.length(c) for c in name] + [F.lit(1)]) > 0, F.struct(key(name, name).alias("key"), F.lit(len(name)).alias("score"))) for name in PART_SETS])
+    keyed = low.select("id", F.explode(F.filter(sets, lambda x: x.isNotNull())).alias("s")).select("id", "s.key", "s.score")
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k).drop("n")
+    parts = low.select(F.explode(F.array(*PART_SETS[-1])).alias("part")).where("part <> ''").distinct()
+    span = parts.agg(F.min(F.length("part")), F.max(F.length("part"))).first()
+    held = substring_hits(queries, parts, (span[0] or 1, span[1] or 0)).groupBy("query_id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    x = held.select("query_id", "parts", F.explode("parts").alias("x"))
+    y = x.select("*", F.explode("parts").alias("y"))
+    z = y.select("*", F.explode("parts").alias("z"))
+    asked = None
+    for rows, values in ((x, ["x"]), (y, ["x", "y"]), (z, ["x", "y", "z"])):
+        part = rows.select("query_id", F.explode(F.array(*[key(name, values) for name in PART_SETS if len(name) == len(values)])).alias("key"))
+        asked = part if asked is None else asked.unionByName(part)
+    hits = asked.join(first, "key").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return ranked(hits, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
+
+
 def page_lane(pages: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, page_id, score: pages (page_id, title, body) by twice the keywords (query_id, kw) in the title plus those in the body,
     over the query's largest. Questions go in blocks that are broadcast."""

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunks as K
 from tessera.operators import claims as C
+from tessera.operators import pages as P
 from tessera.operators import retrieve as R
+from tessera.operators import synthesis as S
 from tessera.operators import tables as M
 from tessera.operators import topics as G
 
@@ -239,3 +241,43 @@ def test_page_parts_by_hand(spark):
     chunks = spark.createDataFrame([("s", 0, "T", "- first line here\n# heading line\n- second line here", None), ("s", 1, None, "One sentence。short；Another sentence。", None), ("s", 2, None, "", "a summary text"), ("s", 3, "T", "first line here\nthird line here", None), ("n", 0, None, None, None)], "source_id string, chunk_index int, title string, text string, summary string")
     got = [r["point"] for r in P.points(chunks).orderBy("source_id", "place").collect()]
     assert got == ["T：first line here", "T：second line here", "One sentence。", "Another sentence。", "a summary text", "T：third line here"]
+
+
+def test_claim_hits_equal_brute_force(spark):
+    claims = [(f"c{i:02}", f"S{i % 3}", ("likes", "has", None)[i % 3 if i % 5 else 2], f"o{i % 4}" if i % 7 else "") for i in range(40)]
+    queries = [(1, "what S1 likes of o2"), (2, "s0 has o0, s2 o1"), (3, ""), (4, None), (5, "nothing")]
+    got = R.claim_hits(spark.createDataFrame(queries, "query_id bigint, query string"), spark.createDataFrame(claims, "id string, subject string, predicate string, object string"), 4)
+    want = []
+    for n, q in queries:
+        scored = [(-sum(bool(x) and x.lower() in (q or "").lower() for x in parts), i) for i, *parts in claims]
+        want += [(n, r, i, -s) for r, (s, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:4], 1)]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "id", "score").collect()) == want
+    empty = spark.createDataFrame([], "id string, subject string, predicate string, object string")
+    assert R.claim_hits(spark.createDataFrame(queries, "query_id bigint, query string"), empty, 4).count() == 0
+
+
+def test_chunk_lane_counts_a_held_query_as_whole(spark):
+    q = spark.createDataFrame([(1, "eat the app"), (2, ""), (3, None)], "query_id bigint, query string")
+    c = spark.createDataFrame([("a", "we eat the apple"), ("b", "the app"), ("n", None), ("e", "")], "id string, text string")
+    got = {r["id"]: r["score"] for r in R.chunk_lane(q, c, 5).collect()}
+    assert set(got) == {"a", "b"} and 0.6 < got["a"] < 1 and 0.7 < got["b"] < 0.9
+    assert R.chunk_lane(q, c.where("false"), 5).count() == 0
+
+
+def test_contexts_keep_order_and_answers_need_ground(spark):
+    hits = spark.createDataFrame([(1, 2, "chunk", "d1"), (1, 1, "chunk", "gone"), (1, 3, "claim", "k2"), (1, 4, "claim", "no"), (1, 5, "chunk", "d1")], "query_id bigint, rank int, kind string, id string")
+    allowed = spark.createDataFrame([(1, "k1"), (1, "k2"), (2, None)], "query_id bigint, claim_id string")
+    claims = spark.createDataFrame([("k1", "a", "is", "b"), ("k2", "c", "is", "d"), ("no", "x", "is", "y")], "id string, subject string, predicate string, object string")
+    texts = spark.createDataFrame([("chunk", "d1", "d1", "word " * 400)], "kind string, id string, source_id string, text string")
+    got = S.pack_context(hits, allowed, claims, texts)
+    assert [(r["kind"], r["pos"], r["id"], len(r["text"])) for r in got.orderBy("kind", "pos").collect()] == [("chunk", 1, "d1", 800), ("claim", 1, "k2", 6), ("claim", 2, "k1", 6)]
+    answers = spark.createDataFrame([(1, "said " + "word " * 20 + "[1]", []), (1, " [2] ", [("d1", "word")]), (2, "free", [("d1", "word")])], "query_id bigint, answer string, citations array<struct<source_id:string,quote:string>>")
+    quotes = spark.createDataFrame([], "query_id bigint, source_id string, quote string")
+    kept = S.sanitised(answers, got, quotes).collect()
+    assert [(r["query_id"], r["n_citations"], r["grounded"]) for r in kept] == [(1, 0, True)]
+
+
+def test_page_rejects_name_the_first_fault(spark):
+    pages = [("a", "[[a]]", "[[a]] ## P"), ("a", "[[a]]", "[[a]] ## P"), ("b", "[[b]]", "## P"), ("b", "[[b]]", "[[b]] ## P"), ("c", "[[c]]", None), ("d", "[[d]]", "[[d]] ## P"), ("e", "[[e]]", "[[e]]"), ("e", "[[e]]", "[[e]] ## P")]
+    got = P.page_rejects(spark.createDataFrame(pages, "source_id string, link string, markdown string"), ["## P"])
+    assert {r["source_id"]: r["reason"] for r in got.collect()} == {"b": "link_missing", "c": "link_missing", "d": "too_few_pages", "e": "section_missing"}
