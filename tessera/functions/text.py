@@ -132,8 +132,39 @@ def directory(path: Text) -> Column:
 
 
 def sanitise_filename(c: Text) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(col(c), r'[\\/:*?"<>|]+', "-"), r"[ \t\r\n]+", " "))
-    return F.when(clean == "", "untitled").otherwise(clean)
+    """Each character that a file name can't hold as an underscore, without white space at both ends."""
+    clean = strip(F.regexp_replace(col(c), r'[/\\:*?"<>|]', "_"))
+    return F.when(clean == "", "unnamed").otherwise(clean)
+
+
+def link(page: Column, label: Column) -> Column:
+    return F.concat(F.lit("[["), page, F.lit("|"), label, F.lit("]]"))
+
+
+def source_link(source_id: Text, title: Text | None = None) -> Column:
+    """Link to a source's page, under its title or else its id."""
+    label = col(source_id) if title is None else F.coalesce(F.nullif(col(title), F.lit("")), col(source_id))
+    return link(F.concat(F.lit("source-"), sanitise_filename(source_id)), label)
+
+
+def entity_link(subject: Text) -> Column:
+    return link(sanitise_filename(subject), col(subject))
+
+
+def chunk_page(source_id: Text, chunk_index: Text) -> Column:
+    return F.concat(F.lit("chunk-"), sanitise_filename(source_id), F.lit("-"), col(chunk_index))
+
+
+def page_path(folder: Text, slug: Text) -> Column:
+    """Folder and slug without unsafe characters; each level of the folder by itself."""
+    levels = F.filter(F.split(F.replace(col(folder), F.lit("\\"), F.lit("/")), "/"), lambda x: strip(x) != "")
+    return F.concat(F.when(F.size(levels) > 0, F.array_join(F.transform(levels, sanitise_filename), "/")).otherwise("未分类"), F.lit("/"), sanitise_filename(slug))
+
+
+def topic_link(hub: Text, leaf: Text | None = None) -> Column:
+    """Link to a hub's index, or to the page of one of its leaves."""
+    page = F.lit("_index") if leaf is None else sanitise_filename(leaf)
+    return link(F.concat(sanitise_filename(hub), F.lit("/"), page), col(hub) if leaf is None else col(leaf))
 
 
 def strip_citations(c: Text) -> Column:

@@ -169,6 +169,21 @@ def claim_hits(queries: DataFrame, claims: DataFrame, k: int) -> DataFrame:
     return ranked(hits, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
 
 
+def hits_by_mode(queries: DataFrame, lanes: dict[str, DataFrame], k: int) -> DataFrame:
+    """query_id, claim_id, key, score: hits of each query (query_id, mode) from the lane that its mode names, best k; in the mode `hybrid` all
+    lanes' hits, one for each claim or snippet, uncut. Lanes: query_id, lane, claim_id, snippet, score."""
+    asked = queries.select("query_id", "mode").distinct()
+    both, one = None, None
+    for name, lane in lanes.items():
+        rows = lane.select("query_id", "lane", "claim_id", "snippet", "score")
+        mine = rows.join(asked.where(F.col("mode") == name).select("query_id"), "query_id", "left_semi")
+        every = rows.join(asked.where("mode = 'hybrid'").select("query_id"), "query_id", "left_semi")
+        one, both = (mine, every) if one is None else (one.unionByName(mine), both.unionByName(every))
+    key = F.lower(F.trim(F.regexp_replace("snippet", r"\s+", " ")))
+    best = ranked(one, F.desc("score"), F.asc_nulls_last("claim_id"), "snippet", k=k).select("query_id", "claim_id", key.alias("key"), "score")
+    return best.unionByName(merge_hits(both))
+
+
 def page_lane(pages: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, page_id, score: pages (page_id, title, body) by twice the keywords (query_id, kw) in the title plus those in the body,
     over the query's largest. Questions go in blocks that are broadcast."""

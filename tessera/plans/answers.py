@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import chunks as H
 from tessera.operators import claims as C
 from tessera.operators import extract as X
 from tessera.operators import pages as P
+from tessera.operators import render as W
 from tessera.operators import retrieve as R
 from tessera.operators import synthesis as S
-from tessera.plans.base import EV, OC, PAGES
-from tessera.plans.knowledge import FUSED, HS, WORDS, _fused
+from tessera.plans.base import EV, KB, OC, PAGES
+from tessera.plans.knowledge import FUSED, HS, OVERLAP, WORDS, _fused
 from tessera.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +60,26 @@ def r3_mixed_chunk_lane(spark: SparkSession, d: str) -> DataFrame:
     return R.chunk_lane(B.questions(spark, d), chunks, 8)
 
 
+@query(f"""WITH {OC}, {EV}, {PAGES}, {OVERLAP}, q AS (SELECT item_id AS query_id, ['claim', 'bm25', 'hybrid'][item_id % 3 + 1] AS mode, 'orders of customer-' || (item_id % 50) || ' with order_status f or 1-urgent?' AS query FROM benchmark),
+s AS (SELECT query_id, id, contains(query, lower(subject))::INT + contains(query, lower(predicate))::INT + contains(query, lower(object))::INT AS score, lower(subject || ' ' || predicate || ' ' || object) AS key FROM q, oc WHERE status = 'active'),
+c AS (SELECT query_id, id AS claim_id, key, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10),
+b AS (SELECT query_id, claim_id, id AS key, score FROM dl LEFT JOIN ev ON source_id = id WHERE rank <= 10),
+h AS (SELECT * FROM c UNION ALL SELECT * FROM b), l AS (SELECT query_id, key, max(score) AS score FROM h WHERE claim_id IS NULL GROUP BY 1, 2), m AS (SELECT query_id, claim_id, min(key) AS key, max(score) AS score FROM h WHERE claim_id IS NOT NULL GROUP BY 1, 2)
+SELECT query_id, claim_id, key, round(score, 9) AS score FROM (SELECT * FROM c JOIN q USING (query_id) WHERE mode = 'claim' UNION ALL BY NAME SELECT * FROM b JOIN q USING (query_id) WHERE mode = 'bm25'
+UNION ALL BY NAME SELECT * FROM m JOIN q USING (query_id) WHERE mode = 'hybrid' UNION ALL BY NAME SELECT *, NULL AS claim_id FROM l JOIN q USING (query_id) WHERE mode = 'hybrid')""")
+def r1_hits_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the questions by claims, a third by texts, a third by both."""
+    b = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ["claim", "bm25", "hybrid"])), (F.col("item_id") % 3 + 1).cast("int")).alias("mode"), F.concat(F.lit("orders of customer-"), F.col("item_id") % 50, F.lit(" with order_status f or 1-urgent?")).alias("query"))
+    c = B.order_claims(spark, d).where("status = 'active'")
+    claims = R.claim_hits(b, c, 10).join(c.select("id", F.concat_ws(" ", "subject", "predicate", "object").alias("snippet")), "id")
+    texts = R.overlap_lane(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 10).join(B.evidence(spark, d).select("claim_id", F.col("source_id").alias("id")), "id", "left")
+    lanes = {
+        "claim": claims.select("query_id", F.lit(0).alias("lane"), F.col("id").alias("claim_id"), "snippet", F.col("score").cast("double").alias("score")),
+        "bm25": texts.select("query_id", F.lit(1).alias("lane"), "claim_id", F.col("id").alias("snippet"), "score"),
+    }
+    return R.hits_by_mode(b, lanes, 10).select("query_id", "claim_id", "key", F.round("score", 9).alias("score"))
+
+
 # Answers
 
 CONTEXT = f"""{PAGES}, {FUSED}, {EV}, h AS (SELECT query_id, rank, split_part(key, ':', 1) AS kind, substr(key, strpos(key, ':') + 1) AS id FROM fn),
@@ -150,3 +172,60 @@ UNION ALL SELECT doc_id, 'has_contact', unnest(regexp_extract_all(text, '([A-Za-
 UNION ALL SELECT doc_id, 'has_address', 'this product', unnest(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) FROM documents) SELECT 'doc-' || doc_id AS source_id, subject, predicate, trim(object) AS object, 0.88::DOUBLE AS confidence FROM r WHERE trim(object) <> ''""")
 def t9_product_claims(spark: SparkSession, d: str) -> DataFrame:
     return X.rule_claims(B.kb_sources(spark, d), X.PRODUCT_PACK, 0.88).select("source_id", "subject", "predicate", "object", "confidence")
+
+
+# Page renderers
+
+SAFE = "regexp_replace({}, '[/\\\\:*?\"<>|]', '_', 'g')"
+FRONT = "'---' || chr(10) || 'tags: [{0}]' || chr(10) || 'type: {0}' || chr(10) || 'kb_id: ' || kb_id || chr(10) || '---' || chr(10) || chr(10)"
+LINES = "SELECT kb_id, page, section, key, line FROM"
+
+
+@query(f"""WITH {OC}, c AS (SELECT 'orders' AS kb_id, subject AS page, * FROM oc WHERE status = 'active'), l AS (
+SELECT DISTINCT kb_id, page, 0 AS section, '' AS key, {FRONT.format("entity")} || '# ' || subject || chr(10) || chr(10) || '## Claims' AS line FROM c
+UNION ALL SELECT kb_id, page, 1, predicate || chr(1) || object || chr(1) || id, '- [[source-' || source_id || '|' || source_id || ']]: ' || predicate || ' → ' || object FROM c
+UNION ALL SELECT DISTINCT kb_id, page, 2, '', chr(10) || '## 相关' FROM c
+UNION ALL SELECT DISTINCT kb_id, page, 3, source_id, '- [[source-' || source_id || '|' || source_id || ']]' FROM c) {LINES} l""")
+def f30_entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    c = B.order_claims(spark, d).where("status = 'active'").withColumn("kb_id", F.lit("orders"))
+    return W.entity_pages(c, c.select("source_id", F.lit(None).cast("string").alias("title")).where("false"))
+
+
+@query(f"""WITH {KB}, {EV}, c AS (SELECT claim_id AS id, source_id, 'text ' || ord AS subject, 'granted_under' AS predicate, quote AS object FROM ev), k AS (SELECT 'doc-' || doc_id AS source_id, n FROM (SELECT doc_id, unnest(range(0, ceil(length(text) / 1000)::BIGINT)) AS n FROM documents)),
+l AS (SELECT kb_id, 'source-' || id AS page, 0 AS section, '' AS key, {FRONT.format("source")} || '# ' || title || chr(10) || chr(10) || '## 元数据' || chr(10) || '- source_id: `' || id || '`' || chr(10) || '- type: ' || type || chr(10) || '- status: active' || chr(10) || '- chunks: ' || (SELECT count(*) FROM k WHERE k.source_id = kb.id) || chr(10) || chr(10) || '## Claims' AS line FROM kb
+UNION ALL SELECT kb_id, 'source-' || source_id, 1, subject || chr(1) || predicate || chr(1) || c.id, '- [[' || subject || '|' || subject || ']]: ' || predicate || ' → ' || object || ' (`' || c.id || '`)' FROM c JOIN kb ON kb.id = source_id
+UNION ALL SELECT kb_id, 'source-' || id, 1, '', '- （无 active Claim）' FROM kb WHERE id NOT IN (SELECT source_id FROM c)
+UNION ALL SELECT kb_id, 'source-' || id, 2, '', chr(10) || '## 章节' FROM kb WHERE id IN (SELECT source_id FROM k)
+UNION ALL SELECT kb_id, 'source-' || id, 3, lpad(n::VARCHAR, 9, '0'), '- [[chunk-' || id || '-' || n || '|chunk-' || n || ']]' FROM k JOIN kb ON kb.id = k.source_id) {LINES} l""")
+def f30_source_pages(spark: SparkSession, d: str) -> DataFrame:
+    s = B.kb_sources(spark, d).withColumn("status", F.lit("active"))
+    claims = B.evidence(spark, d).select(F.col("claim_id").alias("id"), "source_id", F.concat(F.lit("text "), "ord").alias("subject"), F.lit("granted_under").alias("predicate"), F.col("quote").alias("object"), F.lit("active").alias("status"))
+    return W.source_pages(s, claims, _parts(s))
+
+
+def _parts(sources: DataFrame) -> DataFrame:
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("title")))
+    return H.exploded(sources.where("length(text) > 0"), H.size_split(whole, 1000))
+
+
+@query(f"""WITH {KB}, k AS (SELECT *, unnest(range(0, ceil(length(text) / 1000)::BIGINT)) AS n FROM kb)
+SELECT kb_id, 'chunk-' || id || '-' || n AS page, {FRONT.format("chunk")} || '# Chunk ' || n || chr(10) || chr(10) || '- source: [[source-' || id || '|' || title || ']]' || chr(10) || '- chunk_index: ' || n || chr(10) || chr(10) || substr(text, n * 1000 + 1, 1000) || chr(10) AS body FROM k""")
+def b2_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
+    s = B.kb_sources(spark, d)
+    return W.chunk_pages(s, _parts(s))
+
+
+@query(f"""WITH {KB}, b AS (SELECT DISTINCT kb_id FROM kb), e AS (SELECT DISTINCT kb_id, type AS subject FROM kb WHERE kb_id <> 'en'), l AS (
+SELECT kb_id, 0 AS section, '' AS key, {FRONT.format("index")} || '# Wiki Index — ' || kb_id || chr(10) || chr(10) || '## Sources' AS line FROM b
+UNION ALL SELECT kb_id, 1, title || chr(1) || id, '- [[source-' || id || '|' || title || ']]' FROM kb UNION ALL SELECT kb_id, 2, '', chr(10) || '## Entities' FROM b
+UNION ALL SELECT kb_id, 3, subject, '- [[' || {SAFE.format("subject")} || '|' || subject || ']]' FROM e UNION ALL SELECT kb_id, 3, '', '- （无实体）' FROM b WHERE kb_id NOT IN (SELECT kb_id FROM e)) SELECT kb_id, '_index' AS page, section, key, line FROM l""")
+def b2_index_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = B.kb_sources(spark, d)
+    return W.index_lines(s, s.where("kb_id <> 'en'").select("kb_id", F.col("type").alias("subject")))
+
+
+@query(f"""WITH u AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url FROM pages), n AS (SELECT *, coalesce(nullif(trim({SAFE.format("url")}), ''), 'unnamed') AS slug, coalesce(nullif(trim({SAFE.format("title")}), ''), 'unnamed') AS t, array_to_string(list_filter(string_split(url, '/'), lambda x: trim(x) <> ''), chr(1)) AS lv FROM u)
+SELECT page_id, '[[' || slug || '|' || url || ']]' AS entity, CASE WHEN lv = '' THEN '未分类' ELSE replace(regexp_replace(lv, '[:*?\"<>|]', '_', 'g'), chr(1), '/') END || '/' || t AS path, '[[' || slug || '/' || t || '|' || title || ']]' AS topic, '[[' || slug || '/_index|' || url || ']]' AS hub, 'chunk-' || slug || '-' || page_id AS chunk FROM n""")
+def f23_wikilinks(spark: SparkSession, d: str) -> DataFrame:
+    p = B.read(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return p.select("page_id", T.entity_link("url").alias("entity"), T.page_path("url", "title").alias("path"), T.topic_link("url", "title").alias("topic"), T.topic_link("url").alias("hub"), T.chunk_page("url", "page_id").alias("chunk"))

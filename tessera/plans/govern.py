@@ -76,7 +76,7 @@ def f32_stripped_citations(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "documents").select("doc_id", T.strip_citations(F.concat("text", F.lit(" [1] end [^2] ."))).alias("clean"))
 
 
-@query("SELECT page_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS filename FROM (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\\\/:*?\"<>|]+', '-', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS n FROM pages)")
+@query("SELECT page_id, CASE WHEN n = '' THEN 'unnamed' ELSE n END AS filename FROM (SELECT page_id, trim(regexp_replace(url, '[/\\\\:*?\"<>|]', '_', 'g')) AS n FROM pages)")
 def f23_filenames(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "pages").select("page_id", T.sanitise_filename("url").alias("filename"))
 

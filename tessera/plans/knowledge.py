@@ -237,14 +237,15 @@ def v3_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {HS}, {EV}, {KB}, r AS (SELECT DISTINCT kb_id, id || start AS chunk, id AS source, title AS raw, regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS canon FROM hs WHERE title IS NOT NULL),
-m AS (SELECT kb_id, canon, raw, chunk, source FROM r WHERE canon <> ''), n AS (SELECT kb_id, canon, raw, count(*) AS n FROM m GROUP BY 1, 2, 3), t AS (SELECT kb_id, canon, arg_min(raw, (-n, raw)) AS name FROM n GROUP BY 1, 2)
-SELECT kb_id, substr(sha256(kb_id || '|' || canon), 1, 16) AS id, canon, name, count(DISTINCT chunk) AS chunks, 0::BIGINT AS claims, count(DISTINCT source) AS sources FROM m JOIN t USING (kb_id, canon) GROUP BY ALL""")
+m0 AS (SELECT kb_id, canon, raw, chunk, NULL AS claim, source FROM r UNION ALL SELECT kb_id, regexp_replace(lower(trim(subject)), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), subject, NULL, claim_id, source_id FROM (SELECT *, split_part(text, chr(10), 1) AS subject FROM ev JOIN kb ON kb.id = source_id) WHERE length(trim(subject)) > 2 AND NOT (length(trim(subject)) > 48 AND regexp_matches(subject, '[、，]'))),
+m AS (SELECT * FROM m0 WHERE canon <> ''), n AS (SELECT kb_id, canon, raw, count(*) AS n FROM m GROUP BY 1, 2, 3), t AS (SELECT kb_id, canon, arg_min(raw, (-n, raw)) AS name FROM n GROUP BY 1, 2)
+SELECT kb_id, substr(sha256(kb_id || '|' || canon), 1, 16) AS id, canon, name, count(DISTINCT chunk) AS chunks, count(DISTINCT claim) AS claims, count(DISTINCT source) AS sources FROM m JOIN t USING (kb_id, canon) GROUP BY ALL""")
 def tc1_topic_clusters(spark: SparkSession, d: str) -> DataFrame:
     s = B.md_sources(spark, d)
     c = K.exploded(s, K.heading_spans(F.col("text"))).join(s.select(F.col("id").alias("source_id"), "kb_id"), "source_id")
     chunks = c.where("title IS NOT NULL").select("kb_id", "id", "source_id", F.array("title").alias("topics"))
-    none = B.order_claims(spark, d).where("false").select(F.lit("").alias("kb_id"), "id", "subject", "source_id")
-    return G.clusters(chunks, none)
+    claims = B.evidence(spark, d).join(B.kb_sources(spark, d), F.col("source_id") == F.col("id")).select("kb_id", F.col("claim_id").alias("id"), F.split("text", "\n")[0].alias("subject"), "source_id")
+    return G.clusters(chunks, claims)
 
 
 @query(f"WITH {OC}, e AS (SELECT DISTINCT substr(sha256('Concept:' || subject), 1, 16) AS src, predicate, substr(sha256('Concept:' || object), 1, 16) AS dst FROM oc WHERE status = 'active') SELECT predicate, dst, count(*) AS edges FROM e GROUP BY 1, 2")
