@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, langid, licenses, mixing, packing, quality, sharding, topk, urls
+from tessera.llm import bpe, jaccard, langid, licenses, mixing, negatives, packing, quality, runs, secrets, sharding, topk, urls
 from tessera.llm.common import materialise, table
 
 
@@ -63,6 +63,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", *[secrets.count("spans", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label).drop("anchor")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = runs.collapse(runs.repeated_tail(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")))
+    got = got.withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return got.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_license_scan": op2_license_scan,
@@ -74,5 +103,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-SQL: dict[str, str] = {"op1_topk": topk.sql(), "op2_license_scan": licenses.sql(), "op3_mixing": mixing.sql(), "op7_sharding": sharding.sql(SHARD_BYTES)}
+SQL: dict[str, str] = {"op1_topk": topk.sql(), "op2_license_scan": licenses.sql(), "op3_mixing": mixing.sql(), "op7_sharding": sharding.sql(SHARD_BYTES), "op12_hard_negatives": negatives.sql()}
