@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +15,11 @@ from tessera.operators import retrieve as R
 from tessera.operators import synthesis as S
 from tessera.plans.base import EV, KB, OC, PAGES
 from tessera.plans.knowledge import FUSED, HS, OVERLAP, WORDS, _fused
+from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+QUERIES, SQL, query = registry()
 
-    return add
 
 
 # Lanes

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from tessera.functions import text as T
 from tessera.operators import claims as C
 from tessera.operators import retrieve as R
 from tessera.operators import tables as K
+from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 
 # SQL of the derived relations, for use in WITH.
 KB = "kb AS (SELECT lang AS kb_id, 'doc-' || doc_id AS id, 'doc-' || doc_id || '.md' AS title, source AS type, doc_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, text FROM documents)"
@@ -38,15 +36,6 @@ def stamp(c: str) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 # Sources and table maintenance
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +12,11 @@ from tessera.operators import extract as X
 from tessera.operators import retrieve as R
 from tessera.operators import topics as G
 from tessera.plans.base import EV, KB, OC, PAGES, REL
+from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 from tessera.streaming import ingest as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 WORDS = "'[\\p{L}\\p{N}_]+'"
 MD = "md AS (SELECT lang AS kb_id, 'doc-' || doc_id AS id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN '## ' || x ELSE x END), chr(10) || chr(10)) AS text FROM documents)"
 # Heading spans by windows over lines; a line's end counts to it.
@@ -35,15 +33,6 @@ pt AS (SELECT 'page-' || page_id AS id, unnest(list_distinct(regexp_extract_all(
 pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, count(*) / any_value(n) AS score FROM pt JOIN qt USING (token) JOIN qn USING (query_id) GROUP BY 1, 2))"""
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 # Scalar functions
 

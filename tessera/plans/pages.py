@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +11,11 @@ from tessera.operators import pages as P
 from tessera.operators import questions as Q
 from tessera.plans.base import ENT, EP, OC, PAGES
 from tessera.plans.knowledge import FUSED, HS, _fused
+from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+QUERIES, SQL, query = registry()
 
-    return add
 
 
 def st(x: str) -> str:

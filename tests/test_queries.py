@@ -7,11 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import answers, base, enrich, govern, joined, knowledge, pages
+from tessera.plans.every import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = base.QUERIES | knowledge.QUERIES | govern.QUERIES | enrich.QUERIES | joined.QUERIES | pages.QUERIES | answers.QUERIES, base.SQL | knowledge.SQL | govern.SQL | enrich.SQL | joined.SQL | pages.SQL | answers.SQL
 
 
 def rows(df: pd.DataFrame) -> list:
