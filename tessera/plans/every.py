@@ -1,7 +1,7 @@
 """All registered queries of the library and their SQL, by name."""
 
-from tessera.plans import answers, base, enrich, govern, hierarchies, joined, knowledge, pages
+from tessera.plans import answers, base, enrich, govern, hierarchies, joined, knowledge, pages, versions
 
-MODULES = (base, knowledge, govern, enrich, joined, pages, answers, hierarchies)
+MODULES = (base, knowledge, govern, enrich, joined, pages, answers, hierarchies, versions)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
