@@ -11,7 +11,9 @@ tokens down to that at which no cell meets the bound are fitted side by side, an
 all hold within `TOLERANCE` (or, where none does, that of no bound). `margins` returns target and achieved shares, and every row of `mix` the largest
 miss of any margin.
 
-Targets are tempered shares: a value's target is its token share to the power `alpha`, normalised. The cell table
+Targets of a margin are the weights given for its values (`weights`; values that are not named get none, their documents are not sampled), or else
+tempered shares: a value's token share to the power `alpha`, normalised over the cells that are left. `margins` returns the share of tokens asked for and
+kept beside each target. The cell table
 is an aggregate (map-side combined, so a hot source is no hot task). Documents meet their cell by a broadcast of the counted
 cells while these are few, beyond by a join on cell and salt, so that no cell's rows gather in one task. The lineage is cut after every sweep by a
 table in the shared folder.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import BROADCAST_BYTES, fresh, materialise, unit_hash
 
 DIMS = ("source", "lang", "topic")
+ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 # Topics by what a text holds, first match wins; then by length.
 TOPIC_MARKS = [("licensed", "Licensed under"), ("licensed", "Released under"), ("table", " | "), ("symbols", "###"), ("contact", "@"), ("shout", "!! ")]
 # What counts as one token, a character or a run.
@@ -61,13 +64,21 @@ def traits(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")).alias(c) for c in ("source", "lang")], topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def raked(rows: DataFrame, alphas: dict[str, float], sweeps: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+#: Target weights by margin (source, lang, topic) and value.
+Weights = dict[str, dict[str, float]]
+
+
+def raked(rows: DataFrame, alphas: dict[str, float], sweeps: int, weights: Weights | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Cells with tokens t and raked weight w, not bounded by t, and the targets in tokens by margin."""
-    cells = materialise(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("t")).where("t > 0"), "cells").withColumn("w", F.col("t"))
+    given = {d: F.create_map(*[F.lit(x) for v, w in ws.items() if w > 0 for x in (v, float(w))]) for d, ws in (weights or {}).items()}
+    wanted = rows
+    for d, ws in given.items():
+        wanted = wanted.where(F.try_element_at(ws, F.col(d)).isNotNull())
+    cells = materialise(wanted.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("t")).where("t > 0"), "cells").withColumn("w", F.col("t"))
     total = F.broadcast(cells.agg(F.sum("t").alias("total")))  # one row
     targets = {}
     for d in DIMS:
-        share = cells.groupBy(d).agg(F.sum("t").alias("t")).crossJoin(total).select(d, F.pow(F.col("t") / F.col("total"), alphas[d]).alias("p"), "total")
+        share = cells.groupBy(d).agg(F.sum("t").alias("t")).crossJoin(total).select(d, (F.try_element_at(given[d], F.col(d)) if d in given else F.pow(F.col("t") / F.col("total"), alphas[d])).alias("p"), "total")
         norm = F.broadcast(share.agg(F.sum("p").alias("norm")))  # one row
         targets[d] = materialise(share.crossJoin(norm).select(d, (F.col("p") / F.col("norm") * F.col("total")).alias("target")), f"target-{d}")
     for sweep in range(sweeps):
@@ -112,9 +123,9 @@ def achieved(cells: DataFrame, targets: dict[str, DataFrame], *by: str) -> DataF
     return have.join(want, ["margin", "value"]).select(*by, "margin", "value", (F.col("target") / F.sum("target").over(own)).alias("target"), (F.col("e") / F.sum("e").over(own)).alias("achieved"))
 
 
-def rake(rows: DataFrame, alphas: dict[str, float] | None, sweeps: int, keep: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+def rake(rows: DataFrame, alphas: dict[str, float] | None, sweeps: int, keep: float, weights: Weights | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Cells with their probability (source, lang, topic, t, prob, miss), and the targets."""
-    cells, targets = raked(rows, alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}, sweeps)
+    cells, targets = raked(rows, alphas or ALPHAS, sweeps, weights)
     return refit(cells, targets, sweeps, keep), targets
 
 
@@ -127,40 +138,45 @@ def met(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.join(cells.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), [*keys, salt], "left").drop(salt)
 
 
-def margins(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
-    """margin, value, and the target and achieved (expected) shares of the sample's tokens."""
-    return achieved(*rake(traits(docs), alphas, sweeps, keep))
+def margins(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, weights: Weights | None = None) -> DataFrame:
+    """margin, value, the target and achieved (expected) shares of the sample's tokens, and the shares of all wanted tokens asked for and kept."""
+    cells, targets = rake(traits(docs), alphas, sweeps, keep, weights)
+    size = F.broadcast(cells.agg((F.sum(F.col("t") * F.col("prob")) / F.sum("t")).alias("kept")))  # one row
+    return achieved(cells, targets).withColumn("asked", F.lit(keep)).crossJoin(size)
 
 
-def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+def mix(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, weights: Weights | None = None) -> DataFrame:
     """Per row of docs: doc_id, source, lang, topic, n_tokens, prob, sampled and margin_miss (the same in every row; null without tokens at all)."""
     rows = materialise(traits(docs), "traits")  # a few short columns, so that texts are read once
-    cells, _ = rake(rows, alphas, sweeps, keep)
+    cells, _ = rake(rows, alphas, sweeps, keep, weights)
     out = met(rows, cells.select(*DIMS, "prob"), list(DIMS)).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     miss = F.broadcast(cells.agg(F.round(F.max("miss"), 6).alias("margin_miss")))  # one row
     return out.crossJoin(miss).select("doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"), (unit_hash("doc_id") < F.col("prob")).alias("sampled"), "margin_miss")
 
 
-def sample(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> DataFrame:
+def sample(docs: DataFrame, alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, weights: Weights | None = None) -> DataFrame:
     """The rows of docs that `mix` samples, with all their columns."""
-    cells, _ = rake(traits(docs), alphas, sweeps, keep)
+    cells, _ = rake(traits(docs), alphas, sweeps, keep, weights)
     *keys, prob = fresh(docs, "_source", "_lang", "_topic", "_prob")
     own = [F.coalesce(docs["source"].cast("string"), F.lit("<null>")), F.coalesce(docs["lang"].cast("string"), F.lit("<null>")), topic(docs["text"])]
     known = cells.select(*[F.col(d).alias(k) for d, k in zip(DIMS, keys)], F.col("prob").alias(prob))
     return met(docs.withColumns(dict(zip(keys, own))), known, keys).where(unit_hash("doc_id") < F.coalesce(prob, F.lit(0.0))).select(*docs.columns)
 
 
-def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6) -> str:
+def sql(alphas: dict[str, float] | None = None, sweeps: int = 6, keep: float = 0.6, weights: Weights | None = None) -> str:
     """`mix` over the view `documents`, for DuckDB."""
-    alphas = alphas or {"source": 0.5, "lang": 0.7, "topic": 0.5}
+    alphas, weights = alphas or ALPHAS, weights or {}
+    wanted = "".join(f" AND {d} IN ({', '.join(repr(v) for v, w in ws.items() if w > 0)})" for d, ws in weights.items())
     cases = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPIC_MARKS) + " " + " ".join(f"WHEN length(text) < {m} THEN '{n}'" for n, m in TOPIC_LENGTHS)
     ctes = [
         f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, CASE WHEN text IS NULL THEN '<null>' {cases} ELSE 'long' END AS topic,
         coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0)::BIGINT AS n_tokens FROM documents)""",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS t, sum(n_tokens)::DOUBLE AS w FROM d WHERE true" + wanted + " GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for x in DIMS:
-        ctes.append(f"p_{x} AS MATERIALIZED (SELECT {x}, pow(sum(t) / (SELECT sum(t) FROM c0), {alphas[x]}) AS p FROM c0 GROUP BY {x})")
+        given = " ".join(f"WHEN {v!r} THEN {float(w)}::DOUBLE" for v, w in weights.get(x, {}).items())
+        share = f"CASE {x} {given} END" if given else f"pow(sum(t) / (SELECT sum(t) FROM c0), {alphas[x]})"
+        ctes.append(f"p_{x} AS MATERIALIZED (SELECT {x}, {share} AS p FROM c0 GROUP BY {x})")
         ctes.append(f"g_{x} AS MATERIALIZED (SELECT {x}, p / (SELECT sum(p) FROM p_{x}) * (SELECT sum(t) FROM c0) AS target FROM p_{x})")
     i = 0
     for _ in range(sweeps):

@@ -1,10 +1,10 @@
 """Sharding by extendible hashing, with DataFrame functions only.
 
 A document's bucket is a prefix of the bits of its hash. The directory starts with the empty prefix; only a bucket
-over the byte limit is split on the next bit, until every bucket fits. The sums of a level's buckets come from those
-of the level below, each level half as large, so the documents are read once and a level costs no more than its buckets. The
-directory has an entry for each cell of the coarse depth (some 32 a shard); several entries point to one bucket. Buckets that are
-still too big at the coarse depth go on with all 32 bits; what is too big then (many rows with one id, or one huge
+over the byte limit is split on the next bit, until every bucket fits. The documents are read once; their bytes are summed up by
+cell of the coarse depth (some 32 cells a shard), and the buckets of all depths come from these sums. The
+directory has an entry for each cell that occurs; several entries point to one bucket. Cells that are
+still too big alone go on with all 32 bits; what is too big then (many rows with one id, or one huge
 text) goes to overflow pages: by the text's md5, and equal rows counted out to as many pages as they need.
 
 A text longer than the limit is a shard of its own, the only kind over the limit. Null text has no bytes; null ids
@@ -26,21 +26,21 @@ BITS = 32
 
 
 def directory(cells: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
-    """cells(cell of `bits` bits, bytes) -> cell, depth of its bucket, for buckets of low bits or more that fit; none for cells too big even alone."""
-    level = materialise(cells.select("cell", "bytes"), "level")
-    steps = [level]
-    for depth in range(bits - 1, low - 1, -1):
-        level = level.groupBy(F.shiftright("cell", 1).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.collect_list(F.struct("cell", "bytes")).alias("kids"))
-        level = materialise(level, "level")
-        steps.append(level)
-    # A bucket over the limit is split: its halves that fit are buckets of the next depth.
-    found = steps[-1].where(F.col("bytes") <= limit).select("cell", F.lit(low).alias("depth"))
-    for k, level in enumerate(steps[1:]):
-        halves = level.where(F.col("bytes") > limit).select(F.explode("kids").alias("kid")).where(F.col("kid.bytes") <= limit)
-        found = found.unionByName(halves.select("kid.cell", F.lit(bits - k).alias("depth")))
-    entry = F.explode(F.expr(f"sequence(shiftleft(cell, {bits} - depth), shiftleft(cell + 1, {bits} - depth) - 1)"))
-    out = materialise(found.select(entry.alias("cell"), "depth").join(cells.select("cell"), "cell", "left_semi"), "directory")
-    drop(*steps)
+    """cells(cell of `bits` bits, bytes) -> cell, depth of its bucket, for buckets of low bits or more that fit; none for cells too big even alone.
+
+    A bucket is split while it is over the limit, so the buckets are those prefixes that fit and whose parent doesn't. All prefixes' sums come from
+    one aggregate (combined in each task: the shallow ones are few); each cell then looks up its prefix at the depths that occur."""
+    prefix = F.expr(f"shiftright(cell, {bits} - depth)")
+    at = F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth")
+    sums = materialise(cells.select("cell", "bytes", at).groupBy("depth", prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes")), "sums")
+    fits, split = sums.where(F.col("bytes") <= limit), sums.where(F.col("bytes") > limit)
+    parents = split.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    halves = fits.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi").select("depth", "prefix")
+    buckets = materialise(halves.unionByName(fits.where(F.col("depth") == low).select("depth", "prefix")), "buckets")
+    depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())  # at most bits + 1 numbers
+    ladder = cells.select("cell", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth")).withColumn("prefix", prefix)
+    out = materialise(ladder.join(buckets, ["depth", "prefix"]).select("cell", "depth"), "directory")
+    drop(sums, buckets)
     return out
 
 

@@ -156,6 +156,43 @@ def test_mixing_meets_all_margins_at_production_parameters(spark):
         assert all(abs(told[d, v]["target"] - want[v]) < 1e-6 and abs(told[d, v]["achieved"] - share[v]) < 1e-4 for v in want.index if want[v])
 
 
+def test_mixing_to_given_weights_equals_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    real = spark.read.parquet(path)
+    weights = {"lang": {"en": 2.0, "de": 1.0, "fr": 1.0, "xx": 5.0, "es": 0.0}, "topic": {"long": 3, "medium": 3, "table": 1}}
+    got = {r["doc_id"]: (r["prob"], r["sampled"], r["margin_miss"]) for r in mixing.mix(real, keep=0.2, weights=weights).collect()}
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}'")
+    want = {r[0]: (r[5], r[6], r[7]) for r in duckdb.sql(mixing.sql(keep=0.2, weights=weights)).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[i][0] - want[i][0]) < 2e-6 and got[i][1] == want[i][1] for i in got)
+    told = {(r["margin"], r["value"]): r for r in mixing.margins(real, keep=0.2, weights=weights).collect()}
+    assert {v for m, v in told if m == "lang"} == {"en", "de", "fr"} and abs(told["lang", "en"]["target"] - 0.5) < 1e-9 and abs(told["topic", "table"]["target"] - 1 / 7) < 1e-9
+    assert all(abs(r["target"] - r["achieved"]) < 0.003 and r["asked"] == 0.2 and 0 < r["kept"] <= 0.2001 for r in told.values())
+    kept = mixing.sample(real, keep=0.2, weights=weights).groupBy("lang").count().collect()
+    assert {r["lang"] for r in kept} == {"en", "de", "fr"}
+
+
+def test_mild_tempering_keeps_the_share_asked_for(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = mixing.margins(real, dict.fromkeys(mixing.DIMS, 0.9)).collect()
+    assert all(abs(r["kept"] - 0.6) < 0.01 and abs(r["target"] - r["achieved"]) < 0.003 for r in told)
+
+
+SHIPPED = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_licences_as_shipped(spark):
+    import os
+
+    there = {f: n for f, n in SHIPPED.items() if os.path.isfile(f"/usr/share/common-licenses/{f}")}
+    texts = [open(f"/usr/share/common-licenses/{f}", errors="replace").read() for f in there]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(there.values())
+    names = [t.replace("the copyright holder", who).replace("the copyright holders", who) for t in (BSD,) for who in ("Example Inc.", "the University of Somewhere, Dept. 7")]
+    assert {r["licenses"] for r in licenses.scan(docs(spark, names)).collect()} <= {"BSD-3-Clause", "BSD-2-Clause"}
+
+
 def test_sharding(spark):
     texts = ["x" * (i % 90) for i in range(800)] + [None, "", "y" * 5000]
     df = docs(spark, texts).withColumn("bytes", F.lit(1)).withColumn("shard", F.lit("clash"))
@@ -171,6 +208,49 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, []), 1000).count() == 0
 
 
+def brute_buckets(sizes, limit, bits=32):
+    """Bucket of each hash by splitting from the empty prefix on: hash -> depth, none for hashes over the limit alone."""
+    out, queue = {}, [(0, list(sizes))]
+    while queue:
+        depth, own = queue.pop()
+        if sum(sizes[h] for h in own) <= limit:
+            out |= dict.fromkeys(own, depth)
+        elif depth < bits and own:
+            for bit in (0, 1):
+                queue.append((depth + 1, [h for h in own if h >> (bits - depth - 1) & 1 == bit]))
+    return out
+
+
+def test_sharding_with_hot_ids_beside_small_neighbours(spark):
+    import hashlib
+    import time
+
+    rows = [(None, "n" * 400, "en", "s", 0)] * 90 + [(7, "m" * 90, "en", "s", 0)] * 60 + [(i, "x" * (i % 50), "en", "s", 0) for i in range(400)]
+    start = time.time()
+    out = sharding.shard(spark.createDataFrame(rows, DOCS), 1000).toPandas()
+    assert time.time() - start < 60  # a directory of all cells in between would take far more
+    sizes = {}
+    for i, t, *_ in rows:
+        h = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16)
+        sizes[h] = sizes.get(h, 0) + len(t)
+    want = brute_buckets(sizes, 1000)
+    for i, group in out.groupby("doc_id"):
+        h = int(hashlib.md5(str(int(i)).encode()).hexdigest()[:8], 16)
+        if h in want:
+            assert set(group["depth"]) == {want[h]} and set(group["shard"]) == {format(h, "032b")[: want[h]]}
+        else:
+            assert i == 7 and all("." in s for s in group["shard"])
+    assert len(out) == len(rows) and out.groupby("shard")["bytes"].sum().max() <= 1000
+
+
+@pytest.mark.parametrize("low", [0, 6, 12, 30])
+def test_directory_has_an_entry_a_cell(spark, low):
+    sizes = {0: 5000, 1: 10, (1 << 26) - 1: 20, 3 << 28: 700, (3 << 28) + 5: 700, (1 << 32) - 1: 1}
+    got = sharding.directory(spark.createDataFrame(list(sizes.items()), "cell bigint, bytes bigint"), low, 32, 1000)
+    want = {h: max(d, low) for h, d in brute_buckets(sizes, 1000).items()}
+    assert {r["cell"]: r["depth"] for r in got.collect()} == want
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w]
