@@ -17,6 +17,9 @@ from tessera.llm import bpe, jaccard, langid, mixing, quality
 from tessera.llm.common import delete, materialise, scope, small_batches, table
 from tessera.llm.queries import vocabulary
 
+#: Target shares of the mixing stage are token shares to these powers, so mild that the share of tokens asked for can be kept (`mixing.margins` tells both).
+TEMPER, KEEP = dict.fromkeys(mixing.DIMS, 0.9), 0.6
+
 #: Tables that the last stage wrote on its way. Its result is written by the time that the next stage begins.
 _LEFT: list[str] = []
 
@@ -57,8 +60,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by raked weights of source, language and topic."""
-    return mixing.sample(docs)
+    """A sample of KEEP of the tokens by raked weights of source, language and topic."""
+    return mixing.sample(docs, TEMPER, keep=KEEP)
 
 
 @stage
