@@ -29,7 +29,7 @@ def test_stages(spark):
     want = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)}
     assert {r["doc_id"] for r in after.collect()} == want and after.count() == len(want)
     before, after = steps["mixing sources to target weights"]
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in mixing.mix(before).where("sampled").collect())
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in mixing.mix(before, P.TEMPER, keep=P.KEEP).where("sampled").collect())
     before, after = steps["BPE encoding and decoding"]
     lib = Tokenizer.from_file(vocabulary())
     lib.no_truncation()
