@@ -286,11 +286,6 @@ def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return S.ingest_chunks(spark, f"{d}/documents.parquet").select("source_id", "chunk_index", "start", "end", "id")
 
 
-@query("SELECT session_id, seq FROM (SELECT 'conv-' || conv_id AS session_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user')) WHERE n <= 10")
-def st2_stream_memory(spark: SparkSession, d: str) -> DataFrame:
-    return S.last_episodes(spark, f"{d}/conversations.parquet")
-
-
 @query()
 def g1_seeded_walk(spark: SparkSession, d: str) -> DataFrame:
     parts = B.entities(spark, d).where("type = 'Part'").select("id", F.substring("id", 6, 20).cast("bigint").alias("n"))

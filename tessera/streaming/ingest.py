@@ -1,23 +1,24 @@
-"""Incremental forms: documents to chunks with idempotent merges, and the last episodes of each session."""
+"""Incremental forms: documents to chunks with idempotent merges, and the newest episodes of each session within bounded state."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import chunks as C
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A fresh folder under spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; a cluster has none that all could see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
@@ -48,21 +49,36 @@ def ingest_chunks(spark: SparkSession, source: str, per_batch: int = 1, **limits
     return spark.read.parquet(out).drop("batch")
 
 
-def last_episodes(spark: SparkSession, source: str, most: int = 10) -> DataFrame:
-    """session_id, seq: the last user turns of each session, held as state and corrected by late rows."""
-    out, checkpoint = shared_path(spark, "stream-memory"), shared_path(spark, "stream-state")
-    turns = as_stream(spark, source, 1)
-    rows = turns.where("role = 'user'").select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.col("turn").alias("seq"))
+def session_memory(rows: DataFrame, out: str, checkpoint: str, most: int = 10, idle_ms: int = 3_600_000, late: str = "10 minutes") -> dict:
+    """Run a stream of rows (session_id, seq, at) until its input ends; `remembered(out)` gives each session's newest `most` by seq.
+
+    The state of a session is its newest numbers and its last time. It goes when event time, less `late`, is past that time by idle_ms, so
+    state is bounded by the sessions of a window, not by all that ever were; a session that comes back begins anew and
+    its numbers are merged when they are read. Rows of any order within `late` count by seq. Gives the last progress of the state."""
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = set(state.get[0]) if state.exists else set()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, last = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         for f in frames:
-            held |= set(f["seq"].tolist())
-        last = sorted(held)[-most:]
-        state.update((last,))
-        yield pd.DataFrame({"session_id": [key[0]], "seqs": [last]})
-
-    kept = rows.groupBy("session_id").applyInPandasWithState(keep, "session_id string, seqs array<bigint>", "seqs array<bigint>", "update", "NoTimeout")
-    kept.writeStream.foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.parquet(out)
-    return found.groupBy("session_id").agg(F.max_by("seqs", "n").alias("seqs")).select("session_id", F.explode("seqs").alias("seq"))
+            seqs += f["seq"].tolist()
+            last = max(last, int(f["ms"].max()))
+        seqs = sorted(set(seqs))[-most:]
+        if last + idle_ms > state.getCurrentWatermarkMs():
+            state.update((seqs, last))
+            state.setTimeoutTimestamp(last + idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"session_id": [key[0]], "seqs": [seqs]})
+
+    kept = rows.where("session_id IS NOT NULL AND seq IS NOT NULL AND at IS NOT NULL").withColumn("ms", F.unix_millis("at")).withWatermark("at", late).groupBy("session_id").applyInPandasWithState(keep, "session_id string, seqs array<bigint>", "seqs array<bigint>, last bigint", "update", "EventTimeTimeout")
+    run = kept.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run.lastProgress["stateOperators"][0] if run.lastProgress and run.lastProgress["stateOperators"] else {}
+
+
+def remembered(spark: SparkSession, out: str, most: int = 10) -> DataFrame:
+    """session_id, seq: the newest numbers of each session that its batches wrote. Each batch gave at most `most`, and what is among the newest at last was so when it came."""
+    seen = spark.read.schema("session_id string, seqs array<bigint>").parquet(out).select("session_id", F.explode("seqs").alias("seq")).distinct()
+    return seen.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))).where(F.col("n") <= most).drop("n")
