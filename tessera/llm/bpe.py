@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import cached_by, focus
+from tessera.llm.common import by_bytes, cached_by, focus, trimmed
 
 # Fixed value: the public byte-level pre-tokeniser pattern (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
@@ -160,10 +160,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         focus("bpe")
         c = codec(vocabulary)
         for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = [c.encode(t or "") for part in by_bytes(batch.column(1)) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(trimmed(run), "doc_id bigint, ids array<int>")
 
 
 def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,11 +174,11 @@ def round_trips(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         c, sha = codec(vocabulary), hashlib.sha256
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (t for part in by_bytes(batch.column(1)) for t in part.to_pylist()):
                 ids = c.encode(text or "")
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(sha(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(trimmed(run), SCHEMA)

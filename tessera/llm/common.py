@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Paths of the tables that a scope (a stage of the pipeline) has written; see `scope`.
-_WRITTEN: list[list[str]] = []
+#: Paths of tables and broadcasts that a scope (a stage of the pipeline) has made; see `scope`.
+_WRITTEN: list[list[str | Broadcast]] = []
 
 
 def materialise(df: DataFrame, name: str, *partition: str) -> DataFrame:
@@ -75,10 +76,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def leave(*shared: Broadcast) -> None:
+    """Note broadcasts in the scope, if there is one, so that they can be destroyed with its tables."""
+    if _WRITTEN:
+        _WRITTEN[-1].extend(shared)
+
+
+def clear(spark: SparkSession, left: list[str | Broadcast]) -> None:
+    """Delete what a scope has noted; what reads it has to be written by then."""
+    for one in dict.fromkeys(left):
+        one.destroy() if isinstance(one, Broadcast) else delete(spark, one)
+    left.clear()
+
+
 @contextmanager
-def scope(paths: list[str]):
-    """Within it, `materialise` notes its tables in paths, so that they can be deleted once what reads them is written."""
-    _WRITTEN.append(paths)
+def scope(left: list[str | Broadcast]):
+    """Within it, tables that `materialise` writes and broadcasts that operators leave are noted in the list; see `clear`."""
+    _WRITTEN.append(left)
     try:
         yield
     finally:
@@ -151,6 +165,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task's function, which returns freed memory when it ends, so that idle workers stay small beside later stages."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 class WordHashes(dict):
     """Word -> signed 64-bit hash, kept for the life of a Python worker and bounded in size."""
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, byte_strings, drop, focus, fresh, materialise, sent, windows, word_hashes
+from tessera.llm.common import by_bytes, byte_strings, drop, focus, fresh, materialise, sent, trimmed, windows, word_hashes
 from tessera.llm.graph import components
 
 #: Postings held at once; a shingle that so many classes have is dealt to SPLIT tasks.
@@ -77,7 +77,7 @@ def sets(docs: DataFrame, k: int, percent: int, whole: bool, id_bits: int = 64,
                     rows.append((next(of), cid, rest, len(own), u, data if whole else data[: 8 * max(u, len(own) - needed(len(own), percent) + 1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary()))], names)
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, cid bigint, rest bigint, n bigint, u bigint, shingles binary")
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(trimmed(run), "doc_id bigint, cid bigint, rest bigint, n bigint, u bigint, shingles binary")
 
 
 def told_apart(rows: DataFrame, clashes: list[int]) -> DataFrame:
@@ -131,7 +131,7 @@ def postings(base: DataFrame, percent: int, every: bool = False) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(cids))], ["token", "cid"])
 
-    return base.where(F.col("cid").isNotNull()).select("cid", "n", "u", "shingles").mapInArrow(run, "token bigint, cid bigint")
+    return base.where(F.col("cid").isNotNull()).select("cid", "n", "u", "shingles").mapInArrow(trimmed(run), "token bigint, cid bigint")
 
 
 def hot_tokens(base: DataFrame, percent: int, every: bool, least: int) -> list[int]:
@@ -180,7 +180,7 @@ def shared_tokens(posts: DataFrame, hot: list[int] = ()) -> DataFrame:
             yield from emit(t, c, capped)
 
     salt = [F.when(F.col("token").isin(list(hot)), F.pmod(F.xxhash64("cid"), F.lit(SPLIT))).otherwise(F.lit(0))] if hot else []
-    return posts.repartition("token", *salt).sortWithinPartitions("token", "cid").mapInArrow(run, "token bigint, cid bigint, df bigint")
+    return posts.repartition("token", *salt).sortWithinPartitions("token", "cid").mapInArrow(trimmed(run), "token bigint, cid bigint, df bigint")
 
 
 def prefixes(base: DataFrame, classes: DataFrame, percent: int, every: bool = False, hot_at: int = CHUNK) -> DataFrame:
@@ -312,7 +312,7 @@ def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    return rows.select("part", "cid", "shingles").repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("part", "cid", "shingles").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def block_of(prefix: DataFrame) -> DataFrame:

@@ -16,21 +16,22 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import by_bytes, cached_by, focus, fresh
+from tessera.llm.common import by_bytes, cached_by, focus, fresh, leave, trimmed
 
 WORD = regex.compile(r"\p{L}+")
 MARK, UNKNOWN = "▁", 1e-9
 #: Bytes that a worker's memory of runs may take before it starts afresh, and what a run takes besides its letters and likelihoods.
-CACHE_BYTES, RUN_BYTES = 32 << 20, 160
+CACHE_BYTES, RUN_BYTES = 16 << 20, 160
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +54,7 @@ class Lattice:
         self.number = {p: i + 1 for i, p in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1)
         hashes = {p: int(self.hashes(self.codes([p]), len(p))[0, -1]) for p in vocabulary}
-        self.tables, left, bits = [], list(vocabulary), 20
+        self.tables, left, bits = [], list(vocabulary), 18
         while left:
             keys, ids, clashed = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32), []
             for p in left:
@@ -165,7 +166,7 @@ class Model:
     """Languages and their piece probabilities; predicts texts."""
 
     def __init__(self, langs: list[str], lattice: Lattice, prob: np.ndarray):
-        self.langs, self.lattice, self.prob = langs, lattice, prob
+        self.langs, self.lattice, self.prob, self.shared = langs, lattice, prob, None
         self.key = hashlib.sha1(prob.tobytes() + "|".join(langs).encode()).hexdigest()
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -231,7 +232,25 @@ class Memory:
 
 
 _MEMORY: dict[str, Memory] = {}
+_LIVE: dict[str, Model] = {}
 cached_by("langid", _MEMORY.clear)
+cached_by("langid", _LIVE.clear)
+
+
+def sent(model: Model, sc: SparkContext) -> Callable[[], Model]:
+    """The model as tasks get it: the lattice, which takes most of the memory, is sent once for fitting and prediction, and a worker keeps one model."""
+    lattice, rest, key = model.shared or sc.broadcast(model.lattice), sc.broadcast((model.langs, model.prob)), model.key
+    leave(lattice, rest)
+
+    def at_work() -> Model:
+        focus("langid")
+        if key not in _LIVE:
+            _LIVE.clear()
+            langs, prob = rest.value
+            _LIVE[key] = Model(langs, lattice.value, prob)
+        return _LIVE[key]
+
+    return at_work
 
 
 def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -261,15 +280,18 @@ def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3,
             flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    counts = sample.select("lang", "text").mapInArrow(trimmed(words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     order = {lang: i for i, lang in enumerate(langs)}
     prob = np.full((len(vocabulary) + 1, max(len(langs), 1)), 1.0 / max(len(vocabulary), 1))
     prob[0] = 0
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(lattice)
     for _ in range(rounds if langs else 0):
-        shared = rows.sparkSession.sparkContext.broadcast((lattice, prob))
+        now = sc.broadcast(prob)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lat, p = shared.value
+            focus("langid")
+            lat, p = shared.value, now.value
             total = np.zeros_like(p)
             for batch in batches:
                 by: dict[str, list] = defaultdict(list)
@@ -281,28 +303,31 @@ def fit(rows: DataFrame, model_file: str, per_lang: int = 400, rounds: int = 3,
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype("int32")), pa.array(piece.astype("int32")), pa.array(total[piece, lang])], ["lang", "piece", "n"])
 
-        got = counts.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        got = counts.mapInArrow(trimmed(expect), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         prob = np.full_like(prob, 0.01)  # a small count for each piece, so that none is impossible
         prob[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
         prob[0] = 0
         prob /= prob.sum(0)
+        now.destroy()
     counts.unpersist()
-    return Model(langs, lattice, prob)
+    model = Model(langs, lattice, prob)
+    model.shared = shared
+    return model
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column | str, text_col: str = "text") -> DataFrame:
     """The kept columns with lang_pred and score. Narrow, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_work = sent(model, docs.sparkSession.sparkContext)
     part = docs.select(*keep, F.col(text_col).alias("_text"))
     names = part.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column(len(names)))
+            langs, scores = at_work().predict(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = T.StructType(part.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(trimmed(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -313,11 +338,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows of no language or of a score under least; a null language becomes the predicted one.
     Only texts go to Python. All columns stay, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_work = sent(model, docs.sparkSession.sparkContext)
 
     @F.arrow_udf("string")
     def language(texts: pa.Array) -> pa.Array:
-        langs, scores = shared.value.predict(texts)
+        langs, scores = at_work().predict(texts)
         return pa.array([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], pa.string())
 
     names, (found,) = docs.columns, fresh(docs, "_found")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, focus, fresh, materialise, windows, word_hashes
+from tessera.llm.common import by_bytes, focus, fresh, materialise, trimmed, windows, word_hashes
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
