@@ -8,31 +8,33 @@ one gives each remaining document's token count and the digests of its ids and o
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, langid, mixing, quality
-from tessera.llm.common import delete, materialise, scope, small_batches, table
+from tessera.llm.common import clear, delete, materialise, scope, small_batches, table
 from tessera.llm.queries import vocabulary
 
 #: Target shares of the mixing stage are token shares to these powers, so mild that the share of tokens asked for can be kept (`mixing.margins` tells both).
 TEMPER, KEEP = dict.fromkeys(mixing.DIMS, 0.9), 0.6
 
-#: Tables that the last stage wrote on its way. Its result is written by the time that the next stage begins.
-_LEFT: list[str] = []
+#: Tables and broadcasts that the last stage made on its way, by driver thread, so that pipelines side by side keep apart.
+#: A stage's result is written by the time that the next stage begins.
+_THREAD = threading.local()
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, which first deletes what the stage before it left in the shared folder."""
+    """The stage, which first deletes what the stage before it left."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _LEFT:
-            delete(spark, _LEFT.pop())
+        left = _THREAD.__dict__.setdefault("left", [])
+        clear(spark, left)
         small_batches(spark)
-        with scope(_LEFT):
+        with scope(left):
             return work(spark, docs, sf_dir)
 
     return run_stage
