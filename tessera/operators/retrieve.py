@@ -27,14 +27,6 @@ def substring_hits(queries: DataFrame, parts: DataFrame, lengths: tuple[int, int
     return subs.join(parts.select("part").distinct(), "part").select("query_id", "part")
 
 
-def overlap_lane(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score: share of the query's distinct tokens in each text, best k. Postings join on tokens."""
-    q = queries.select("query_id", F.array_distinct(T.tokens("query")).alias("t")).where(F.size("t") > 0).withColumn("n", F.size("t"))
-    posts = texts.select("id", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
-    hits = posts.join(q.select("query_id", "n", F.explode("t").alias("token")), "token").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("score"))
-    return ranked(hits, F.desc("score"), "id", k=k)
-
-
 def ranked(hits: DataFrame, *order: Column | str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -184,19 +176,6 @@ def hits_by_mode(queries: DataFrame, lanes: dict[str, DataFrame], k: int) -> Dat
     return best.unionByName(merge_hits(both))
 
 
-def page_lane(pages: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, page_id, score: pages (page_id, title, body) by twice the keywords (query_id, kw) in the title plus those in the body,
-    over the query's largest. Questions go in blocks that are broadcast."""
-    found = None
-    for block in blocks(questions):
-        both = pages.select("page_id", "title", "body").crossJoin(F.broadcast(block))
-        raw = 2 * F.size(F.filter("kw", lambda w: F.contains(F.col("title"), w))) + F.size(F.filter("kw", lambda w: F.contains(F.col("body"), w)))
-        part = both.select("query_id", "page_id", raw.alias("raw")).where("raw > 0")
-        found = part if found is None else found.unionByName(part)
-    top = ranked(found, F.desc("raw"), "page_id", k=k)
-    return top.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6)).select("query_id", "rank", "page_id", "score")
-
-
 def fuse(lanes: dict[str, tuple[DataFrame, float]], constant: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of lanes (query_id, rank from 1, id); ranks count from 0. Ties by lane order, then rank."""
     parts = [df.select("query_id", F.lit(i).alias("lane"), "rank", F.concat_ws(":", F.lit(name), F.col("id").cast("string")).alias("key"), (F.lit(w) / (constant + F.col("rank") - 1)).alias("s")) for i, (name, (df, w)) in enumerate(lanes.items()) if w > 0]

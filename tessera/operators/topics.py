@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import questions as Q
-from tessera.operators import retrieve as R
 
 
 def clusters(chunks: DataFrame, claims: DataFrame, least: int = 1) -> DataFrame:
@@ -55,22 +54,6 @@ def two_hops(relations: DataFrame, seeds: DataFrame, per_seed: int = 4, budget:
     return each.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= budget).select("query_id", "rank", "src", "predicate", "dst", (1.0 / (F.col("hop") + 1)).alias("score"))
 
 
-def page_search(pages: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
-    """Pages (page_id, title, body) that hold a query (query_id, needle): rank 3 by title, 1 by body; best first.
-
-    Search strings go in blocks that are broadcast."""
-    found = None
-    for block in R.blocks(queries):
-        j = pages.crossJoin(F.broadcast(block))
-        in_title, in_body = T.contains_folded("title", "needle"), T.contains_folded("body", "needle")
-        hit = j.select("query_id", "page_id", "title", F.when(in_title, 3).when(in_body, 1).otherwise(0).alias("score")).where("score > 0")
-        found = hit if found is None else found.unionByName(hit)
-    total = found.groupBy("query_id").agg(F.count("*").alias("total"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "page_id")
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, min(limit, 100)))  # a top k of each task, then of all
-    return best.join(total, "query_id").select("query_id", "rank", "page_id", "score", "total")
-
-
 def related(pages: DataFrame, k: int = 8) -> DataFrame:
     """page_id, rank, other, shared: pages that share most link names, by an equi-join on the names."""
     terms = pages.select("page_id", F.explode(F.array_distinct("links")).alias("term"))

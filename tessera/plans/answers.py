@@ -12,6 +12,7 @@ from tessera.operators import extract as X
 from tessera.operators import pages as P
 from tessera.operators import render as W
 from tessera.operators import retrieve as R
+from tessera.operators import search as Z
 from tessera.operators import synthesis as S
 from tessera.plans.base import EV, KB, OC, PAGES
 from tessera.plans.knowledge import FUSED, HS, OVERLAP, WORDS, _fused
@@ -61,7 +62,7 @@ def r1_hits_by_mode(spark: SparkSession, d: str) -> DataFrame:
     b = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ["claim", "bm25", "hybrid"])), (F.col("item_id") % 3 + 1).cast("int")).alias("mode"), F.concat(F.lit("orders of customer-"), F.col("item_id") % 50, F.lit(" with order_status f or 1-urgent?")).alias("query"))
     c = B.order_claims(spark, d).where("status = 'active'")
     claims = R.claim_hits(b, c, 10).join(c.select("id", F.concat_ws(" ", "subject", "predicate", "object").alias("snippet")), "id")
-    texts = R.overlap_lane(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 10).join(B.evidence(spark, d).select("claim_id", F.col("source_id").alias("id")), "id", "left")
+    texts = Z.overlap(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 10).join(B.evidence(spark, d).select("claim_id", F.col("source_id").alias("id")), "id", "left")
     lanes = {
         "claim": claims.select("query_id", F.lit(0).alias("lane"), F.col("id").alias("claim_id"), "snippet", F.col("score").cast("double").alias("score")),
         "bm25": texts.select("query_id", F.lit(1).alias("lane"), "claim_id", F.col("id").alias("snippet"), "score"),

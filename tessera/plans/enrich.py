@@ -10,6 +10,7 @@ from tessera.operators import chunks as H
 from tessera.operators import claims as C
 from tessera.operators import govern as G
 from tessera.operators import retrieve as R
+from tessera.operators import search as Z
 from tessera.plans.base import EV, KB, OC, PAGES
 from tessera.plans.knowledge import MD, WORDS
 from tessera.plans.registry import registry
@@ -168,7 +169,7 @@ def k4_chunk_lane(spark: SparkSession, d: str) -> DataFrame:
     s = B.kb_sources(spark, d).where("length(text) > 0")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("title")))
     chunks = H.exploded(s, H.size_split(whole, 1000)).select(F.concat_ws("#", "source_id", "start").alias("id"), "text")
-    return R.overlap_lane(B.questions(spark, d), chunks, 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return Z.overlap(B.questions(spark, d), chunks, 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {KB}, {OC} SELECT 'source-' || id AS page_id, 'sources/' || id || '.md' AS path, '# ' || title || chr(10) || chr(10) || 'Type: ' || type || chr(10) || 'Characters: ' || length(text) AS body FROM kb")

@@ -11,7 +11,7 @@ from tessera.operators import govern as G
 from tessera.operators import tables as K
 from tessera.operators import topics as P
 from tessera.operators import chunks as H
-from tessera.operators import retrieve as R
+from tessera.operators import search as Z
 from tessera.plans.base import ENT, EP, EV, KB, OC, PAGES, REL
 from tessera.plans.knowledge import FUSED, HS, WORDS, _fused
 from tessera.plans.registry import registry
@@ -209,12 +209,16 @@ def f25_split_decisions(spark: SparkSession, d: str) -> DataFrame:
 # Memory
 
 
-@query(f"WITH {EP}, t AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(lower(q || ' ' || a), {WORDS})) AS term FROM ep), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM benchmark) SELECT session_id, arg_max(term, (-seq, length(term), term)) AS anchor FROM t JOIN w USING (term) GROUP BY 1")
+@query(f"""WITH {EP}, t AS (SELECT session_id, seq, replace(lower(q || ' ' || a), 'ß', 'ss') AS text FROM ep), w AS (SELECT DISTINCT replace(lower(unnest(regexp_extract_all(text, {WORDS}))), 'ß', 'ss') AS term FROM benchmark),
+h AS (SELECT session_id, seq, arg_min(term, (-length(term), term)) AS term FROM t JOIN w ON contains(text, term) GROUP BY 1, 2)
+SELECT session_id, arg_max(term, seq) AS anchor FROM h GROUP BY 1""")
 def j25_anchors(spark: SparkSession, d: str) -> DataFrame:
-    texts = B.episodes(spark, d).select(F.struct("session_id", "seq").alias("text_id"), F.concat_ws(" ", "q", "a").alias("text"))
-    terms = B.read(spark, d, "benchmark").select(F.explode(T.tokens("text")).alias("term")).distinct()
-    hit = G.term_in_text(texts, terms)
-    return hit.groupBy(F.col("text_id.session_id").alias("session_id")).agg(F.max_by("term", F.struct(-F.col("text_id.seq"), F.length("term"), "term")).alias("anchor"))
+    """The longest term that a session's newest episode with any holds, as a part of its text."""
+    texts = B.episodes(spark, d).select(F.struct("session_id", "seq").alias("id"), F.concat_ws(" ", "q", "a").alias("text"))
+    terms = B.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("term")).distinct()
+    hit = Z.longest_terms(texts.withColumn("id", F.to_json("id")), terms)
+    of = F.from_json("id", "session_id string, seq bigint")
+    return hit.withColumn("of", of).groupBy("of.session_id").agg(F.max_by("term", "of.seq").alias("anchor"))
 
 
 @query(f"""WITH {EP}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS age FROM ep), k AS (SELECT * FROM n WHERE age <= 10),
@@ -261,4 +265,4 @@ h AS (SELECT query_id, page_id, 2 * count(*) FILTER (contains(title, kw)) + coun
 SELECT query_id, rank::INT AS rank, page_id, round(score, 6) AS score FROM g WHERE rank <= 5""")
 def r4_page_lane(spark: SparkSession, d: str) -> DataFrame:
     kw = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)), lambda x: F.length(x) > 3)).alias("kw"))
-    return R.page_lane(B.wiki_pages(spark, d), kw)
+    return Z.page_lane(B.wiki_pages(spark, d), kw)

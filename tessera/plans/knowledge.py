@@ -10,6 +10,7 @@ from tessera.operators import chunks as K
 from tessera.operators import claims as C
 from tessera.operators import extract as X
 from tessera.operators import retrieve as R
+from tessera.operators import search as Z
 from tessera.operators import topics as G
 from tessera.plans.base import EV, KB, OC, PAGES, REL
 from tessera.plans.registry import registry
@@ -170,7 +171,7 @@ def t13_rejected_responses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PAGES}, {OVERLAP} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM dl WHERE rank <= 8")
 def r2_text_lane(spark: SparkSession, d: str) -> DataFrame:
-    return R.overlap_lane(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return Z.overlap(B.questions(spark, d), B.kb_sources(spark, d).select("id", "text"), 8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
@@ -183,8 +184,8 @@ def k1_vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     q = B.questions(spark, d)
-    texts = R.overlap_lane(q, B.kb_sources(spark, d).select("id", "text"), 8)
-    pages = R.overlap_lane(q, B.wiki_pages(spark, d).select(F.concat(F.lit("page-"), "page_id").alias("id"), F.col("body").alias("text")), 5)
+    texts = Z.overlap(q, B.kb_sources(spark, d).select("id", "text"), 8)
+    pages = Z.overlap(q, B.wiki_pages(spark, d).select(F.concat(F.lit("page-"), "page_id").alias("id"), F.col("body").alias("text")), 5)
     f = R.fuse({"chunk": (texts, 0.8), "wiki": (pages, 0.9)})
     return R.normalise(f, [F.desc("score"), "place", "key"])
 
@@ -258,12 +259,24 @@ def g1_two_hops(spark: SparkSession, d: str) -> DataFrame:
     return G.two_hops(B.relations(spark, d), seeds)
 
 
-@query(f"""WITH {PAGES}, q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS needle FROM benchmark),
-h AS (SELECT query_id, page_id, title, CASE WHEN contains(replace(lower(title), 'ß', 'ss'), needle) THEN 3 ELSE 1 END AS score FROM wp, q WHERE contains(replace(lower(title), 'ß', 'ss'), needle) OR contains(replace(lower(body), 'ß', 'ss'), needle))
-SELECT * EXCLUDE (title) FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, page_id)::INT AS rank, page_id, score::INT AS score, count(*) OVER (PARTITION BY query_id) AS total, title FROM h) WHERE rank <= 50""")
+def _snippet_sql(c: str) -> str:
+    at = f"strpos(replace(lower({c}), 'ß', 'ss'), replace(needle, 'ß', 'ss'))"
+    start, end = f"greatest({at} - 40, 1)", f"least({at} + length(needle) + 40, length({c}) + 1)"
+    return f"CASE WHEN {at} > 0 THEN CASE WHEN {start} > 1 THEN '…' ELSE '' END || substr({c}, {start}, {end} - {start}) || CASE WHEN {end} <= length({c}) THEN '…' ELSE '' END END"
+
+
+@query(f"""WITH {PAGES}, sm AS (SELECT page_id, regexp_extract(html, '<b>([^<]*)', 1) AS summary FROM pages), ps AS (SELECT page_id, title, summary, body, CASE WHEN title = '' THEN page_id::VARCHAR ELSE title END AS name FROM wp JOIN sm USING (page_id)),
+q AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS needle FROM benchmark WHERE split_part(text, ' ', 2) <> ''),
+h AS (SELECT query_id, page_id, name, {_snippet_sql("title")} AS s1, {_snippet_sql("summary")} AS s2, {_snippet_sql("body")} AS s3 FROM ps, q),
+r AS (SELECT *, CASE WHEN s1 IS NOT NULL THEN 3 WHEN s2 IS NOT NULL THEN 2 WHEN s3 IS NOT NULL THEN 1 ELSE 0 END AS score FROM h)
+SELECT query_id, rank::INT AS rank, page_id, score::INT AS score, total, array_to_string(list_filter([s1, s2, s3], lambda x, i: x IS NOT NULL AND list_position([s1, s2, s3], x) = i), ' | ') AS snippets
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, page_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM r WHERE score > 0) WHERE rank <= 50""")
 def k6_page_search(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by title, summary (their first bold text) and body, with snippets and totals."""
     q = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("needle"))
-    return G.page_search(B.wiki_pages(spark, d), q)
+    summary = B.read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<b>([^<]*)", 1).alias("summary"))
+    got = Z.page_search(B.wiki_pages(spark, d).join(summary, "page_id"), q)
+    return got.withColumn("snippets", F.array_join("snippets", " | "))
 
 
 @query(f"WITH {PAGES}, t AS (SELECT DISTINCT page_id, unnest(links) AS term FROM wp), s AS (SELECT a.page_id, b.page_id AS other, count(*) AS shared FROM t a JOIN t b USING (term) WHERE a.page_id <> b.page_id GROUP BY 1, 2) SELECT page_id, other, shared, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY shared DESC, other) AS rank FROM s) WHERE rank <= 8")

@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let a union be no promise of partitioning. Spark 4.1 takes a union of parts that are partitioned alike as partitioned so itself, but where
+    adaptive execution has changed the number of a part's partitions by then, a join on it fails (can't zip RDDs)."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") == "true":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
