@@ -1,13 +1,18 @@
 """Chunks as exact, gap-free slices of a text: structural splits, size splits, overflow and coverage.
 
-Everything is narrow: a text is cut inside its row by array functions, then exploded; no shuffle. Offsets are
-code points, half-open.
+Everything is narrow: a text is cut inside its row, by array functions or in Arrow batches, then exploded; no shuffle. Time grows with the
+text's length, not with its square. Offsets are code points, half-open.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions import text as T
 
@@ -56,27 +61,54 @@ def heading_text(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(line), r"^[\s]*#+|[\s]+$", ""))
 
 
-def general_spans(text: Column) -> Column:
-    """Spans cut at heading lines and after blank lines: structs of start, end and title.
-
-    A heading opens a span; a blank line belongs to the span before it and closes it; a blank line that
-    opens a span is left to the next cut."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("title"), F.array().cast("array<struct<start:int,end:int,title:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        done = lambda end: F.array_append(a["out"], F.struct(a["at"].alias("start"), end.alias("end"), a["title"].alias("title")))
-        open_ = a["at"] < x["start"]
-        name = heading_text(x["line"])
-        head, close = x["level"] > 0, x["blank"] & open_
-        return F.struct(
-            F.when(head, x["start"]).when(close, x["end"]).otherwise(a["at"]).alias("at"),
-            F.when(head, F.when(name != "", name)).when(close, F.lit(None).cast("string")).otherwise(a["title"]).alias("title"),
-            F.when(head & open_, done(x["start"])).when(~head & close, done(x["end"])).otherwise(a["out"]).alias("out"),
-        )
+_PLACE = [StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("title", StringType())]
+# The functions below are marked as nondeterministic, though they aren't, so that the optimizer evaluates them once, in a projection of their own.
+SPAN = ArrayType(StructType(_PLACE))
+SECTION = ArrayType(StructType([*_PLACE, StructField("section_path", ArrayType(StringType()))]))
+_HEAD = re.compile(r"(#{1,6})\s+\S")
+
+
+def sections(text: str) -> list[tuple[int, int, str | None, list[str]]]:
+    """start, end, title and section path of a text's spans, line by line.
+
+    A heading opens a span. A blank line belongs to the span before it and closes it; one that would be a span alone is left to the next cut.
+    A heading of level n takes the n-th place of the path, or the first free one before it, and ends it; spans without a heading of their own stand under the last one."""
+    out, opened, title, path, place = [], 0, None, [], 0
+    for line in text.splitlines(keepends=True):
+        bare, after = line.strip(), place + len(line)
+        head = _HEAD.match(bare)
+        if head or not bare:
+            cut = place if head else after
+            if opened < place:
+                out.append((opened, cut, title, path))
+                opened, title = cut, None
+        if head:
+            name = bare.lstrip("#").strip()
+            path = [*path[: len(head[1]) - 1], name]
+            opened, title = place, name or None
+        place = after
+    if opened < place:
+        out.append((opened, place, title, path))
+    return out
+
+
+@F.arrow_udf(SECTION)
+def _sections(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string()), ("section_path", pa.list_(pa.string()))]))
+    return pa.array([[{"start": a, "end": b, "title": t, "section_path": p} for a, b, t, p in sections(x or "")] for x in text.to_pylist()], kind)
 
-    total = F.length(text)
-    last = lambda a: F.when(a["at"] < total, F.array_append(a["out"], F.struct(a["at"].alias("start"), total.alias("end"), a["title"].alias("title")))).otherwise(a["out"])
-    return F.when(total > 0, F.aggregate(lines(text), start, step, last)).otherwise(F.array().cast("array<struct<start:int,end:int,title:string>>"))
+
+_sections = _sections.asNondeterministic()
+
+
+def section_spans(text: Column) -> Column:
+    """Spans cut at heading lines and after blank lines, with their section path; see `sections`. Linear in the text."""
+    return _sections(text)
+
+
+def general_spans(text: Column) -> Column:
+    """The same as structs of start, end and title."""
+    return F.transform(section_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title")))
 
 
 def heading_spans(text: Column, level: int = 2) -> Column:
@@ -103,30 +135,48 @@ def fold_overflow(spans: Column, most: int) -> Column:
     return F.when(F.size(spans) > most, F.array_append(F.slice(spans, 1, most - 1), tail)).otherwise(spans)
 
 
-def merge_small(spans: Column, text: Column, least: int) -> Column:
-    """Neighbouring spans joined until each has `least` tokens; a small rest joins the last.
+def merged(spans: list[dict], text: str, least: int) -> list[dict]:
+    """Neighbouring spans joined until each has `least` tokens; a small rest joins the last. Each span's words and CJK characters are counted once and added up, which is exact for spans cut at line ends."""
+    out: list[dict] = []
+    for s in spans:
+        piece = text[s["start"] : s["end"]]
+        new = {**s, "words": len(_WORD.findall(piece)), "cjk": len(_CJK.findall(piece))}
+        if out and _few(out[-1], least):
+            out[-1] = _join(out[-1], new)
+        else:
+            out.append(new)
+    if len(out) > 1 and _few(out[-1], least):
+        last = out.pop()
+        out[-1] = _join(out[-1], last)
+    return [{k: s[k] for k in ("start", "end", "title")} for s in out]
 
-    Each span's words and CJK characters are counted once and added up, which is exact for spans cut at line ends."""
-    kind = "array<struct<start:int,end:int,title:string,words:int,cjk:int>>"
-    piece = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    counted = F.transform(spans, lambda s: bound(piece(s), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title"), F.regexp_count(t, F.lit(T.WORD)).alias("words"), F.regexp_count(t, F.lit(T.CJK)).alias("cjk"))))
-    small = lambda s: T.estimate_of(s["words"], s["cjk"], s["end"] - s["start"]) < least
-    joined = lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), F.coalesce(a["title"], b["title"]).alias("title"), (a["words"] + b["words"]).alias("words"), (a["cjk"] + b["cjk"]).alias("cjk"))
-    nothing = F.lit(None).cast(kind[6:-1])
 
-    def step(acc: Column, x: Column) -> Column:
-        open_ = acc["open"]
-        full = open_.isNotNull() & ~small(open_)
-        return F.struct(F.when(open_.isNull() | full, x).otherwise(joined(open_, x)).alias("open"), F.when(full, F.array_append(acc["out"], open_)).otherwise(acc["out"]).alias("out"))
+_WORD, _CJK = regex.compile(r"[\p{L}\p{N}_]+"), re.compile("[\u4e00-\u9fff]")
 
-    def rest(acc: Column) -> Column:
-        out, open_ = acc["out"], acc["open"]
-        last = F.element_at(out, -1)
-        back = F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), joined(last, open_))
-        return F.when(open_.isNull(), out).when((F.size(out) > 0) & small(open_), back).otherwise(F.array_append(out, open_))
 
-    merged = F.aggregate(counted, F.struct(nothing.alias("open"), F.array().cast(kind).alias("out")), step, rest)
-    return F.transform(merged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title")))
+def _few(s: dict, least: int) -> bool:
+    """Whether a span's token estimate is under `least` (as `token_estimate` counts)."""
+    cjk = s["cjk"]
+    tokens = max(s["words"], cjk // 2) if cjk > 0 and cjk >= max(1.0, (s["end"] - s["start"]) / 3) else s["words"]
+    return tokens < least
+
+
+def _join(a: dict, b: dict) -> dict:
+    return {"start": a["start"], "end": b["end"], "title": a["title"] if a["title"] is not None else b["title"], "words": a["words"] + b["words"], "cjk": a["cjk"] + b["cjk"]}
+
+
+@F.arrow_udf(SPAN)
+def _merged(spans: pa.Array, text: pa.Array, least: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string())]))
+    return pa.array([None if s is None else merged(s, t or "", n) for s, t, n in zip(spans.to_pylist(), text.to_pylist(), least.to_pylist())], kind)
+
+
+_merged = _merged.asNondeterministic()
+
+
+def merge_small(spans: Column, text: Column, least: int) -> Column:
+    """The spans of each text (start, end, title) joined until each has `least` tokens; see `merged`."""
+    return _merged(spans, text, F.lit(least))
 
 
 def plain_chunks(text: Column, max_chars: int = 3000) -> Column:
@@ -145,10 +195,22 @@ def plain_table(sources: DataFrame, max_chars: int = 3000, max_chunks: int = 40)
     return rows.select("source_id", "chunk_index", "text", "truncated")
 
 
-def exploded(sources: DataFrame, spans: Column) -> DataFrame:
-    """Chunk rows: id (hash of source, index and content), source_id, chunk_index, title, start, end, text, content_hash, token_count."""
-    rows = sources.select(F.col("id").alias("source_id"), F.col("text").alias("_text"), F.posexplode(spans).alias("chunk_index", "s"))
-    rows = rows.select("source_id", "chunk_index", F.col("s.title").alias("title"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.expr("substring(_text, s.start + 1, s.end - s.start)").alias("text"))
+@F.arrow_udf(ArrayType(StringType()))
+def _pieces(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else [(t or "")[x["start"] : x["end"]] for x in s] for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.list_(pa.string()))
+
+
+_pieces = _pieces.asNondeterministic()
+
+
+def exploded(sources: DataFrame, spans: Column, path: bool = False) -> DataFrame:
+    """Chunk rows: id (hash of source, index and content), source_id, chunk_index, title, start, end, text, content_hash, token_count; and section_path, if spans have it.
+
+    A text is cut once, in its row, so that a chunk's row holds the chunk alone."""
+    cut = sources.select(F.col("id").alias("source_id"), "text", spans.alias("s")).select("source_id", F.arrays_zip("s", _pieces("text", "s").alias("text")).alias("z"))
+    extra = [F.col("z.s.section_path").alias("section_path")] if path else []
+    rows = cut.select("source_id", F.posexplode("z").alias("chunk_index", "z"))
+    rows = rows.select("source_id", "chunk_index", F.col("z.s.title").alias("title"), F.col("z.s.start").alias("start"), F.col("z.s.end").alias("end"), F.col("z.text").alias("text"), *extra)
     rows = rows.withColumn("content_hash", F.sha2("text", 256)).withColumn("token_count", T.token_estimate("text"))
     return rows.withColumn("id", T.short_hash(F.concat_ws("|", "source_id", "chunk_index", "content_hash")))
 

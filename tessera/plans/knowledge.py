@@ -101,10 +101,23 @@ def f24_folders(spark: SparkSession, d: str) -> DataFrame:
 # Chunks
 
 
-@query()
+# Every second line is blank and every heading of level two, so a path is the first heading and the last.
+SECTIONS = f"""{MD}, g0 AS (SELECT id, text, length(text) AS total, string_split(text, chr(10)) AS ls FROM md WHERE length(text) > 0),
+g1 AS (SELECT id, total, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS k FROM g0),
+g2 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, trim(line, chr(9) || ' ' || chr(13)) = '' AS blank, regexp_matches(line, '^\\s*#{{1,6}}\\s+\\S') AS head FROM g1),
+g3 AS (SELECT *, start + length(line) + CASE WHEN i < k THEN 1 ELSE 0 END AS finish, i - max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY id ORDER BY i) AS r FROM g2),
+ct AS (SELECT id, 0 AS s FROM g0 UNION SELECT id, start FROM g3 WHERE head UNION SELECT id, finish FROM g3 WHERE blank AND finish > start AND coalesce(r % 2 = 1, i % 2 = 0)),
+sp AS (SELECT ct.id, s, coalesce(lead(s) OVER (PARTITION BY ct.id ORDER BY s), total)::INT AS e FROM ct JOIN g0 USING (id) WHERE s < total),
+hl AS (SELECT id, start, trim(ltrim(trim(line), '#')) AS name FROM g3 WHERE head)"""
+
+
+@query(f"""WITH {SECTIONS}, h1 AS (SELECT id, arg_min(name, start) AS first, min(start) AS fs FROM hl GROUP BY 1),
+j AS (SELECT sp.id, sp.s, sp.e, arg_max(hl.name, hl.start) AS cur, max(hl.start) AS cur_at, any_value(h1.first) AS first, any_value(h1.fs) AS first_at FROM sp LEFT JOIN hl ON hl.id = sp.id AND hl.start <= sp.s LEFT JOIN h1 ON h1.id = sp.id GROUP BY 1, 2, 3)
+SELECT id AS source_id, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INT AS chunk_index, s AS start, e AS "end", CASE WHEN cur_at = s THEN nullif(cur, '') END AS title, CASE WHEN cur_at IS NULL THEN '' WHEN cur_at = first_at THEN first ELSE first || ' > ' || cur END AS section_path FROM j""")
 def t1_general_chunks(spark: SparkSession, d: str) -> DataFrame:
-    s = B.md_sources(spark, d)
-    return K.exploded(s, K.general_spans(F.col("text"))).select("source_id", "chunk_index", "title", "start", "end", "id")
+    """Spans at headings and blank lines with the headings they stand under."""
+    c = K.exploded(B.md_sources(spark, d), K.section_spans(F.col("text")), path=True)
+    return c.select("source_id", "chunk_index", "start", "end", "title", F.array_join("section_path", " > ").alias("section_path"))
 
 
 @query(f'WITH {HS} SELECT id AS source_id, start, "end", title FROM hs')
