@@ -173,12 +173,12 @@ LINES = "SELECT kb_id, page, section, key, line FROM"
 
 @query(f"""WITH {OC}, c AS (SELECT 'orders' AS kb_id, subject AS page, * FROM oc WHERE status = 'active'), l AS (
 SELECT DISTINCT kb_id, page, 0 AS section, '' AS key, {FRONT.format("entity")} || '# ' || subject || chr(10) || chr(10) || '## Claims' AS line FROM c
-UNION ALL SELECT kb_id, page, 1, predicate || chr(1) || object || chr(1) || id, '- [[source-' || source_id || '|' || source_id || ']]: ' || predicate || ' → ' || object FROM c
+UNION ALL SELECT kb_id, page, 1, predicate || chr(1) || object || chr(1) || id, '- [[source-' || source_id || '|Order ' || substr(source_id, 7) || ']]: ' || predicate || ' → ' || object FROM c
 UNION ALL SELECT DISTINCT kb_id, page, 2, '', chr(10) || '## 相关' FROM c
-UNION ALL SELECT DISTINCT kb_id, page, 3, source_id, '- [[source-' || source_id || '|' || source_id || ']]' FROM c) {LINES} l""")
+UNION ALL SELECT DISTINCT kb_id, page, 3, source_id, '- [[source-' || source_id || '|Order ' || substr(source_id, 7) || ']]' FROM c) {LINES} l""")
 def f30_entity_pages(spark: SparkSession, d: str) -> DataFrame:
     c = B.order_claims(spark, d).where("status = 'active'").withColumn("kb_id", F.lit("orders"))
-    return W.entity_pages(c, c.select("source_id", F.lit(None).cast("string").alias("title")).where("false"))
+    return W.entity_pages(c, c.select("source_id", F.concat(F.lit("Order "), F.substring("source_id", 7, 20)).alias("title")).distinct())
 
 
 @query(f"""WITH {KB}, {EV}, c AS (SELECT claim_id AS id, source_id, 'text ' || ord AS subject, 'granted_under' AS predicate, quote AS object FROM ev), k AS (SELECT 'doc-' || doc_id AS source_id, n FROM (SELECT doc_id, unnest(range(0, ceil(length(text) / 1000)::BIGINT)) AS n FROM documents)),
@@ -205,13 +205,13 @@ def b2_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     return W.chunk_pages(s, _parts(s))
 
 
-@query(f"""WITH {KB}, b AS (SELECT DISTINCT kb_id FROM kb), e AS (SELECT DISTINCT kb_id, type AS subject FROM kb WHERE kb_id <> 'en'), l AS (
+@query(f"""WITH {KB}, b AS (SELECT DISTINCT kb_id FROM kb), e AS (SELECT DISTINCT kb_id, type AS subject FROM kb), l AS (
 SELECT kb_id, 0 AS section, '' AS key, {FRONT.format("index")} || '# Wiki Index — ' || kb_id || chr(10) || chr(10) || '## Sources' AS line FROM b
 UNION ALL SELECT kb_id, 1, title || chr(1) || id, '- [[source-' || id || '|' || title || ']]' FROM kb UNION ALL SELECT kb_id, 2, '', chr(10) || '## Entities' FROM b
 UNION ALL SELECT kb_id, 3, subject, '- [[' || {SAFE.format("subject")} || '|' || subject || ']]' FROM e UNION ALL SELECT kb_id, 3, '', '- （无实体）' FROM b WHERE kb_id NOT IN (SELECT kb_id FROM e)) SELECT kb_id, '_index' AS page, section, key, line FROM l""")
 def b2_index_lines(spark: SparkSession, d: str) -> DataFrame:
     s = B.kb_sources(spark, d)
-    return W.index_lines(s, s.where("kb_id <> 'en'").select("kb_id", F.col("type").alias("subject")))
+    return W.index_lines(s, s.select("kb_id", F.col("type").alias("subject")))
 
 
 @query(f"""WITH u AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url FROM pages), n AS (SELECT *, coalesce(nullif(trim({SAFE.format("url")}), ''), 'unnamed') AS slug, coalesce(nullif(trim({SAFE.format("title")}), ''), 'unnamed') AS t, array_to_string(list_filter(string_split(url, '/'), lambda x: trim(x) <> ''), chr(1)) AS lv FROM u)

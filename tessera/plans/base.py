@@ -255,12 +255,12 @@ def w3_recall(spark: SparkSession, d: str) -> DataFrame:
 # Aggregates and windows
 
 
-@query(f"WITH {OC}, f AS (SELECT subject, predicate, object, min(ord) AS o FROM oc WHERE predicate = 'order_status' GROUP BY 1, 2, 3), a AS (SELECT subject, predicate, list(object ORDER BY o) AS objects FROM f GROUP BY 1, 2) SELECT subject, predicate, array_to_string(objects, '、') AS object, len(objects)::INT AS n FROM a")
+@query(f"WITH {OC}, f AS (SELECT subject, predicate, object, min(ord) AS o FROM oc GROUP BY 1, 2, 3), a AS (SELECT subject, predicate, list(object ORDER BY o, object) AS objects FROM f GROUP BY 1, 2) SELECT subject, predicate, CASE WHEN len(list_filter(objects, lambda x: length(x) > 8)) > 0 THEN array_to_string(objects, '；') ELSE array_to_string(objects, '、') END AS object, len(objects)::INT AS n FROM a")
 def a1_merged_objects(spark: SparkSession, d: str) -> DataFrame:
-    c = B.order_claims(spark, d).where("predicate = 'order_status'")
+    c = B.order_claims(spark, d)
     e = c.select(F.lit("all").alias("source_id"), "ord", "subject", "predicate", "object", "confidence", F.col("object").alias("quote"), F.lit(0).alias("start"), F.lit(1).alias("end"))
     merged = C.merge_complementary(e)
-    return merged.select("subject", "predicate", "object", F.size(F.split("object", "、")).alias("n"))
+    return merged.select("subject", "predicate", "object", F.size(F.split("object", "、|；")).alias("n"))
 
 
 @query(f"WITH {OC}, m AS (SELECT *, version >= max(version) OVER (PARTITION BY family_id) - 1 AS act FROM oc) SELECT family_id, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS claim_ids FROM m WHERE act GROUP BY 1 HAVING count(*) > 1")

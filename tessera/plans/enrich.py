@@ -108,10 +108,10 @@ def t11_index_entries(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("page_id", F.regexp_extract("line", r"\[\[([^\]|]+)\|", 1).alias("path")).groupBy("page_id", "path").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {OC}, r AS (SELECT id, ord, CASE WHEN ord % 3 = 0 THEN 'reactivated' WHEN ord % 3 = 1 THEN 'created' ELSE 'failed' END AS outcome FROM oc WHERE status = 'superseded' AND ord % 10 = 0) SELECT outcome, count(*) AS n FROM r GROUP BY 1""")
+@query(f"""WITH {OC}, r AS (SELECT id, ord, CASE WHEN ord % 3 = 0 THEN 'reactivated' WHEN ord % 3 = 1 THEN 'created' ELSE 'failed' END AS outcome FROM oc WHERE status = 'superseded') SELECT outcome, count(*) AS n FROM r GROUP BY 1""")
 def e3_quarantine_approvals(spark: SparkSession, d: str) -> DataFrame:
     """Quarantined JSON rows: with a claim id they reactivate it, with a whole triple they make a claim, else they fail."""
-    c = B.order_claims(spark, d).where("status = 'superseded' AND ord % 10 = 0")
+    c = B.order_claims(spark, d).where("status = 'superseded'")
     raw = F.when(F.col("ord") % 3 == 0, F.to_json(F.struct(F.col("id").alias("claim_id")))).when(F.col("ord") % 3 == 1, F.to_json(F.struct("subject", "predicate", "object"))).otherwise(F.to_json(F.struct("subject")))
     q = c.select(F.from_json(raw, "claim_id string, subject string, predicate string, object string").alias("r"))
     whole = F.length("r.subject") * F.length("r.predicate") * F.length("r.object") > 0
@@ -179,11 +179,11 @@ def s11_exported_pages(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.concat(F.lit("source-"), "id").alias("page_id"), F.concat(F.lit("sources/"), "id", F.lit(".md")).alias("path"), body.alias("body"))
 
 
-@query(f"WITH {PAGES}, t AS (SELECT page_id, title, body, len(regexp_extract_all(body, {WORDS})) AS words FROM wp) SELECT page_id, '# ' || title || chr(10) || CASE WHEN words > 300 THEN 'long' ELSE 'short' END || chr(10) || substr(body, 1, 60) AS page FROM t")
+@query(f"WITH {PAGES}, t AS (SELECT page_id, title, body, len(regexp_extract_all(body, {WORDS})) AS words FROM wp) SELECT page_id, '# ' || title || chr(10) || CASE WHEN words > 300 THEN 'long' ELSE 'short' END || chr(10) || body AS page FROM t")
 def b1_compiled_pages(spark: SparkSession, d: str) -> DataFrame:
     w = B.wiki_pages(spark, d)
     kind = F.when(F.regexp_count("body", F.lit(T.WORD)) > 300, "long").otherwise("short")
-    return w.select("page_id", F.concat_ws("\n", F.concat(F.lit("# "), "title"), kind, F.substring("body", 1, 60)).alias("page"))
+    return w.select("page_id", F.concat_ws("\n", F.concat(F.lit("# "), "title"), kind, "body").alias("page"))
 
 
 @query(f"WITH {OC}, g AS (SELECT DISTINCT subject FROM oc WHERE ord % 10 = 0 AND status = 'active'), l AS (SELECT subject FROM oc WHERE ord % 10 <> 0) SELECT subject FROM g WHERE subject NOT IN (SELECT subject FROM l)")

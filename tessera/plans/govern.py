@@ -159,9 +159,9 @@ def k9_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return r.orderBy("src", "predicate", "dst").limit(500).crossJoin(total).select("src", "predicate", "dst", "total", (F.col("total") > 500).alias("truncated"))
 
 
-@query(f"WITH {REL} SELECT DISTINCT src, predicate, dst FROM rel WHERE predicate <> 'supplied_by'")
+@query(f"WITH {REL} SELECT DISTINCT src, predicate, dst FROM rel")
 def g2_merged_relations(spark: SparkSession, d: str) -> DataFrame:
-    r = B.relations(spark, d).where("predicate <> 'supplied_by'")
+    r = B.relations(spark, d)
     return r.unionByName(r).groupBy("src", "predicate", "dst").agg(F.count("*").alias("n")).drop("n")
 
 

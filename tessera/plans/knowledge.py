@@ -162,13 +162,13 @@ def t8_rule_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    claim = F.named_struct(F.lit("subject"), F.concat(F.lit("doc-"), "doc_id"), F.lit("predicate"), F.lit("begins"), F.lit("object"), F.substring("text", 1, 20), F.lit("confidence"), (F.col("doc_id") % 10) / 10.0, F.lit("quote"), F.when(F.col("doc_id") % 4 == 0, "not there").otherwise(F.substring("text", 1, 20)))
+    claim = F.named_struct(F.lit("subject"), F.concat(F.lit("doc-"), "doc_id"), F.lit("predicate"), F.lit("begins"), F.lit("object"), F.split("text", "\n")[0], F.lit("confidence"), (F.col("doc_id") % 10) / 10.0, F.lit("quote"), F.when(F.col("doc_id") % 4 == 0, "not there").otherwise(F.split("text", "\n")[0]))
     body = F.to_json(F.array(claim))
     bad = F.when(F.col("doc_id") % 10 == 0, F.substring(body, 1, 15)).when(F.col("doc_id") % 10 == 5, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     return B.read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("source_id"), bad.alias("response"), "text")
 
 
-@query("SELECT coalesce(CASE WHEN (doc_id % 10) / 10 < 0.5 THEN 'low_confidence' WHEN doc_id % 4 = 0 THEN 'span_missing' END, 'accepted') AS reason, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 AND trim(substr(text, 1, 20)) <> '' GROUP BY 1")
+@query("SELECT coalesce(CASE WHEN (doc_id % 10) / 10 < 0.5 THEN 'low_confidence' WHEN doc_id % 4 = 0 THEN 'span_missing' END, 'accepted') AS reason, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 AND trim(split_part(text, chr(10), 1)) <> '' GROUP BY 1")
 def c2_gated_responses(spark: SparkSession, d: str) -> DataFrame:
     claims, _ = X.parsed_claims(_responses(spark, d))
     return X.gate(claims).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
