@@ -251,7 +251,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column | str = "label", n
         got = got.join(asked.select("anchor", F.col("vec_id").alias("anchor_id")), "anchor").select(RESULT.names)
         got.write.parquet(f"{path}/block={at}")
         drop(near)
-    return spark.read.schema(RESULT).parquet(path)
+    return spark.read.schema(RESULT).parquet(path).select(RESULT.names)
 
 
 def sql(n_positives: int = 5, n_negatives: int = 5, low: int = 80, high: int = 100, scale: int = 256, every: int = 100) -> str:

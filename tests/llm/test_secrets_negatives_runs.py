@@ -178,6 +178,7 @@ def test_negatives_match_brute_force(spark, options):
     df = spark.createDataFrame(rows, VECTORS).withColumn("rank", F.lit("x")).withColumn("anchor", F.lit(0)).withColumn("dim", F.lit(0))
     got = negatives.mine(df, F.col("vec_id") % 20 == 0, **options)
     columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert got.columns == [*columns, "anchor"]
     want = brute_negatives(rows, 20, options.get("low", 80), options.get("high", 100))
     assert sorted(tuple(r) for r in got.select(columns).collect()) == want and len(want) > 200
 
