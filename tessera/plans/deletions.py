@@ -14,7 +14,7 @@ QUERIES, SQL, query = registry()
 
 # A knowledge base over the documents: claims of single documents, claims that up to 50 share, claims that say the same for many; topics by source; pages of one and of up to 50.
 WORLD = """d AS (SELECT doc_id, 'doc-' || doc_id AS id, coalesce(source, 'none') AS src, coalesce(lang, 'none') AS lang, coalesce(length(text), 0) // 1000 AS parts, coalesce(source, 'none') || '-' || doc_id // 50 AS grp FROM documents WHERE doc_id IS NOT NULL),
-gone AS (SELECT id FROM d WHERE doc_id % 10 = 0 OR src = 'src3'),
+gone AS (SELECT id FROM d WHERE doc_id % 7 = 0 OR src = 'src3'),
 ch AS (SELECT id AS source_id, id || ':' || i AS id, src FROM (SELECT *, unnest(range(0, parts + 1)) AS i FROM d)),
 cl AS (SELECT grp || '|' || lang AS id, grp AS subject, 'written_in' AS predicate, lang AS object, 'active' AS status, list(id ORDER BY doc_id) AS source_ids FROM d GROUP BY grp, lang
   UNION ALL SELECT 'kept|' || doc_id, id, 'kept_by', src, CASE WHEN doc_id % 6 = 0 THEN 'superseded' ELSE 'active' END, [id] FROM d
@@ -37,7 +37,7 @@ pu AS (SELECT page_id, unnest(source_ids) AS s FROM pg), pl AS (SELECT page_id,
 
 
 def world(spark: SparkSession, d: str) -> tuple[D.Knowledge, DataFrame]:
-    """The tables and the sources to delete: every tenth document and those of one source."""
+    """The tables and the sources to delete: every seventh document and those of one source."""
     docs = B.read(spark, d, "documents").where("doc_id IS NOT NULL")
     src, lang = (F.coalesce(c, F.lit("none")) for c in ("source", "lang"))
     docs = docs.select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("id"), src.alias("src"), lang.alias("lang"), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 1000).alias("parts"), F.concat_ws("-", src, F.floor(F.col("doc_id") / 50).cast("string")).alias("grp"))
@@ -72,7 +72,7 @@ def world(spark: SparkSession, d: str) -> tuple[D.Knowledge, DataFrame]:
         members=chunks.select(F.col("src").alias("topic_id"), F.lit("chunk").alias("ref_type"), F.col("id").alias("ref_id")),
         pages=pages,
     )
-    return k, docs.where("doc_id % 10 = 0 OR src = 'src3'").select(F.col("id").alias("source_id"))
+    return k, docs.where("doc_id % 7 = 0 OR src = 'src3'").select(F.col("id").alias("source_id"))
 
 
 def after(spark: SparkSession, d: str) -> tuple[D.Knowledge, DataFrame]:
