@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import questions as Q
+from tessera.operators import search as Z
+from tessera.streaming.ingest import shared_path
 
 
 def clusters(chunks: DataFrame, claims: DataFrame, least: int = 1) -> DataFrame:
@@ -49,17 +51,90 @@ def two_hops(relations: DataFrame, seeds: DataFrame, per_seed: int = 4, budget:
     one = hop0.select("query_id", "seed", "seed_rank", F.lit(1).alias("hop"), F.concat_ws("|", "predicate", "dst").alias("via"), F.col("dst").alias("mid"))
     hop1 = one.join(adj, one.mid == adj.src).select("query_id", "seed", "seed_rank", "hop", "via", "src", "predicate", "dst")
     w = Window.partitionBy("query_id", "seed").orderBy("hop", "via", "predicate", "dst")
-    each = hop0.unionByName(hop1).dropDuplicates(["query_id", "seed", "src", "predicate", "dst"]).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= per_seed)
+    first = hop0.unionByName(hop1).groupBy("query_id", "seed", "seed_rank", "src", "predicate", "dst").agg(F.min(F.struct("hop", "via")).alias("m")).select("query_id", "seed", "seed_rank", "m.*", "src", "predicate", "dst")
+    each = first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= per_seed)
     turn = Window.partitionBy("query_id").orderBy("pos", "seed_rank", "src", "dst")
     return each.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= budget).select("query_id", "rank", "src", "predicate", "dst", (1.0 / (F.col("hop") + 1)).alias("score"))
 
 
-def related(pages: DataFrame, k: int = 8) -> DataFrame:
-    """page_id, rank, other, shared: pages that share most link names, by an equi-join on the names."""
-    terms = pages.select("page_id", F.explode(F.array_distinct("links")).alias("term"))
-    other = terms.withColumnRenamed("page_id", "other")
-    w = Window.partitionBy("page_id").orderBy(F.desc("shared"), "other")
-    return terms.join(other, "term").where("page_id <> other").groupBy("page_id", "other").agg(F.count("*").alias("shared")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def related(pages: DataFrame, k: int = 8, hints: DataFrame | None = None, least: int = 64, growth: int = 64) -> DataFrame:
+    """page_id, rank, other, score: for each page (page_id, title, links) the k others with the highest score, ties to the lesser id: the distinct links
+    both have, 3 for each hint (title, hint) of the page's title that the other's title holds, and 1 for each hint of the other's title that holds the page's title. A score of 0 is none.
+
+    Pages with the same title and links score alike, so they go as one class with its k + 1 least ids. Links are joined rarest first: in a round, those that at
+    most `least` classes have (then `growth` times as many, and so on). A class whose k-th score is over the number of its links that are still to come is done, as no
+    class it has not met can reach that; only the others go on. Hints are met by title, whatever the links."""
+    p = pages.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.array_sort(F.array_distinct(F.coalesce("links", F.array().cast("array<string>")))).alias("links"))
+    p = p.withColumn("links", F.filter("links", lambda x: x.isNotNull())).withColumn("class", F.xxhash64("title", "links", F.lit(1))).withColumn("class2", F.xxhash64("links", "title", F.lit(2)))
+    key = F.concat_ws(":", F.col("class").cast("string"), F.col("class2").cast("string"))
+    p = p.select("page_id", "title", "links", key.alias("class"))
+    place = Window.partitionBy("class").orderBy("page_id")
+    ids = p.select("class", "page_id").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1).select("class", F.col("page_id").alias("id"))
+    classes = p.groupBy("class").agg(F.first("title").alias("title"), F.first("links").alias("links"), F.count("*").alias("size"))
+    terms = classes.select("class", F.explode("links").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    terms = terms.join(df, "term")
+    other = lambda t: t.select("term", F.col("class").alias("other"))
+    boosts = _boosts(classes.select("class", "title"), hints) if hints is not None else None
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(class, other, score) of the pairs, with all links they share and their hints."""
+        both = pairs.join(classes.select("class", "links"), "class").join(classes.select(F.col("class").alias("other"), F.col("links").alias("theirs")), "other")
+        out = both.select("class", "other", F.size(F.array_intersect("links", "theirs")).alias("score"))
+        if boosts is not None:
+            out = out.join(boosts, ["class", "other"], "left").select("class", "other", (F.col("score") + F.coalesce("boost", F.lit(0))).alias("score"))
+        return out.where("score > 0")
+
+    most = df.agg(F.max("df")).first()[0] or 0
+    open_, done = classes.select("class"), None
+    while True:
+        last = least >= most
+        mine = terms.join(open_, "class", "left_semi")
+        pairs = mine.where(F.col("df") <= least).select("class", "term").join(other(terms.where(F.col("df") <= least)), "term").select("class", "other")
+        pairs = pairs.unionByName(open_.select("class", F.col("class").alias("other")))
+        if boosts is not None:
+            pairs = pairs.unionByName(boosts.join(open_, "class", "left_semi").select("class", "other"))
+        # A class stands for its k + 1 least pages, of which one may be the page itself.
+        hits = scored(pairs.distinct()).join(ids.withColumnRenamed("class", "other"), "other").select("class", "id", "score")
+        best = hits.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
+        best = _cut(best)
+        if last:
+            done = best if done is None else done.unionByName(best)
+            break
+        to_come = mine.groupBy("class").agg(F.count_if(F.col("df") > least).alias("rest"))
+        floor = best.where(F.col("n") == k + 1).select("class", F.col("score").alias("floor"))
+        sure = to_come.join(floor, "class", "left").where((F.col("rest") == 0) | (F.col("floor") > F.col("rest"))).select("class")
+        bare = open_.join(to_come, "class", "left_anti")
+        sure = _cut(sure.unionByName(bare))
+        part = best.join(sure, "class", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        open_ = _cut(open_.join(sure, "class", "left_anti"))
+        if not open_.limit(1).count():
+            break
+        least *= growth
+    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "other")
+    each = p.select("page_id", "class").join(done.select("class", F.col("id").alias("other"), "score"), "class").where("page_id <> other")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("page_id", "rank", "other", "score")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df written and read again in the shared folder, so that later rounds don't repeat earlier ones."""
+    path = shared_path(df.sparkSession, "related")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _boosts(classes: DataFrame, hints: DataFrame) -> DataFrame:
+    """class, other, boost. Titles meet hints by substrings, searched by blocks: hints in titles, and titles in the hints of the other's title."""
+    h = hints.select("title", "hint").where("title IS NOT NULL AND hint <> ''").distinct()
+    held = Z.holders(classes.select(F.col("class").alias("id"), F.col("title").alias("text")), h.select(F.col("hint").alias("query_id"), F.col("hint").alias("needle")).distinct())
+    forth = classes.join(h, "title").join(held.select(F.col("query_id").alias("hint"), F.col("id").alias("other")), "hint").groupBy("class", "other").agg((3 * F.count("*")).alias("boost"))
+    titles = h.select(F.col("hint").alias("id"), F.col("hint").alias("text")).distinct()
+    inside = classes.where("title <> ''").select(F.col("title").alias("query_id"), F.col("title").alias("needle")).distinct()
+    within = Z.holders(titles, inside)  # hint, and a title that it holds
+    back = within.join(h.select(F.col("hint").alias("id"), F.col("title").alias("theirs")), "id").join(classes.select("class", F.col("title").alias("query_id")), "query_id")
+    back = back.join(classes.select(F.col("class").alias("other"), F.col("title").alias("theirs")), "theirs").groupBy("class", "other").agg(F.count("*").alias("boost"))
+    return forth.unionByName(back).groupBy("class", "other").agg(F.sum("boost").cast("int").alias("boost"))
 
 
 def seeded_walk(relations: DataFrame, seeds: DataFrame, per_seed: int = 4, budget: int = 20, most_seeds: int = 7) -> DataFrame:

@@ -11,8 +11,8 @@ from tessera.operators import claims as C
 from tessera.operators import extract as X
 from tessera.operators import retrieve as R
 from tessera.operators import topics as P
-from tessera.plans.base import EV, KB, OC, PAGES
-from tessera.plans.knowledge import FUSED, HS, WORDS, _fused
+from tessera.plans.base import ENT, EV, KB, OC, PAGES, REL
+from tessera.plans.knowledge import FUSED, HS, WORDS, _fused, hops_sql
 from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 
@@ -132,7 +132,7 @@ def b4_page_tree(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("total", F.sum("pages").over(Window.partitionBy("kb_id")))
 
 
-@query()
+@query(f"WITH {REL}, {ENT}, {hops_sql('Customer')}, ends AS (SELECT query_id, src AS id FROM hops WHERE rank <= 20 UNION SELECT query_id, dst FROM hops WHERE rank <= 20) SELECT query_id, ends.id, name FROM ends JOIN ent USING (id)")
 def g5_subgraph(spark: SparkSession, d: str) -> DataFrame:
     seeds = B.entities(spark, d).where("type = 'Customer'").select(F.concat(F.lit("q-"), "id").alias("query_id"), F.col("id").alias("seed"), F.lit(1).alias("seed_rank"))
     hits = P.two_hops(B.relations(spark, d), seeds)

@@ -12,7 +12,7 @@ from tessera.operators import extract as X
 from tessera.operators import retrieve as R
 from tessera.operators import search as Z
 from tessera.operators import topics as G
-from tessera.plans.base import EV, KB, OC, PAGES, REL
+from tessera.plans.base import ENT, EV, KB, OC, PAGES, REL
 from tessera.plans.registry import registry
 from tessera.sources import bindings as B
 from tessera.streaming import ingest as S
@@ -266,7 +266,17 @@ def g4_graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.relations(spark, d).groupBy("predicate").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query()
+def hops_sql(kind: str) -> str:
+    """Edges within two hops of each vertex of a kind, one query a vertex."""
+    return f"""ad AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY predicate, dst) AS o FROM rel) WHERE o <= 4),
+h0 AS (SELECT 'q-' || e.id AS query_id, e.id AS seed, 0 AS hop, '' AS via, src, predicate, dst FROM (SELECT DISTINCT id FROM ent WHERE type = '{kind}') e JOIN ad ON e.id = src),
+h1 AS (SELECT h.query_id, seed, 1, h.predicate || '|' || h.dst, a.src, a.predicate, a.dst FROM h0 h JOIN ad a ON h.dst = a.src),
+hm AS (SELECT query_id, seed, src, predicate, dst, min(struct_pack(h := hop, v := via)) AS m FROM (FROM h0 UNION ALL FROM h1) GROUP BY ALL),
+hp AS (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY m.h, m.v, predicate, dst) AS pos FROM hm),
+hops AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, src, dst) AS rank, src, predicate, dst, 1.0::DOUBLE / (m.h + 1) AS score FROM hp WHERE pos <= 4)"""
+
+
+@query(f"WITH {REL}, {ENT}, {hops_sql('Part')} SELECT query_id, rank::INT AS rank, src, predicate, dst, score FROM hops WHERE rank <= 20")
 def g1_two_hops(spark: SparkSession, d: str) -> DataFrame:
     seeds = B.entities(spark, d).where("type = 'Part'").select(F.concat(F.lit("q-"), "id").alias("query_id"), F.col("id").alias("seed"), F.lit(1).alias("seed_rank"))
     return G.two_hops(B.relations(spark, d), seeds)
@@ -292,9 +302,17 @@ def k6_page_search(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("snippets", F.array_join("snippets", " | "))
 
 
-@query(f"WITH {PAGES}, t AS (SELECT DISTINCT page_id, unnest(links) AS term FROM wp), s AS (SELECT a.page_id, b.page_id AS other, count(*) AS shared FROM t a JOIN t b USING (term) WHERE a.page_id <> b.page_id GROUP BY 1, 2) SELECT page_id, other, shared, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY shared DESC, other) AS rank FROM s) WHERE rank <= 8")
+@query(f"""WITH {PAGES}, t AS (SELECT DISTINCT page_id, unnest(links) AS term FROM wp), hi AS (SELECT DISTINCT title, string_split(title, ' ')[1] AS hint FROM wp WHERE title <> '' AND string_split(title, ' ')[1] <> ''),
+o AS (SELECT a.page_id, b.page_id AS other, count(*) AS n FROM t a JOIN t b USING (term) WHERE a.page_id <> b.page_id GROUP BY 1, 2),
+f AS (SELECT a.page_id, b.page_id AS other, 3 * count(*) AS n FROM wp a JOIN hi ON hi.title = a.title JOIN wp b ON contains(b.title, hint) WHERE a.page_id <> b.page_id GROUP BY 1, 2),
+g AS (SELECT a.page_id, b.page_id AS other, count(*) AS n FROM wp b JOIN hi ON hi.title = b.title JOIN wp a ON a.title <> '' AND contains(hint, a.title) WHERE a.page_id <> b.page_id GROUP BY 1, 2),
+s AS (SELECT page_id, other, sum(n)::INT AS score FROM (FROM o UNION ALL FROM f UNION ALL FROM g) GROUP BY 1, 2)
+SELECT page_id, rank::INT AS rank, other, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, other) AS rank FROM s) WHERE rank <= 8""")
 def j21_related_pages(spark: SparkSession, d: str) -> DataFrame:
-    return G.related(B.wiki_pages(spark, d)).select("page_id", "other", "shared", "rank")
+    """Pages by shared links and hints; a title's hint is its first word."""
+    w = B.wiki_pages(spark, d)
+    hints = w.where("title <> ''").select("title", F.split("title", " ")[0].alias("hint"))
+    return G.related(w, 8, hints)
 
 
 @query(f"WITH {PAGES} SELECT upper(substr(title, 1, 1)) AS folder, count(*) AS pages, arg_min(page_id, title || page_id) AS first_page FROM wp GROUP BY 1")
