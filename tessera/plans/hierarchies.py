@@ -72,5 +72,5 @@ def f14_canonical_names(spark: SparkSession, d: str) -> DataFrame:
     """Names by canonical form; headings of two words are aliases of their first word."""
     names = headings(spark, d).select("name").distinct()
     two = names.withColumn("w", F.split("name", " ")).where(F.size("w") == 2).select(T.topic_name("name").alias("alias"), T.topic_name(F.col("w")[0]).alias("canonical"))
-    got = H.canonical_names(names, two.unionByName(H.default_aliases(spark))).where("canon <> ''")
+    got = H.canonical_names(names, two.unionByName(H.default_aliases(spark))).where(T.topic_name("name") != "")
     return got.groupBy("canon").agg(F.count("*").alias("names"), F.min("name").alias("first_name"))
