@@ -7,6 +7,8 @@ text's length, not with its square. Offsets are code points, half-open.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -66,6 +68,16 @@ _PLACE = [StructField("start", IntegerType()), StructField("end", IntegerType())
 SPAN = ArrayType(StructType(_PLACE))
 SECTION = ArrayType(StructType([*_PLACE, StructField("section_path", ArrayType(StringType()))]))
 _HEAD = re.compile(r"(#{1,6})\s+\S")
+#: Rows whose results are held as Python objects at a time.
+HELD = 64
+
+
+def _rows(values: Iterable, kind: pa.DataType) -> pa.Array:
+    """An array of the values, of which few are held as Python objects at a time."""
+    parts, it = [], iter(values)
+    while some := list(islice(it, HELD)):
+        parts.append(pa.array(some, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def sections(text: str) -> list[tuple[int, int, str | None, list[str]]]:
@@ -95,7 +107,7 @@ def sections(text: str) -> list[tuple[int, int, str | None, list[str]]]:
 @F.arrow_udf(SECTION)
 def _sections(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string()), ("section_path", pa.list_(pa.string()))]))
-    return pa.array([[{"start": a, "end": b, "title": t, "section_path": p} for a, b, t, p in sections(x or "")] for x in text.to_pylist()], kind)
+    return _rows(([{"start": a, "end": b, "title": t, "section_path": p} for a, b, t, p in sections(x.as_py() or "")] for x in text), kind)
 
 
 _sections = _sections.asNondeterministic()
@@ -111,16 +123,48 @@ def general_spans(text: Column) -> Column:
     return F.transform(section_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["title"].alias("title")))
 
 
+# White space as the patterns of the JVM have it; the last mark of a line may be one that isn't.
+_WS = " \t\n\x0b\x0c\r"
+_MARK = re.compile(f"[{_WS}]*(#{{1,6}})[{_WS}]+[^{_WS}]")
+_NAME_ENDS = re.compile(f"^[{_WS}]*#+|[{_WS}]+(?=[\x85\u2028\u2029]?\\Z)")
+
+
+def headed(text: str, level: int = 2) -> list[tuple[int, int, str | None]]:
+    """start, end and title of a text's spans, line by line: each heading up to a level opens one, and so does the text."""
+    heads, place = [], 0
+    for line in text.splitlines(keepends=True):
+        mark = _MARK.match(line) if "#" in line else None
+        if mark and len(mark[1]) <= level:
+            heads.append((place, _NAME_ENDS.sub("", line.strip(" ")).strip(" ") or None))
+        place += len(line)
+    if place and (not heads or heads[0][0] > 0):
+        heads.insert(0, (0, None))
+    return [(start, end, title) for (start, title), end in zip(heads, [*(h[0] for h in heads[1:]), place])]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string())]))
+
+
+def _as_spans(spans: list[tuple]) -> list[dict]:
+    return [{"start": s[0], "end": s[1], "title": s[2]} for s in spans]
+
+
+@F.arrow_udf(SPAN)
+def _headed(text: pa.Array, level: pa.Array) -> pa.Array:
+    return _rows((_as_spans(headed(t.as_py() or "", n.as_py())) for t, n in zip(text, level)), _SPANS)
+
+
+@F.arrow_udf(SPAN)
+def _by_mode(text: pa.Array, mode: pa.Array) -> pa.Array:
+    return _rows((_as_spans(headed(t.as_py() or "") if m.as_py() == "heading" else sections(t.as_py() or "")) for t, m in zip(text, mode)), _SPANS)
+
+
+_headed, _by_mode = _headed.asNondeterministic(), _by_mode.asNondeterministic()
+
+
 def heading_spans(text: Column, level: int = 2) -> Column:
-    """Spans cut before headings up to a level; what stands before the first is a span without title."""
-    total = F.length(text)
-    heads = F.filter(lines(text), lambda x: (x["level"] > 0) & (x["level"] <= level))
-    starts = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), F.when(heading_text(x["line"]) != "", heading_text(x["line"])).alias("title")))
-    first = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("title"))
-    every = lambda s: F.when((F.size(s) == 0) | (F.get(s, F.lit(0))["start"] > 0), F.concat(F.array(first), s)).otherwise(s)
-    ended = lambda e: F.zip_with(e, F.slice(e, F.lit(2), F.size(e)), lambda x, y: F.struct(x["start"].alias("start"), F.coalesce(y["start"], total).alias("end"), x["title"].alias("title")))
-    spans = bound(bound(starts, every), ended)
-    return F.when(total > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,title:string>>"))
+    """Spans cut before headings up to a level; what stands before the first is a span without title. Linear in the text."""
+    return _headed(text, F.lit(level))
 
 
 def size_split(spans: Column, most: int) -> Column:
@@ -167,8 +211,7 @@ def _join(a: dict, b: dict) -> dict:
 
 @F.arrow_udf(SPAN)
 def _merged(spans: pa.Array, text: pa.Array, least: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string())]))
-    return pa.array([None if s is None else merged(s, t or "", n) for s, t, n in zip(spans.to_pylist(), text.to_pylist(), least.to_pylist())], kind)
+    return _rows((merged(s.as_py(), t.as_py() or "", n.as_py()) if s.is_valid else None for s, t, n in zip(spans, text, least)), _SPANS)
 
 
 _merged = _merged.asNondeterministic()
@@ -197,7 +240,10 @@ def plain_table(sources: DataFrame, max_chars: int = 3000, max_chunks: int = 40)
 
 @F.arrow_udf(ArrayType(StringType()))
 def _pieces(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([None if s is None else [(t or "")[x["start"] : x["end"]] for x in s] for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.list_(pa.string()))
+    def cut(t: str, s: pa.Scalar) -> list[str]:
+        return [t[a:b] for a, b in zip(s.values.field("start").to_pylist(), s.values.field("end").to_pylist())]
+
+    return _rows((cut(t.as_py() or "", s) if s.is_valid else None for t, s in zip(text, spans)), pa.list_(pa.string()))
 
 
 _pieces = _pieces.asNondeterministic()
@@ -217,9 +263,9 @@ def exploded(sources: DataFrame, spans: Column, path: bool = False) -> DataFrame
 
 def chunk(sources: DataFrame, max_chars: int = 3000, max_chunks: int = 40) -> DataFrame:
     """Chunks of every source by its own mode, cut to size, folded to the limit."""
-    text = F.col("text")
-    spans = F.when(chunk_mode(text) == "heading", heading_spans(text)).otherwise(general_spans(text))
-    return exploded(sources, fold_overflow(size_split(spans, max_chars), max_chunks))
+    placed = sources.select("id", "text", _by_mode(F.col("text"), chunk_mode(F.col("text"))).alias("spans"))
+    cut = placed.select("id", "text", size_split(F.col("spans"), max_chars).alias("spans"))
+    return exploded(cut, fold_overflow(F.col("spans"), max_chunks))
 
 
 def coverage_violations(sources: DataFrame, chunks: DataFrame) -> DataFrame:

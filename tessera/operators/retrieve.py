@@ -38,6 +38,19 @@ def blocks(queries: DataFrame, most: int = 2000) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
 
 
+#: Vectors that are scored against a block of queries at a time.
+VECTORS = 128
+
+
+def _vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of few rows at a time, so that a task's scores are bounded by queries times VECTORS."""
+    for batch in batches:
+        for at in range(0, len(batch), VECTORS):
+            block = batch.slice(at, VECTORS)
+            x = np.asarray(block.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            yield block.column(0).to_numpy(), x.reshape(len(block), -1)
+
+
 def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int, most: int = 2000) -> DataFrame:
     """query_id, rank, id, score by cosine, for all queries (query_id, vector) against all vectors (id, vector) but the one of the
     query's own id. Queries go in blocks; a task multiplies its batches with a block and hands on each query's k best so far."""
@@ -52,15 +65,22 @@ def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int, most: int = 2000
             numbers, q = asked.value
             norm = np.sqrt((q * q).sum(1))
             best_s, best_i = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64)
-            for batch in batches:
-                ids, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(batch), -1)
-                if not len(ids):
+            for ids, x in _vector_blocks(batches):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (q @ x.T) / np.outer(norm, np.sqrt((x * x).sum(1)))
+                score[np.isnan(score) | (numbers[:, None] == ids[None, :])] = -np.inf
+                # Only queries with a score that reaches their k-th so far are sorted again.
+                floor = best_s[:, -1] if best_s.shape[1] == k else np.full(len(q), -np.inf)
+                rows = np.flatnonzero((score >= floor[:, None]).any(1)) if best_s.shape[1] == k else np.arange(len(q))
+                if not len(rows):
                     continue
-                score = (q @ x.T) / np.outer(norm, np.sqrt((x * x).sum(1)))
-                score[numbers[:, None] == ids[None, :]] = -np.inf
-                s, i = np.hstack([best_s, score]), np.hstack([best_i, np.broadcast_to(ids, score.shape)])
+                s, i = np.hstack([best_s[rows], score[rows]]), np.hstack([best_i[rows], np.broadcast_to(ids, (len(rows), len(ids)))])
                 order = np.lexsort((i, -s))[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                if len(rows) == len(q):
+                    best_s, best_i = s, i
+                else:
+                    best_s[rows], best_i[rows] = s, i
             keep = np.isfinite(best_s)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, keep.sum(1))), pa.array(best_i[keep]), pa.array(best_s[keep])], ["query_id", "id", "score"])
 
