@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.claims import EXCLUSIVE, merge_complementary
+from tessera.streaming.ingest import shared_path
 
 CLAIM = "id string, family_id string, version int, subject string, predicate string, object string, subject_type string, object_type string, confidence double, status string, valid_from timestamp, valid_to timestamp, source_ids array<string>"
 CLAIM_COLUMNS = [c.split()[0] for c in CLAIM.split(", ")]
@@ -160,10 +161,18 @@ def fold(claims: DataFrame, candidates: DataFrame, exclusive: list[str] = EXCLUS
     new_id = T.short_hash(F.concat_ws("|", "family_id", "version"))
     old = claims.select("family_id", "version", F.col("id").alias("_id"), F.col("subject").alias("_s"), F.col("subject_type").alias("_st"))
     named = named.join(old, ["family_id", "version"], "left").withColumn("id", F.coalesce("_id", new_id)).withColumn("subject", F.coalesce("_s", "subject")).withColumn("subject_type", F.coalesce("_st", "subject_type"))
+    named = _cut(named.select(*CLAIM_COLUMNS, "is_new", "source_id", "start", "end", "quote", "weight"))
     evidence = named.where("is_new").select(F.col("id").alias("claim_id"), "source_id", "start", "end", "quote", "weight")
     return named.select(*CLAIM_COLUMNS), evidence
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df written and read again in the shared folder: what a compile changed is read several times, and by the next compile, but folded once."""
+    path = shared_path(df.sparkSession, "compiled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def merged(claims: DataFrame, changed: DataFrame) -> DataFrame:
     """claims in which changed versions take the place of those they were, and new ones are added."""
     return claims.select(*CLAIM_COLUMNS).join(changed.select("id"), "id", "left_anti").unionByName(changed).select(*CLAIM_COLUMNS)
