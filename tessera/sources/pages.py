@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -14,6 +15,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 
+#: Files that a commit moves at a time; a move waits for the file system.
+MOVERS = 32
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files of a task: where they lie and where they belong."""
@@ -67,8 +72,9 @@ killed while it writes may leave files in the folder of its job after that, neve
         moves = [move for m in messages if m for move in m.moves]
         for folder in sorted({posixpath.dirname(target) for _, target in moves}):
             files.create_dir(folder, recursive=True)
-        for source, target in moves:
-            files.move(source, target)
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda move: files.move(*move), moves):
+                pass
         self._drop(files, root)
 
     def abort(self, messages: list[Written | None]) -> None:
