@@ -29,10 +29,12 @@ SELECT object, row_number() OVER (ORDER BY first, object)::INT AS version, CASE
 def st1_stream_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims of a stream of documents in four slices; the same as one compile of all."""
     docs = B.read(spark, d, "documents").select("doc_id", "text")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(S.slices(docs, F.col("doc_id"), 4))
+    source, state, n = I.shared_path(spark, "slices"), I.shared_path(spark, "families-state"), 0
     store = S.FamilyStore(spark, I.shared_path(spark, "families"), exclusive=["granted_under"])
     none = spark.createDataFrame([], "alias string, canonical string"), spark.createDataFrame([], "mention string, type string"), spark.createDataFrame([], "subject_type string, predicate string, object_type string")
-    n = S.stream_claims(stream, licence_candidates, *none, store, I.shared_path(spark, "families-state"))
+    for _ in S.arriving(docs, F.col("doc_id"), 4, source):
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        n = S.stream_claims(stream, licence_candidates, *none, store, state)
     return store.claims(n).select("object", "version", "status", F.col("source_ids")[0].alias("source"))
 
 
@@ -41,7 +43,7 @@ def st2_stream_memory(spark: SparkSession, d: str) -> DataFrame:
     """User turns in four slices of time, ten minutes a turn; a session that is idle for an hour leaves the state."""
     c = B.read(spark, d, "conversations").where("role = 'user'")
     rows = c.select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.col("turn").cast("bigint").alias("seq"), F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 600).alias("at"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(S.slices(rows, F.col("seq"), 4))
-    out = I.shared_path(spark, "memory")
-    I.session_memory(stream, out, I.shared_path(spark, "memory-state"))
+    source, out, state = (I.shared_path(spark, name) for name in ("slices", "memory", "memory-state"))
+    for _ in S.arriving(rows, F.col("seq"), 4, source):
+        I.session_memory(spark.readStream.schema(rows.schema).parquet(source), out, state)
     return I.remembered(spark, out)

@@ -7,7 +7,7 @@ again, gives the same rows; there is no other state. Claims are written last: wh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,12 +85,24 @@ def batches_done(spark: SparkSession, checkpoint: str) -> int:
     return max((int(n) for n in names if n.isdigit()), default=-1) + 1
 
 
-def slices(df: DataFrame, key: Column, n: int) -> str:
-    """A folder with the rows of df in n files by rising key, one written after the other, as a stream would find them."""
-    path = shared_path(df.sparkSession, "slices")
+def _parts(df: DataFrame, key: Column, n: int) -> Iterator[DataFrame]:
+    """The rows of df in n parts by rising key."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     width = max((high or 0) - (low or 0) + 1, 1)
     for k in range(n):
-        part = df.where((key - F.lit(low)) * n >= k * width).where((key - F.lit(low)) * n < (k + 1) * width)
+        yield df.where((key - F.lit(low)) * n >= k * width).where((key - F.lit(low)) * n < (k + 1) * width)
+
+
+def slices(df: DataFrame, key: Column, n: int) -> str:
+    """A folder with the rows of df in n files by rising key, one written after the other, as a stream would find them. Each is written by one task; see `arriving` for more rows."""
+    path = shared_path(df.sparkSession, "slices")
+    for part in _parts(df, key, n):
         part.coalesce(1).write.mode("append").parquet(path)
     return path
+
+
+def arriving(df: DataFrame, key: Column, n: int, path: str) -> Iterator[int]:
+    """Write the rows of df into a folder in n parts by rising key, by as many tasks as read them; between two parts the caller runs its stream."""
+    for k, part in enumerate(_parts(df, key, n)):
+        part.write.mode("append").parquet(path)
+        yield k
