@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.streaming.ingest import shared_path
 
 # Names that are given other canonical ones, and the marks and hubs of the hierarchy rules.
 ALIASES = {"尺码表": "尺码选择", "尺码指南": "尺码选择"}
@@ -133,6 +134,10 @@ def hub_leaves(assigned: DataFrame) -> DataFrame:
     """kb_id, hub, leaf, phase, ord: the distinct leaves of each hub by first place (targets of snippets are leaves too); a hub without any has one row without leaf."""
     leaf = F.when(F.col("role") == "leaf", F.col("leaf")).when(F.col("role") == "snippet", F.col("target"))
     rows = assigned.withColumn("leaf", F.nullif(leaf, F.lit("")))
-    leaves = rows.where("leaf IS NOT NULL").groupBy("kb_id", "hub", "leaf").agg(F.min(F.struct("phase", "ord")).alias("at"))
-    bare = rows.groupBy("kb_id", "hub").agg(F.count("leaf").alias("n"), F.min(F.struct("phase", "ord")).alias("at")).where("n = 0").select("kb_id", "hub", F.lit(None).cast("string").alias("leaf"), "at")
+    path = shared_path(rows.sparkSession, "leaves")
+    first = rows.groupBy("kb_id", "hub", "leaf").agg(F.min(F.struct("phase", "ord")).alias("at"))
+    first.write.parquet(path)  # read twice, made once
+    first = rows.sparkSession.read.schema(first.schema).parquet(path)
+    leaves = first.where("leaf IS NOT NULL")
+    bare = first.groupBy("kb_id", "hub").agg(F.count("leaf").alias("n"), F.min("at").alias("at")).where("n = 0").select("kb_id", "hub", F.lit(None).cast("string").alias("leaf"), "at")
     return leaves.unionByName(bare).select("kb_id", "hub", "leaf", "at.phase", "at.ord")

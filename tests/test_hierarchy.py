@@ -86,3 +86,11 @@ def test_canonical_names(spark):
     aliases = spark.createDataFrame([("refundpolicy2", "refund"), ("x", "refundable"), ("y", "")], "alias string, canonical string").unionByName(H.default_aliases(spark))
     got = {r["name"]: r["canon"] for r in H.canonical_names(spark.createDataFrame([(n,) for n in names], "name string"), aliases).collect()}
     assert got == {"尺码 表": "尺码选择", "尺码指南": "尺码选择", "尺码选择（女）": "尺码选择", "Refund-Policy 2": "refund", "refund": "refund", "REFUNDS": "refund", "": "", " ?! ": "", None: None, "refundable goods": "refundable"}
+
+
+def test_hub_leaves_read_the_tree_once(spark):
+    names = [("k", "hub", "a", "leaf", None, 0, 3), ("k", "hub", None, "hub", None, 0, 1), ("k", "bare", None, "hub", None, 1, 2), ("k", "hub", None, "snippet", "a", 0, 2)]
+    rows = spark.createDataFrame(names, "kb_id string, hub string, leaf string, role string, target string, phase int, ord long")
+    got = H.hub_leaves(rows)
+    assert sorted(tuple(r) for r in got.collect()) == [("k", "bare", None, 1, 2), ("k", "hub", "a", 0, 2)]
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
