@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import by_bytes, cached_by, focus, trimmed
 
 # Fixed value: the public byte-level pre-tokeniser pattern (white space by its Unicode property).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
-#: Strings kept by a worker before a cache starts afresh, and the longest one kept (memory bounds, not data bounds).
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
+#: Pre-tokens kept by a worker before its memory starts afresh, and the longest one kept (memory bounds, not data bounds).
+CACHE_PIECES, CACHE_BYTES = 600_000, 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -36,6 +37,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def spelled(pattern: str) -> re.Pattern:
+    """The pattern for texts without characters beyond the basic plane, its Unicode properties spelled out as ranges: the re module searches these faster than regex does the properties."""
+    plane = [chr(i) if not 0xD800 <= i < 0xE000 else "" for i in range(0x10000)]
+    for name in (r"\p{White_Space}", r"\p{L}", r"\p{N}"):
+        has = [bool(c) and regex.match(name, c) is not None for c in plane] + [False]
+        ends = [i for i in range(len(has)) if has[i] != (i > 0 and has[i - 1])]
+        ranges = "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(ends[::2], ends[1::2]))
+        pattern = re.sub(r"(\[\^[^]]*)" + re.escape(name), lambda m: m[1] + ranges, pattern).replace(name, f"[{ranges}]")
+    return re.compile(pattern)
+
+
 NEXT, LAST = list(range(1, 257)), list(range(-1, 255))
 
 
@@ -66,16 +78,18 @@ class Codec:
         self.symbols = [vocab[of[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.ranks = {(a << 20) | b: rank for rank, (a, b, _) in enumerate(self.pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.added.values()])
+        self.ranks: list[dict[int, int]] = [{} for _ in range(size)]  # by the left symbol, then the right one
+        for rank, (a, b, _) in enumerate(self.pairs):
+            self.ranks[a][b] = rank
         self.strings, self.decimal = [b""] * size, [str(i) for i in range(size)]
         for token, i in vocab.items():
             self.strings[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.added.items():
             self.strings[i] = token.encode()
-        self.known, self.spaced = Remembered(self.piece), Remembered(lambda run: self.pieces(" " + run))
-        self.find = regex.compile(PATTERN).findall
+        self.known = Remembered(self.piece)
+        self.find, self.find_plane = regex.compile(PATTERN).findall, spelled(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -84,15 +98,15 @@ class Codec:
 
     def merge(self, sym: list[int]) -> list[int]:
         """Apply the merges of lowest rank first, leftmost first among equals. A queue entry is a rank, shifted, and a position."""
-        n, get = len(sym), self.ranks.get
+        n, ranks = len(sym), self.ranks
         shift = 12 if n < 4096 else 40
         low = (1 << shift) - 1
-        heap, a = [], sym[0] << 20
+        heap, right = [], ranks[sym[0]]
         for i in range(1, n):
             b = sym[i]
-            if (r := get(a | b)) is not None:
-                heap.append((r << shift) | (i - 1))
-            a = b << 20
+            if b in right:
+                heap.append((right[b] << shift) | (i - 1))
+            right = ranks[b]
         if not heap:
             return sym
         heapify(heap)
@@ -108,10 +122,10 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := get((new << 20) | sym[k])) is not None:
-                    heappush(heap, (r << shift) | i)
-            if i and (r := get((sym[h := before[i]] << 20) | new)) is not None:
-                heappush(heap, (r << shift) | h)
+                if (b := sym[k]) in (right := ranks[new]):
+                    heappush(heap, (right[b] << shift) | i)
+            if i and new in (right := ranks[sym[h := before[i]]]):
+                heappush(heap, (right[new] << shift) | h)
         return [s for s in sym if s >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -119,16 +133,9 @@ class Codec:
             return [i for k, part in enumerate(self.cut(text)) for i in ([self.added[part]] if k % 2 else self.plain(part))]
         return self.plain(text)
 
-    def pieces(self, text: str) -> tuple[int, ...]:
-        found = self.find(text)
-        return self.known[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(self.known.__getitem__, found)))
-
     def plain(self, text: str) -> list[int]:
-        """Between two characters that aren't white space, a single space always starts a pre-token: such runs are encoded one by one."""
-        if len(text.split()) - 1 != text.count(" ") + text.count("\n"):  # other white space, or two in a row, or at an end
-            return list(self.pieces(text))
-        first, *rest = text.split(" ")
-        return list(chain(self.pieces(first), chain.from_iterable(map(self.spaced.__getitem__, rest))))
+        find = self.find_plane if len(text.encode("utf-16-le")) == 2 * len(text) else self.find
+        return list(chain.from_iterable(map(self.known.__getitem__, find(text))))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -140,7 +147,6 @@ _CODECS: dict[str, Codec] = {}
 def forget() -> None:
     for c in _CODECS.values():
         c.known.clear()
-        c.spaced.clear()
 
 
 cached_by("bpe", forget)

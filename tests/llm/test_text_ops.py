@@ -490,3 +490,13 @@ def test_bpe_equals_the_library(spark):
     empty, ids = hashlib.sha256(b"").hexdigest(), ",".join(map(str, own.encode("ab ab")))
     assert got == [(0, 0, empty, empty), (1, 0, empty, empty), (2, len(own.encode("ab ab")), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"ab ab").hexdigest())]
     assert bpe.encode_documents(df, path).where("size(ids) = 0").count() == 2
+
+
+def test_bpe_remembers_pre_tokens_alone_and_finds_them_by_spelled_classes():
+    c = bpe.Codec(vocabulary())
+    plane = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    for text in ("".join(plane), " ".join(plane), "x".join(plane), "it's 'tis we'll I'd they've you're 'm''s  a\n\nb \n"):
+        assert c.find_plane(text) == c.find(text)
+    text = " ".join(f"word{i % 7}.\nNext,{i}" for i in range(300))
+    c.encode(text)
+    assert sum(len(m) for m in vars(c).values() if isinstance(m, bpe.Remembered)) == len(set(c.find(text)))
