@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_bytes, byte_strings, drop, focus, fresh, materialise, sent, trimmed, windows, word_hashes
@@ -315,11 +315,18 @@ def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("part", "cid", "shingles").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
+def block_edges(prefix: DataFrame) -> DataFrame:
+    """a, b: edges whose components are those of classes that share prefix shingles. A class is linked with the least of its shingles' least
+    classes alone, and these least classes with that one, as often as they differ: near copies have few of them, whatever the shingles that they share."""
+    least = prefix.groupBy("token").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").drop("most")
+    pairs = prefix.join(least, "token").where("cid <> least").select("cid", "least")
+    drawn = pairs.withColumn("b", F.min("least").over(Window.partitionBy("cid"))).select("b", F.explode(F.array("cid", "least")).alias("a"))
+    return drawn.where("a <> b").select("a", "b").distinct()
+
+
 def block_of(prefix: DataFrame) -> DataFrame:
     """cid, block, size: classes that share prefix shingles, directly or in a chain."""
-    least = prefix.groupBy("token").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").drop("most")
-    pairs = prefix.join(least, "token").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
-    comp = components(pairs).select(F.col("v").alias("cid"), F.col("comp").alias("block"))
+    comp = components(block_edges(prefix)).select(F.col("v").alias("cid"), F.col("comp").alias("block"))
     return materialise(comp.join(comp.groupBy("block").agg(F.count("*").alias("size")), "block"), "blocks")
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, topk
+from tessera.llm import graph, jaccard, topk
 from tessera.llm.graph import components
 
 VECTORS = "vec_id bigint, embedding array<float>"
@@ -139,3 +139,26 @@ def test_components_of_a_chain_and_loops(spark):
     got = {r["v"]: r["comp"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 100
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_read_few_edges_after_the_first_round(spark, monkeypatch):
+    order = np.random.default_rng(4).permutation(600).tolist()
+    kept, counts = graph.materialise, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "edges":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a bigint, b bigint")).collect()
+    assert sorted(r["v"] for r in got) == list(range(600)) and {r["comp"] for r in got} == {0}
+    assert counts[0] == 599 and counts[-1] == 0 and sum(counts) < 2 * 599
+
+
+def test_block_edges_of_near_copies_are_few(spark):
+    """Each of 200 classes shares a shingle with each of 10 lesser ones: 2000 pairs, one block."""
+    rows = [(c, t) for c in range(10, 210) for t in range(10)] + [(t, t) for t in range(10)]
+    edges = jaccard.block_edges(spark.createDataFrame(rows, "cid bigint, token bigint"))
+    assert edges.count() == 209 and {r["comp"] for r in components(edges).collect()} == {0}
