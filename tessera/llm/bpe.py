@@ -142,18 +142,11 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
-
-
-def forget() -> None:
-    for c in _CODECS.values():
-        c.known.clear()
-
-
-cached_by("bpe", forget)
+cached_by("bpe", _CODECS.clear)
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec for a vocabulary file, loaded once."""
+    """The worker's codec for a vocabulary file, loaded once and kept until another operator works there."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]

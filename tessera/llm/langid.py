@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import by_bytes, cached_by, focus, fresh, leave, trimmed
+from tessera.llm.common import by_bytes, cached_by, focus, fresh, give_back, leave, trimmed
 
 WORD = regex.compile(r"\p{L}+")
 MARK, UNKNOWN = "▁", 1e-9
@@ -226,7 +226,9 @@ class Memory:
             rows[some, 1:] = np.add.reduceat(flat, (np.cumsum(many) - many)[some], axis=0)
         have = len(self.at)
         while have + len(fresh) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            more_rows = np.zeros((2 * len(self.rows), self.rows.shape[1]))  # pages take memory when they are first written
+            more_rows[:have] = self.rows[:have]
+            self.rows = more_rows
         self.rows[have : have + len(fresh)] = rows
         self.at.update(zip(fresh, range(have, have + len(fresh))))
 
@@ -343,6 +345,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
     @F.arrow_udf("string")
     def language(texts: pa.Array) -> pa.Array:
         langs, scores = at_work().predict(texts)
+        give_back()
         return pa.array([a if a != "und" and s >= least else None for a, s in zip(langs, scores)], pa.string())
 
     names, (found,) = docs.columns, fresh(docs, "_found")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, focus, fresh, materialise, trimmed, windows, word_hashes
+from tessera.llm.common import by_bytes, focus, fresh, give_back, materialise, trimmed, windows, word_hashes
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -72,6 +72,7 @@ def counted(texts: pa.Array) -> pa.Array:
     """The counts and features of texts, as structs."""
     focus("words")
     rows = [row for part in by_bytes(texts) for row in map(statistics, part.to_pylist())]
+    give_back()
     cols = list(zip(*rows)) or [()] * (len(COUNTS) + len(FEATURES))
     return pa.StructArray.from_arrays([pa.array(x, pa.int64() if i < len(COUNTS) else pa.float64()) for i, x in enumerate(cols)], [*COUNTS, *FEATURES])
 

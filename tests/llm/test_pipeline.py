@@ -47,3 +47,31 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_a_worker_keeps_no_codec_for_other_stages():
+    import weakref
+
+    from tessera.llm import bpe, common
+
+    common.focus("bpe")
+    held = weakref.ref(bpe.codec(vocabulary()))
+    held().encode("some words")
+    common.focus("langid")
+    assert held() is None
+
+
+def test_rows_of_language_memory_keep_their_values_as_they_grow():
+    import numpy as np
+
+    from tessera.llm import langid
+
+    pieces = ["\u2581", *"abcdefghij"]
+    prob = np.random.default_rng(5).random((len(pieces) + 1, 2))
+    prob[0] = 0
+    memory = langid.Memory(langid.Model(["x", "y"], langid.Lattice(pieces), prob / prob.sum(0)))
+    runs = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(40_000)]
+    memory.learn(runs[:10_000])
+    first = {r: memory.rows[memory.at[r]].copy() for r in runs[:10_000:97]}
+    memory.learn(runs[10_000:])
+    assert len(memory.rows) >= 40_000 and all((memory.rows[memory.at[r]] == v).all() for r, v in first.items())
