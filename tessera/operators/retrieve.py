@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +91,72 @@ def cosine_lane(queries: DataFrame, vectors: DataFrame, k: int, most: int = 2000
     return ranked(found, F.desc("score"), "id", k=k).select("query_id", "rank", "id", "score")
 
 
-@functools.lru_cache(1 << 16)
-def bucket(token: str, dims: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest(), 16) % dims
-
-
-def hash_vector(tokens: list[str], dims: int) -> np.ndarray:
-    """Counts of the tokens' buckets, of length one."""
-    v = np.bincount([bucket(t, dims) for t in tokens], minlength=dims).astype(np.float64)
-    return v / max(np.sqrt((v * v).sum()), 1e-300)
+class Buckets(dict):
+    """Bucket of each token by its md5 as a number, kept by a worker; starts afresh when full."""
+
+    def __init__(self, dims: int, most: int = 1 << 18):
+        super().__init__()
+        self.dims, self.most = dims, most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[token] = int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % self.dims
+        return value
+
+
+def hash_vectors(owner: np.ndarray, buckets: np.ndarray, n: int, dims: int) -> np.ndarray:
+    """Of n texts the counts of their tokens' buckets, each of length one; owner: the text of each token."""
+    v = np.bincount(owner * dims + buckets, minlength=n * dims).reshape(n, dims).astype(np.float64)
+    return v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
+
+
+#: Chunks that are scored against a block of queries at a time.
+CHUNKS = 512
+
+
+class ChunkQueries:
+    """A block of queries (query_id, query, tokens) that blocks of chunks are scored against."""
+
+    def __init__(self, rows: list[tuple[int, str, list[str]]], dims: int):
+        self.numbers, self.texts, tokens = zip(*rows)
+        self.dims, self.bucket = dims, Buckets(dims)
+        own = [set(t) for t in tokens]
+        self.words = pa.array(sorted(set().union(*own)), pa.string())
+        place = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.asks = np.zeros((len(own), len(place)), np.float32)
+        for i, t in enumerate(own):
+            self.asks[i, [place[w] for w in t]] = 1
+        self.size = np.array([max(1, len(t)) for t in own])
+        self.vectors = hash_vectors(np.repeat(np.arange(len(own)), [len(t) for t in tokens]), np.array([self.bucket[w] for t in tokens for w in t], dtype=np.int64), len(own), dims)
+
+    def scores(self, bodies: pa.Array, tokens: pa.Array) -> np.ndarray:
+        """Queries by chunks. Each distinct token of the block is looked up once; shares are one product of the words that the block has."""
+        n = len(bodies)
+        coded, owner = tokens.flatten().dictionary_encode(), pc.list_parent_indices(tokens).to_numpy()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        buckets = np.array(list(map(self.bucket.__getitem__, distinct.to_pylist())), dtype=np.int64)
+        number = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy()[code]
+        asked = number >= 0
+        words, row = np.unique(number[asked], return_inverse=True)
+        has = np.zeros((len(words), n), np.float32)
+        has[row, owner[asked]] = 1
+        share = (self.asks[:, words] @ has).astype(np.float64)
+        # A text that holds the query has all of its tokens but the first and the last.
+        may = share >= self.size[:, None] - 2
+        for j in np.flatnonzero(may.any(0)).tolist():
+            body = bodies[j].as_py()
+            for i in np.flatnonzero(may[:, j]).tolist():
+                if self.texts[i] and self.texts[i] in body:
+                    share[i, j] = self.size[i]
+        return np.round(0.6 * share / self.size[:, None] + 0.4 * (self.vectors @ hash_vectors(owner, buckets[code], n, self.dims).T), 9)
 
 
 def chunk_lane(queries: DataFrame, chunks: DataFrame, k: int, dims: int = 64, least: float = 0.0, most: int = 500) -> DataFrame:
     """query_id, rank, id, score of each query's (query_id, query) best k chunks (id, text) by 0.6 times the share of its distinct tokens
     (1 where the text holds the whole query) plus 0.4 times the cosine of hash vectors; scores of 0 or below `least` go.
 
-    Queries go in blocks; a task scores its batches against a block and hands on each query's k best so far."""
+    Queries go in blocks; a task scores its chunks against a block, few at a time, and hands on each query's k best so far."""
     context, found = queries.sparkSession.sparkContext, None
     for block in blocks(queries, most):
         rows = block.select("query_id", F.coalesce("query", F.lit("")).alias("query"), T.tokens(F.coalesce("query", F.lit(""))).alias("tokens")).collect()
@@ -115,33 +165,21 @@ def chunk_lane(queries: DataFrame, chunks: DataFrame, k: int, dims: int = 64, le
         asked = context.broadcast([(r["query_id"], r["query"], r["tokens"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, texts, tokens = zip(*asked.value)
-            own, q = [set(t) for t in tokens], np.array([hash_vector(t, dims) for t in tokens])
-            size, holders = np.array([max(1, len(t)) for t in own]), defaultdict(list)
-            for i, t in enumerate(own):
-                for token in t:
-                    holders[token].append(i)
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=str))] * len(q)
+            q = ChunkQueries(asked.value, dims)
+            best: list[list[tuple[float, str]]] = [[] for _ in q.numbers]
+            floor = np.full(len(best), least)
             for batch in batches:
-                ids, bodies, words = (c.to_pylist() for c in batch.columns)
-                if not ids:
-                    continue
-                share = np.zeros((len(q), len(ids)))
-                for j, (body, of) in enumerate(zip(bodies, words)):
-                    for token in set(of):
-                        share[holders.get(token, []), j] += 1
-                    # A text that holds the query has all of its tokens but the first and the last.
-                    for i in np.flatnonzero(share[:, j] >= size - 2):
-                        if texts[i] and texts[i] in body:
-                            share[i, j] = size[i]
-                score = np.round(0.6 * share / size[:, None] + 0.4 * (q @ np.array([hash_vector(of, dims) for of in words]).T), 9)
-                names = np.array(ids, dtype=str)
-                for i in range(len(q)):
-                    take = np.flatnonzero((score[i] > 0) & (score[i] >= least))
-                    s, n = np.concatenate([best[i][0], score[i][take]]), np.concatenate([best[i][1], names[take]])
-                    order = np.lexsort((n, -s))[:k]
-                    best[i] = s[order], n[order]
-            out = [(numbers[i], n, s) for i, pair in enumerate(best) for s, n in zip(pair[0].tolist(), pair[1].tolist())]
+                for at in range(0, len(batch), CHUNKS):
+                    part = batch.slice(at, CHUNKS)
+                    score = q.scores(part.column(1), part.column(2))
+                    hit = (score > 0) & (score >= floor[:, None])
+                    for i in np.flatnonzero(hit.any(1)).tolist():
+                        take = np.flatnonzero(hit[i])
+                        new = zip((-score[i, take]).tolist(), part.column(0).take(pa.array(take)).to_pylist())
+                        best[i] = heapq.nsmallest(k, [*best[i], *new])
+                        if len(best[i]) == k:
+                            floor[i] = max(least, -best[i][-1][0])
+            out = [(q.numbers[i], n, -s) for i, own in enumerate(best) for s, n in own]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], ["query_id", "id", "score"])
 

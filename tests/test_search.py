@@ -73,3 +73,35 @@ def test_longest_terms(spark):
     texts = spark.createDataFrame([("a", "Die STRASSE am Refund-Schalter"), ("b", "nothing"), ("c", None)], "id string, text string")
     terms = spark.createDataFrame([("refund",), ("straße",), ("am",), ("",), (None,)], "term string")
     assert [tuple(r) for r in Z.longest_terms(texts, terms).collect()] == [("a", "strasse")]
+
+
+def test_chunk_scores_of_a_block_equal_plain_loops(monkeypatch):
+    import hashlib
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import retrieve as R
+
+    def vector(tokens):
+        c = Counter(int(hashlib.md5(t.encode()).hexdigest(), 16) % 8 for t in tokens)
+        n = math.sqrt(sum(v * v for v in c.values())) or 1
+        return {k: v / n for k, v in c.items()}
+
+    split = lambda t: t.lower().split()
+    texts = [t for _, t in made(90, 3)] + ["", "w1 w2 w3 held whole w4", "?"]
+    asked = [(i, t[:90], split(t[:90])) for i, (_, t) in enumerate(made(30, 4))] + [(90, "w3 held whole", split("w3 held whole")), (91, "", []), (92, "w1 w1 w9", split("w1 w1 w9"))]
+    hashed = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(R.hashlib, "md5", lambda b: hashed.append(b) or md5(b))
+    q = R.ChunkQueries(asked, 8)
+    blocks = [q.scores(pa.array(part, pa.string()), pa.array([split(t) for t in part], pa.list_(pa.string()))) for part in (texts[:40], texts[40:])]
+    assert len(hashed) == len(set(hashed))  # a token is hashed once, not once for each chunk
+    got = np.hstack(blocks)
+    for i, (_, query, own) in enumerate(asked):
+        for j, text in enumerate(texts):
+            share = 1 if query and query in text else len(set(own) & set(split(text))) / max(1, len(set(own)))
+            a, b = vector(own), vector(split(text))
+            assert abs(got[i, j] - (0.6 * share + 0.4 * sum(v * b.get(k, 0) for k, v in a.items()))) < 1e-8
