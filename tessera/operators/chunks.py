@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import regex
@@ -145,18 +145,24 @@ def headed(text: str, level: int = 2) -> list[tuple[int, int, str | None]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("title", pa.string())]))
 
 
-def _as_spans(spans: list[tuple]) -> list[dict]:
-    return [{"start": s[0], "end": s[1], "title": s[2]} for s in spans]
+def _span_rows(values: Iterable[list[tuple]]) -> pa.Array:
+    """An array of spans (start, end, title, ...), column by column."""
+    parts, it, kind = [], iter(values), _SPANS.value_type
+    while some := list(islice(it, HELD)):
+        flat = [s for spans in some for s in spans]
+        ends = pa.array(accumulate(map(len, some), initial=0), pa.int32())
+        parts.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([s[i] for s in flat], f.type) for i, f in enumerate(kind)], fields=list(kind))))
+    return pa.concat_arrays(parts) if parts else pa.array([], _SPANS)
 
 
 @F.arrow_udf(SPAN)
 def _headed(text: pa.Array, level: pa.Array) -> pa.Array:
-    return _rows((_as_spans(headed(t.as_py() or "", n.as_py())) for t, n in zip(text, level)), _SPANS)
+    return _span_rows(headed(t.as_py() or "", n.as_py()) for t, n in zip(text, level))
 
 
 @F.arrow_udf(SPAN)
 def _by_mode(text: pa.Array, mode: pa.Array) -> pa.Array:
-    return _rows((_as_spans(headed(t.as_py() or "") if m.as_py() == "heading" else sections(t.as_py() or "")) for t, m in zip(text, mode)), _SPANS)
+    return _span_rows(headed(t.as_py() or "") if m.as_py() == "heading" else sections(t.as_py() or "") for t, m in zip(text, mode))
 
 
 _headed, _by_mode = _headed.asNondeterministic(), _by_mode.asNondeterministic()
@@ -240,10 +246,12 @@ def plain_table(sources: DataFrame, max_chars: int = 3000, max_chunks: int = 40)
 
 @F.arrow_udf(ArrayType(StringType()))
 def _pieces(text: pa.Array, spans: pa.Array) -> pa.Array:
-    def cut(t: str, s: pa.Scalar) -> list[str]:
-        return [t[a:b] for a, b in zip(s.values.field("start").to_pylist(), s.values.field("end").to_pylist())]
+    at, start, end = (x.to_numpy() for x in (spans.offsets, spans.values.field("start"), spans.values.field("end")))
+
+    def cut(t: str, own: slice) -> list[str]:
+        return [t[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())]
 
-    return _rows((cut(t.as_py() or "", s) if s.is_valid else None for t, s in zip(text, spans)), pa.list_(pa.string()))
+    return _rows((cut(t.as_py() or "", slice(at[i], at[i + 1])) if some else None for i, (t, some) in enumerate(zip(text, spans.is_valid().to_pylist()))), pa.list_(pa.string()))
 
 
 _pieces = _pieces.asNondeterministic()

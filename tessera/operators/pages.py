@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tessera.functions import text as T
 
@@ -70,19 +77,60 @@ def plan_folder(planned: Column, folder: Column, category: Column, bundled: Colu
     return F.when((named == "") | (named == UNSORTED), folder).when(bundled & ~inside, folder).otherwise(named)
 
 
+# White space as the patterns of the JVM have it.
+_WS = " \t\n\x0b\x0c\r"
+_BLANKS = re.compile(f"[{_WS}]+")
+_SENTENCES = re.compile(r"[^。；;]*[。；;]|[^。；;]+\Z")
+
+
+def said(title: str | None, text: str | None, summary: str | None) -> list[tuple[int, str]]:
+    """Place and point of what a chunk says: see `points`."""
+    body, label = (text or "").strip(_WS), (title or "").strip(_WS)
+    if not body:
+        parts = [summary or ""]
+    else:
+        useful = (x.strip(" -\t") for x in body.splitlines() if x.strip(_WS))
+        parts = list(islice((x for x in useful if len(x) >= 8 and x[0] != "#"), 6))
+        if len(parts) < 2:
+            parts = _SENTENCES.findall(body.replace("\n", " "))
+    tidy = ((pos, _BLANKS.sub(" ", f"{label}：{x}" if label else x).strip(_WS)) for pos, x in enumerate(parts) if x.strip(_WS))
+    return [(pos, point) for pos, point in tidy if len(point) >= 8]
+
+
 def points(chunks: DataFrame, most: int = 12) -> DataFrame:
     """source_id, place, point: of each chunk (source_id, chunk_index, title, text, summary) its first six lines of eight characters and more
     that are no headings, if there are two, else its sentences, else its summary; under the chunk's title, each once by its first 80 characters,
-    cut to 220. A source's first `most` stay: that is the report."""
-    tidy = lambda c: T.strip(F.regexp_replace(c, r"\s+", " "))
-    body = T.strip(F.coalesce("text", F.lit("")))
-    own = F.filter(F.split(body, r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: T.strip(x) != "")
-    useful = F.filter(F.transform(own, lambda x: F.regexp_replace(x, r"^[ \-\t]+|[ \-\t]+$", "")), lambda x: (F.length(x) >= 8) & ~F.startswith(x, F.lit("#")))
-    sentences = F.regexp_extract_all(F.replace(body, F.lit("\n"), F.lit(" ")), F.lit("[^。；;]*[。；;]|[^。；;]+$"), F.lit(0))
-    rows = chunks.select("source_id", "chunk_index", T.strip(F.coalesce("title", F.lit(""))).alias("label"), useful.alias("useful"), sentences.alias("sentences"), F.coalesce("summary", F.lit("")).alias("summary"), (body == "").alias("bare"))
-    said = F.when(F.col("bare"), F.array("summary")).when(F.size("useful") >= 2, F.slice("useful", 1, 6)).otherwise(F.col("sentences"))
-    each = rows.select("source_id", "chunk_index", "label", F.posexplode(said).alias("pos", "x")).where(T.strip("x") != "")
-    named = each.select("source_id", "chunk_index", "pos", tidy(F.when(F.col("label") != "", F.concat("label", F.lit("："), "x")).otherwise(F.col("x"))).alias("point")).where(F.length("point") >= 8)
+    cut to 220. A source's first `most` stay: that is the report.
+
+    A task hands on the first `most` of each run of chunks of one source, which hold all that can be among the source's first; chunks after them are not read."""
+    rows = chunks.select("source_id", "chunk_index", "title", "text", "summary")
+    schema = StructType([rows.schema["source_id"], rows.schema["chunk_index"], StructField("pos", IntegerType()), StructField("point", StringType())])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, {}  # of the source at hand: by key the first chunk, place and point
+        for batch in batches:
+            out = []
+            sources, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for j, (source, number) in enumerate(zip(sources, numbers)):
+                if source != own:
+                    out += [(own, *x) for x in held.values()]
+                    own, held = source, {}
+                if len(held) == most and number > last:
+                    continue
+                for pos, point in said(*(c[j].as_py() for c in batch.columns[2:])):
+                    key, new = point[:80], (number, pos, point)
+                    held[key] = min(held.get(key, new), new)
+                if len(held) > most:
+                    held = dict(sorted(held.items(), key=lambda x: x[1])[:most])
+                if len(held) == most:
+                    last = max(held.values())[0]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), types)], schema=types)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*[(own, *x) for x in held.values()]), types)], schema=types)
+
+    named = rows.mapInArrow(run, schema)
     once = named.groupBy("source_id", F.substring("point", 1, 80).alias("key")).agg(F.min(F.struct("chunk_index", "pos", "point")).alias("m"))
     w = Window.partitionBy("source_id").orderBy("m.chunk_index", "m.pos")
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("source_id", "place", F.substring("m.point", 1, 220).alias("point"))

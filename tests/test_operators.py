@@ -281,3 +281,31 @@ def test_page_rejects_name_the_first_fault(spark):
     pages = [("a", "[[a]]", "[[a]] ## P"), ("a", "[[a]]", "[[a]] ## P"), ("b", "[[b]]", "## P"), ("b", "[[b]]", "[[b]] ## P"), ("c", "[[c]]", None), ("d", "[[d]]", "[[d]] ## P"), ("e", "[[e]]", "[[e]]"), ("e", "[[e]]", "[[e]] ## P")]
     got = P.page_rejects(spark.createDataFrame(pages, "source_id string, link string, markdown string"), ["## P"])
     assert {r["source_id"]: r["reason"] for r in got.collect()} == {"b": "link_missing", "c": "link_missing", "d": "too_few_pages", "e": "section_missing"}
+
+
+def test_points_pass_over_chunks_that_cannot_be_among_the_first(spark, monkeypatch):
+    import random
+
+    from tessera.operators import pages as P
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(6):
+        for i in range(40):
+            lines = [f"point number {rng.randint(0, 30)} of it" if rng.random() < 0.8 else rng.choice(["", "# head", " -\t", "short", "one。two and more；  "]) for _ in range(rng.randint(0, 9))]
+            rows.append((f"s{n}", i, rng.choice([None, " T ", ""]), "\r\n".join(lines) if rng.random() < 0.9 else None, rng.choice([None, "a  summary\tof it"])))
+    want = {}
+    for source, i, title, text, summary in rows:
+        for pos, point in P.said(title, text, summary):
+            own = want.setdefault(source, {})
+            own[point[:80]] = min(own.get(point[:80], (i, pos, point)), (i, pos, point))
+    want = sorted((s, place, p) for s, own in want.items() for place, (_, _, p) in enumerate(sorted(own.values())[:12], 1))
+    schema = "source_id string, chunk_index int, title string, text string, summary string"
+    mixed = rng.sample(rows, len(rows))
+    for order in (rows, mixed):
+        assert sorted((r["source_id"], r["place"], r["point"]) for r in P.points(spark.createDataFrame(order, schema).coalesce(2)).collect()) == want
+    seen = spark.createDataFrame(rows, schema).coalesce(1).select("source_id", "chunk_index", "title", "text", "summary")
+    stages = P.points(seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in stages and "regexp" not in stages
+    assert P.points(seen.where("false")).count() == 0
+    assert P.said(None, None, None) == [] and P.said(" ", "a line of text\u2028another line", None) == [(0, "a line of text"), (1, "another line")]
