@@ -42,3 +42,13 @@ def test_headings_of_odd_lines():
     assert "".join(x for x, _ in got) == text
     assert [t for _, t in got] == [None, "Two\u2028", "\tTab", "x ##"]
     assert K.headed("") == [] and K.headed("## a") == [(0, 4, "a")] and K.headed("plain") == [(0, 5, None)]
+
+
+def test_grouped_edges_lie_in_parts_of_bounded_size(spark, monkeypatch):
+    from tessera.plans import govern
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(B, "PART_ROWS", 500)
+    sizes = govern.QUERIES["g2_merged_relations"](spark, sf).rdd.glom().map(len).collect()
+    assert max(sizes) < 700 and sum(sizes) == B.relations(spark, sf).count()
+    assert max(B.relations(spark, sf).rdd.glom().map(len).collect()) < 700
