@@ -18,6 +18,7 @@ from tessera.plans.base import EV, KB, OC, PAGES
 from tessera.plans.knowledge import FUSED, HS, OVERLAP, WORDS, _fused
 from tessera.plans.registry import registry
 from tessera.sources import bindings as B
+from tessera.streaming.ingest import shared_path
 
 QUERIES, SQL, query = registry()
 
@@ -81,18 +82,27 @@ cx AS (SELECT query_id, kind, row_number() OVER (PARTITION BY query_id, kind ORD
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(a, '\[\^?[0-9]+\]', '', 'g'), '[ \t]+', ' ', 'g'), ' ([.,;:!?])', '\1', 'g'))"
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, made once however often it is read; its rows grow with the questions."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The context of each question, and the verified evidence in it."""
-    f = _fused(spark, d).select("query_id", "rank", F.substring_index("key", ":", 1).alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("id"))
-    e = B.evidence(spark, d)
-    sources = B.kb_sources(spark, d)
+    f = _stored(_fused(spark, d).select("query_id", "rank", F.substring_index("key", ":", 1).alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("id")), "hits")
+    # Only texts that a question hit are read for evidence and contexts.
+    hit = f.where("kind = 'chunk'").select("id").distinct()
+    sources = B.kb_sources(spark, d).join(hit, "id", "left_semi")
+    e = _stored(B.evidence(spark, d).join(hit.withColumnRenamed("id", "source_id"), "source_id", "left_semi"), "evidence")
     good = C.verify(e, sources, e.select(F.col("claim_id").alias("id")).distinct()).where("verified").select("claim_id").join(e, "claim_id")
     allowed = f.where("kind = 'chunk'").select("query_id", "rank", F.col("id").alias("source_id")).join(good, "source_id")
     hits = f.unionByName(allowed.where("ord % 2 = 0").select("query_id", "rank", F.lit("claim").alias("kind"), F.col("claim_id").alias("id")))
     claims = e.select(F.col("claim_id").alias("id"), F.col("source_id").alias("subject"), F.lit("granted_under").alias("predicate"), F.col("quote").alias("object"))
     pages = B.wiki_pages(spark, d).select(F.concat(F.lit("page-"), "page_id").alias("id"), F.col("body").alias("text")).select(F.lit("wiki").alias("kind"), "id", F.col("id").alias("source_id"), "text")
     texts = sources.select(F.lit("chunk").alias("kind"), "id", F.col("id").alias("source_id"), "text").unionByName(pages)
-    return S.pack_context(hits, allowed, claims, texts), allowed.select("query_id", "source_id", "quote")
+    return _stored(S.pack_context(hits, allowed, claims, texts), "context"), allowed.select("query_id", "source_id", "quote")
 
 
 @query(f"WITH {CONTEXT} SELECT query_id, kind, pos, id, source_id, text FROM cx")

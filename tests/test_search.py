@@ -105,3 +105,11 @@ def test_chunk_scores_of_a_block_equal_plain_loops(monkeypatch):
             share = 1 if query and query in text else len(set(own) & set(split(text))) / max(1, len(set(own)))
             a, b = vector(own), vector(split(text))
             assert abs(got[i, j] - (0.6 * share + 0.4 * sum(v * b.get(k, 0) for k, v in a.items()))) < 1e-8
+
+
+def test_contexts_of_answers_are_made_once(spark):
+    """What is checked against answers reads the stored context; the search over all texts isn't in its plan, let alone twice."""
+    from tessera.plans.answers import QUERIES
+
+    plan = QUERIES["v4_grounded_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "documents" not in plan
