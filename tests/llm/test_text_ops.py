@@ -156,6 +156,31 @@ def test_mixing_meets_all_margins_at_production_parameters(spark):
         assert all(abs(told[d, v]["target"] - want[v]) < 1e-6 and abs(told[d, v]["achieved"] - share[v]) < 1e-4 for v in want.index if want[v])
 
 
+def test_mixing_takes_few_jobs_for_few_cells(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    assert mixing.mix(real).where("sampled").count() > 0
+    assert scheduler.numTotalJobs() - before < 60  # twelve sweeps of three margins; each job is held in the driver's memory
+
+
+@pytest.mark.parametrize("weights", [None, {"lang": {"en": 3.0, "de": 1.0}}])
+def test_mixing_is_the_same_in_one_partition_and_dealt_out(spark, monkeypatch, weights):
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(0, 400)), ["en", "en", "en", "de", None][int(rng.integers(0, 5))], f"s{int(rng.integers(0, 60) ** 2) // 60}", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = {}
+    for most in (mixing.CELLS_A_TASK, 0):
+        monkeypatch.setattr(mixing, "CELLS_A_TASK", most)
+        got[most] = {r["doc_id"]: r for r in mixing.mix(df, keep=0.4, weights=weights).collect()}
+        told = mixing.margins(df, keep=0.4, weights=weights).collect()
+        assert {r["margin"] for r in told} == set(mixing.DIMS) and max(abs(r["achieved"] - r["target"]) for r in told) <= 0.002
+    one, dealt = got.values()
+    assert one.keys() == dealt.keys() == set(range(3000)) and any(r["sampled"] for r in one.values())
+    for i, r in one.items():
+        assert abs(r["prob"] - dealt[i]["prob"]) < 2e-6 and (r["sampled"], r["n_tokens"]) == (dealt[i]["sampled"], dealt[i]["n_tokens"])
+
+
 def test_mixing_to_given_weights_equals_sql(spark):
     import duckdb
 
