@@ -25,12 +25,12 @@ def default_aliases(spark) -> DataFrame:
 
 def canonical_names(names: DataFrame, aliases: DataFrame, column: str = "name") -> DataFrame:
     """names with canon: the letters and digits of the name in lower case; if that is an alias (alias, canonical), its canonical
-    form (the least, if there are several); else the longest canonical form that it begins with; else itself.
+    form (the least, if there are several); else the longest of these canonical forms that it begins with; else itself.
 
     Each distinct form meets the canonical forms by its own beginnings (an equi-join), as many as the longest canonical form has characters."""
     forms = names.select(T.topic_name(column).alias("form")).where("form IS NOT NULL").distinct()
     known = aliases.groupBy("alias").agg(F.min("canonical").alias("known"))
-    heads = aliases.select(F.col("canonical").alias("head")).where("head <> ''").distinct()
+    heads = known.select(F.col("known").alias("head")).where("head <> ''").distinct()
     longest = F.broadcast(heads.agg(F.max(F.length("head")).alias("longest")))  # one row
     ladder = forms.crossJoin(longest).select("form", F.explode(F.expr("transform(sequence(1, least(length(form), longest)), n -> left(form, n))")).alias("head"))
     begun = ladder.where("form <> ''").join(heads, "head").groupBy("form").agg(F.max_by("head", F.length("head")).alias("begun"))

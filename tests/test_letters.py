@@ -25,3 +25,13 @@ def test_headings_that_begin_without_letters(spark, tmp_path):
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     name = "f14_canonical_names"
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.sql(SQL[name]).df())
+
+
+def test_only_the_least_canonical_form_of_an_alias_begins_names(spark, tmp_path):
+    heads = [" bar", "bar ", "bart", "fo obar", "foob ar", "foo bar", "foobarn", "foobert", "x  ", "\u3000x y", "ﬀ x"]
+    docs = [(i, "en", "s", h + "\nx\n") for i, h in enumerate(heads)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "f14_canonical_names"
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.sql(SQL[name]).df())
