@@ -125,6 +125,8 @@ def general_spans(text: Column) -> Column:
 
 # White space as the patterns of the JVM have it; the last mark of a line may be one that isn't.
 _WS = " \t\n\x0b\x0c\r"
+#: Spaces of any width, which a title has not at its ends.
+_SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _MARK = re.compile(f"[{_WS}]*(#{{1,6}})[{_WS}]+[^{_WS}]")
 _NAME_ENDS = re.compile(f"^[{_WS}]*#+|[{_WS}]+(?=[\x85\u2028\u2029]?\\Z)")
 
@@ -135,7 +137,7 @@ def headed(text: str, level: int = 2) -> list[tuple[int, int, str | None]]:
     for line in text.splitlines(keepends=True):
         mark = _MARK.match(line) if "#" in line else None
         if mark and len(mark[1]) <= level:
-            heads.append((place, _NAME_ENDS.sub("", line.strip(" ")).strip(" ") or None))
+            heads.append((place, _NAME_ENDS.sub("", line.strip(_SPACES)).strip(_SPACES) or None))
         place += len(line)
     if place and (not heads or heads[0][0] > 0):
         heads.insert(0, (0, None))

@@ -62,5 +62,10 @@ def bind_subject(subject: Column, anchor: Column) -> Column:
 def topic_worthy(subject: Column) -> Column:
     """Whether a claim's subject makes a topic: no sizes, no rows of figures, no long lists."""
     s = T.strip(subject)
-    listed = (F.length(s) > 48) & s.rlike("[、，]")
-    return (F.length(s) > 2) & ~s.rlike(SIZE_SUBJECT) & ~s.rlike(NUMERIC_SUBJECT) & ~listed
+    return topic_shaped(s) & ~s.rlike(SIZE_SUBJECT) & ~s.rlike(NUMERIC_SUBJECT)
+
+
+def topic_shaped(subject: Column) -> Column:
+    """Whether a subject is long enough for a topic and no long list; figures and sizes may be."""
+    s = T.trim_spaces(subject)
+    return (F.length(s) > 2) & ~((F.length(s) > 48) & s.rlike("[、，]"))

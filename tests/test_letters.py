@@ -48,3 +48,9 @@ def same(spark, tmp_path, name, texts):
 @pytest.mark.parametrize("name", ["t13_rejected_responses", "c2_gated_responses"])
 def test_a_blank_claim_is_dropped_and_its_response_read(spark, tmp_path, name):
     same(spark, tmp_path, name, [x for t in ("plain\nx", "", " ", "\nsecond", "\t\nx", "  \nx", "　", None, '"[{') for x in [t] * 10])
+
+
+@pytest.mark.parametrize("name", ["tc1_topic_clusters", "t2_heading_chunks"])
+def test_topics_of_figures_sizes_and_spaces(spark, tmp_path, name):
+    heads = ["12345", "12 cm", "欧码12", " 尺码XL", "ab", "\u00a0ab", "abc\u00a0", "\u3000ab\u3000", "x" * 30 + "、" + "y" * 30, "x" * 20 + "、" + " " * 40, "ABC", "abc", ""]
+    same(spark, tmp_path, name, [f"{h}\nb\nc\nd\ne\n{h}\nLicensed under x" for h in heads for _ in range(2)] + heads)
