@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.plans import answers
 from tessera.plans.registry import registry
 from tessera.sources import bindings as B
@@ -25,9 +26,10 @@ def s1_scanned_files(spark: SparkSession, d: str) -> DataFrame:
     suffix = F.when(F.col("doc_id") % 10 == 3, ".txt").when(F.col("doc_id") % 10 == 7, ".pdf").otherwise(".md")
     folder = shared_path(spark, "files")
     P.write_texts(docs.select(F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", suffix).alias("path"), F.coalesce("text", F.lit("")).alias("text")), folder)
-    sources, rejects = S.scan(spark, folder)
-    none = F.lit(None).cast("string")
-    return sources.select("id", "directory", F.md5("text").alias("text_md5"), none.alias("reason")).unionByName(rejects.select(F.col("rel").alias("id"), none.alias("directory"), none.alias("text_md5"), "reason"))
+    good = F.col("reason").isNull()
+    return S.scanned(spark, folder).select(
+        F.when(good, T.source_id("rel")).otherwise(F.col("rel")).alias("id"), F.when(good, T.directory("rel")).alias("directory"), F.when(good, F.md5("text")).alias("text_md5"), "reason"
+    )
 
 
 @query(f"WITH p AS ({answers.SQL['f30_source_pages']}) SELECT kb_id || '/' || page || '.md' AS path, sha256(string_agg(line, chr(10) ORDER BY section, key, line)) AS content_sha256, count(*) AS lines FROM p WHERE kb_id IS NOT NULL GROUP BY kb_id, page")
@@ -36,7 +38,6 @@ def s11_written_pages(spark: SparkSession, d: str) -> DataFrame:
     lines = answers.f30_source_pages(spark, d).where("kb_id IS NOT NULL")
     folder = shared_path(spark, "pages")
     P.write_lines(lines, folder)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = read.select(F.regexp_replace("path", "^.*?" + folder.rpartition("/")[2] + "/", "").alias("path"), F.sha2("content", 256).alias("content_sha256"))
+    files = S.contents(S.listed(spark, folder), folder).select(F.col("rel").alias("path"), F.sha2("content", 256).alias("content_sha256"))
     counted = lines.groupBy(F.concat_ws("/", "kb_id", F.concat("page", F.lit(".md"))).alias("path")).agg(F.count("*").alias("lines"))
     return files.join(counted, "path")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tessera.sources.files import opened
 
 #: Files that a commit moves at a time; a move waits for the file system.
 MOVERS = 32
@@ -26,11 +27,6 @@ class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder (a path or an address) and its path there."""
-    return fs.FileSystem.from_uri(folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-
-
 class PageWriter(DataSourceWriter):
     """Tasks write rows (path, line), each path in one run, into a folder of the job's own beside the pages. The commit moves what the tasks
     that count have written to its place and drops the folder; an abort drops the folder, so that a failed job leaves no page. (A task that is

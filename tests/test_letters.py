@@ -54,3 +54,8 @@ def test_a_blank_claim_is_dropped_and_its_response_read(spark, tmp_path, name):
 def test_topics_of_figures_sizes_and_spaces(spark, tmp_path, name):
     heads = ["12345", "12 cm", "欧码12", " 尺码XL", "ab", "\u00a0ab", "abc\u00a0", "\u3000ab\u3000", "x" * 30 + "、" + "y" * 30, "x" * 20 + "、" + " " * 40, "ABC", "abc", ""]
     same(spark, tmp_path, name, [f"{h}\nb\nc\nd\ne\n{h}\nLicensed under x" for h in heads for _ in range(2)] + heads)
+
+
+@pytest.mark.parametrize("name", ["s1_scanned_files", "s3_normalised_texts"])
+def test_texts_of_spaces_and_odd_ends(spark, tmp_path, name):
+    same(spark, tmp_path, name, ["\u00a0", " \u3000\n", "a \u2028", "a\t\u0085", "a\n\u2029", "\u2028 ", "\t", "", None, "a\r\n\r\n\r\n\r\nb \n", "x"])
