@@ -38,6 +38,13 @@ def canonical_names(names: DataFrame, aliases: DataFrame, column: str = "name")
     return names.withColumn("form", T.topic_name(column)).join(told, "form", "left").drop("form")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: made once, however often it is read."""
+    path = shared_path(df.sparkSession, "hierarchy")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _any(name: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words])
 
@@ -63,7 +70,7 @@ def _leaders(events: DataFrame, asked: DataFrame, block: int) -> DataFrame:
     counted = e.withColumn("k", F.row_number().over(within)).join(base, ["kb_id", "hub", "block"]).join(first, ["kb_id", "hub"])
     state = F.struct((-(F.col("base") + F.col("k"))).alias("n"), "first", "hub")
     rows = counted.select("kb_id", "block", "ord", "name", state.alias("state"))
-    rows = rows.unionByName(part(asked).select("kb_id", "block", "ord", "name", F.lit(None).cast(rows.schema["state"].dataType).alias("state")))
+    rows = cut(rows.unionByName(part(asked).select("kb_id", "block", "ord", "name", F.lit(None).cast(rows.schema["state"].dataType).alias("state"))))
     over_blocks = Window.partitionBy("kb_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     so_far = rows.groupBy("kb_id", "block").agg(F.min("state").alias("best")).withColumn("best", F.min("best").over(over_blocks))
     inside = Window.partitionBy("kb_id", "block").orderBy("ord", "name").rowsBetween(Window.unboundedPreceding, 0)
@@ -81,11 +88,12 @@ def hierarchy(names: DataFrame, parents: DataFrame, snippets: DataFrame, block:
 
     Names can only find a new hub under their own first two characters, and the first name there without a hub is one for all later, so a
     pair of characters has at most one such hub: the earliest of the names that no other hub takes. That makes the fold a minimum for each pair.
-    A repeated name counts once, by its first place; nulls take no part; `block` is a range of `ord` that one task may hold."""
+    A repeated name counts once, by its first place; nulls take no part; `block` is a range of `ord` that one task may hold.
+    Each step is written once and read by those after it. Of the hubs that share two first characters a name needs the best two, as one may be itself."""
     n = names.where("kb_id IS NOT NULL AND name IS NOT NULL AND name <> ''").groupBy("kb_id", "name").agg(F.min("ord").alias("ord"))
     ps = parents.groupBy("kb_id", "name").agg(F.min(F.struct("hub", "leaf", "role")).alias("p"))
     ss = snippets.groupBy("kb_id", "name").agg(F.min(F.struct("hub", "target")).alias("s"))
-    both = n.join(ss, ["kb_id", "name"], "left").join(ps, ["kb_id", "name"], "left")
+    both = cut(n.join(ss, ["kb_id", "name"], "left").join(ps, ["kb_id", "name"], "left"))
     is_leaf = F.coalesce((F.col("p.role") != "hub") & F.col("p.leaf").isNotNull(), F.lit(False))
     none = F.lit(None).cast("string")
     shape = ["kb_id", "name", "hub", "leaf", "role", "target", "phase", "ord"]
@@ -107,15 +115,16 @@ def hierarchy(names: DataFrame, parents: DataFrame, snippets: DataFrame, block:
 
     key = F.substring("name", 1, 2)
     hubs = parents.select("kb_id", "hub").unionByName(snippets.select("kb_id", "hub")).where((F.col("hub") != "") & (F.col("hub") != NO_HUB)).distinct()
-    listed = F.array_sort(F.collect_list(F.struct((-F.length("hub")).alias("n"), "hub")))  # of the seeds alone
-    two = hubs.where(F.length("hub") > 1).groupBy("kb_id", F.substring("hub", 1, 2).alias("key")).agg(listed.alias("two"))
+    best = Window.partitionBy("kb_id", "key").orderBy(F.desc(F.length("hub")), "hub")
+    two = hubs.where(F.length("hub") > 1).withColumn("key", F.substring("hub", 1, 2)).withColumn("n", F.row_number().over(best)).where("n <= 2")
+    two = two.groupBy("kb_id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "hub"))).alias("two"))
     one = hubs.where(F.length("hub") == 1).select("kb_id", F.col("hub").alias("key1"), F.col("hub").alias("one"))
     rank_from = rank.groupBy("kb_id").agg(F.min(F.struct("ord", "name")).alias("rank_from"))
     open_ = rest.where(~ranked & ~short).withColumn("key", key).withColumn("key1", F.substring("name", 1, 1))
     open_ = open_.join(two, ["kb_id", "key"], "left").join(one, ["kb_id", "key1"], "left").join(F.broadcast(rank_from), "kb_id", "left")  # a row a knowledge base
     given = _longer(F.get(F.filter("two", lambda h: h["hub"] != name), F.lit(0))["hub"], F.col("one"))
     by_rank = F.when((F.struct("ord", "name") > F.col("rank_from")) & (F.col("key") == RANK_HUB[:2]) & (name != RANK_HUB), RANK_HUB)
-    open_ = open_.select("kb_id", "key", "name", "ord", "phase", _longer(given, by_rank).alias("taken"))
+    open_ = cut(open_.select("kb_id", "key", "name", "ord", "phase", _longer(given, by_rank).alias("taken")))
     own = open_.where("taken IS NULL").groupBy("kb_id", "key").agg(F.min(F.struct("ord", "name")).alias("own"))
     open_ = open_.join(own, ["kb_id", "key"], "left")
     later = F.when(F.struct("ord", "name") > F.col("own"), F.col("own.name"))
@@ -124,7 +133,9 @@ def hierarchy(names: DataFrame, parents: DataFrame, snippets: DataFrame, block:
     rest_of = F.when(F.startswith("name", F.col("found")), F.expr("substring(name, length(found) + 1)")).otherwise(name)
     opened = got.select("kb_id", "name", F.coalesce("found", "name").alias("hub"), F.when(F.col("found").isNotNull(), F.coalesce(F.nullif(rest_of, F.lit("")), name)).alias("leaf"), F.when(F.col("found").isNotNull(), "leaf").otherwise("hub").alias("role"), none.alias("target"), "phase", "ord")
 
-    placed = seeded.unionByName(rank).unionByName(opened)
+    placed = cut(seeded.unionByName(rank).unionByName(opened)).select(shape)
+    if brief.isEmpty():
+        return placed
     leaders = _leaders(placed.select("kb_id", "phase", "ord", "name", "hub"), brief, block)
     small = brief.join(leaders, ["kb_id", "name"]).select("kb_id", "name", F.coalesce("leader", F.lit(NO_HUB)).alias("hub"), none.alias("leaf"), F.lit("snippet").alias("role"), none.alias("target"), "phase", "ord")
     return placed.unionByName(small).select(shape)

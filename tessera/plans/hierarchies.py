@@ -47,7 +47,7 @@ def seeds(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    heads = headings(spark, d)
+    heads = H.cut(headings(spark, d).groupBy("kb_id", "name").agg(F.min("ord").alias("ord")))  # texts are read once
     return H.hierarchy(heads, *seeds(heads))
 
 

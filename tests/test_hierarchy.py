@@ -94,3 +94,15 @@ def test_hub_leaves_read_the_tree_once(spark):
     got = H.hub_leaves(rows)
     assert sorted(tuple(r) for r in got.collect()) == [("k", "bare", None, 1, 2), ("k", "hub", "a", 0, 2)]
     assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_hubs_of_two_characters(spark):
+    """A name meets the two best hubs that it shares two characters with, not all of them, and steps aren't repeated."""
+    hubs = [f"ab{'c' * (i % 9)}{i}" for i in range(300)]
+    names = [("k", i, n) for i, n in enumerate([*hubs, "abcdefg", "abcdefgh", "xyzuvw", "xyzuvwx"])]
+    seeds = spark.createDataFrame([("k", h, h, None, "hub") for h in hubs], PARENTS)
+    open_ = H.hierarchy(spark.createDataFrame(names, "kb_id string, ord long, name string"), seeds, spark.createDataFrame([], SNIPPETS))
+    got = {r["name"]: (r["hub"], r["leaf"], r["role"], r["target"]) for r in open_.collect()}
+    assert got == one_by_one([n for _, _, n in names], {h: (h, None, "hub") for h in hubs}, {})
+    plan = open_._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Join" not in plan
